@@ -1,0 +1 @@
+"""Nothing streams here: acquisitions arrive in batches and a new one re-runs the batch plans."""
