@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeflow.llm import simhash
+from fringeflow.llm import mixing, packing, pii, simhash, toxicity
 from fringeflow.llm.store import materialize
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the classifier learns from labels.toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-equal fingerprints stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to <EMAIL>, <IP>, <CARD> or <PHONE>."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: bins of 2048 words without conflicts."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("simhash near-dedup", near_dedup),
+    ("pii", redact_pii),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: Stages that learn or hash shingles have no SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
