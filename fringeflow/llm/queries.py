@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeflow.llm import embed, media, mixing, packing, pii, simhash, suffix, toxicity, urls
+from fringeflow.llm import embed, media, mixing, packing, pii, simhash, suffix, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
