@@ -58,7 +58,7 @@ def invert(stack: Stack, weights: str | None = None, dem_range_m: float | None =
     to_m, k, pairs = -stack.meta.wavelength_m / (4 * np.pi), len(stack.pairs), stack.pairs
     px = stack.px
     if candidates is not None:
-        px = px.join(F.broadcast(candidates.select("row", "col").distinct()) if _small(candidates) else candidates.select("row", "col").distinct(), ["row", "col"], "left_semi")
+        px = px.join(candidates.select("row", "col"), ["row", "col"], "left_semi")
 
     def kernel(phase, coh=None):
         b = matrix(phase, k) * to_m
@@ -79,13 +79,6 @@ def invert(stack: Stack, weights: str | None = None, dem_range_m: float | None =
     return Series(px, stack.epochs, stack.shape, stack.meta)
 
 
-def _small(df: DataFrame) -> bool:
-    """Whether Spark expects df to be within its limit for broadcasts."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    return size <= int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-
-
 def _slope_weights(epochs: tuple[date, ...]) -> np.ndarray:
     t = years(epochs)
     c = t - t.mean()
