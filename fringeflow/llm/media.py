@@ -209,5 +209,6 @@ def features(payloads: DataFrame) -> DataFrame:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs with what is read back from its stored media; null texts are empty ones (64 zero bytes)."""
     items, payloads = store_texts(docs, id_col, text_col)
-    one = features(payloads).dropDuplicates(["digest"])
+    # written first: the join then shuffles both sides itself, and may split a digest that very many items share
+    one = materialize(features(payloads).dropDuplicates(["digest"]), "features")
     return items.join(one, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
