@@ -3,7 +3,8 @@
 The base detectors read the text as it is. A transducer then rewrites disguises (look-alike
 letters, spelled digits, at/dot words and brackets) and keeps, for every character it puts out, the
 stretch of source characters that it stands for. The same detectors read the rewritten text, and what
-they find is mapped back to source offsets (code points) and added where no base span lies.
+they find is mapped back to source offsets (code points) and added, unless a base span lies there that
+it does not wholly contain.
 """
 
 from __future__ import annotations
@@ -142,11 +143,11 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     got = transduce(text)
     if got:
         plain, starts, ends = got
-        taken = sorted(x for k in KINDS for x in base[k])
+        taken = [(*x, k) for k in KINDS for x in base[k]]
         for k, spans in base_spans(plain).items():
             for s, e in spans:
                 a, b = starts[s], ends[e - 1]
-                if text[a:b] != plain[s:e] and not any(x < b and a < y for x, y in taken):
+                if text[a:b] != plain[s:e] and all(b <= x or y <= a or (k == kind and a <= x and y <= b) for x, y, kind in taken):
                     more[k].append((a, b))
     return base, more
 

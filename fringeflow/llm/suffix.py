@@ -31,10 +31,10 @@ GRAM = 32
 #: A gram of more occurrences (in all, or in one task) is dealt out by window.
 HOT, HOT_TASK = 1024, 64
 #: Bytes that are hashed at once; parts that grams are dealt to, for each shuffle partition at least.
-TILE, PARTS = 1 << 22, 4
+TILE, PARTS = 1 << 20, 4
 _U = np.uint64
 _P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_MASK = _U(0xFFFFFFFFFFC00000)  # all but the bits of a place in a tile
+_MASK = _U(0xFFFFFFFFFFF00000)  # all but the bits of a place in a tile
 _SUFFIX, _WINDOW, _DONE = 0, 1, 2  # kinds of blobs
 
 _ANCHOR = np.dtype([("gram", "<u8"), ("row", "<i8"), ("at", "<i8"), ("n", "<i4")])
