@@ -27,13 +27,13 @@ from pyspark.sql.window import Window
 
 from fringeflow.llm.store import materialize
 
-BLOCK, LANES, END = 4096, 1024, 2
+BLOCK, LANES, END = 2048, 4096, 2
 MAGIC = b"FFTK1\0"
 #: Ids after which a block's order-0 table is made anew.
-_REBUILD = (32, 128, 512, 1024, 2048, 3072)
-_SLOTS = 4096
+_REBUILD = (32, 128, 512, 1024)  # powers of two
+_SLOTS, _NONE, _GROUP = 2048, 0xFFFF, 32
 _ORDER2, _ORDER1, _ORDER0, _ESCAPE = range(4)
-_TOTAL = 1 << 16
+_TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 24
 _REMEMBERED = 400_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
@@ -64,8 +64,8 @@ class Encoder:
         new = [p for p in dict.fromkeys(pieces[1:]) if p not in known]
         if new:
             for p, e in zip(new, self.tokenizer.encode_batch([" " + p for p in new], add_special_tokens=False), strict=True):
-                if max(e.ids, default=0) >= _TOTAL:
-                    raise ValueError("ids must fit in 16 bits")
+                if max(e.ids, default=0) >= _NONE:
+                    raise ValueError("ids must be below 65535")
                 known[p] = np.array(e.ids, "<u2").tobytes()
         return np.frombuffer(np.array(head, "<u2").tobytes() + b"".join([known[p] for p in pieces[1:]]), "<u2")
 
@@ -73,189 +73,227 @@ class Encoder:
 class _Model:
     """The state of many blocks at once; one that is done is dropped."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, longest: int):
         n = self.n = lanes
-        self.lane = np.arange(n)
-        self.next1, self.next2 = np.zeros((n, _SLOTS), np.int32), np.zeros((n, _SLOTS), np.int32)  # id + 1, or 0
-        self.right = np.tile(np.array([4, 4, 24, 32], np.int32), (n, 3, 1))
-        self.past, self.mood = np.zeros((n, BLOCK), np.uint16), np.zeros(n, np.int64)
+        self.next1, self.next2 = (np.full(n * _SLOTS, _NONE, np.uint16) for _ in range(2))
+        self.right = np.tile(np.array([4.0, 4.0, 24.0, 32.0]), 3 * n)  # by block, mood and model
+        self.past, self.mood = np.zeros((n, longest), np.uint16), np.zeros(n, np.int64)
         self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.keys, self.cum, self.freq = (np.zeros(0, np.int64) for _ in range(3))
-        self.total = np.zeros(n, np.int64)
+        self.keys = self.entry_at = np.zeros(0, np.int32)
+        self.cum = self.freq = np.zeros(0, np.int64)
+        self.shift = None  # no order-0 table yet
+        self.places(n)
+
+    def places(self, n: int) -> None:
+        self.lane = np.arange(n)
+        self.slots, self.rows, self.spans = self.lane * _SLOTS, self.lane * 3, (self.lane << 16).astype(np.int32)
 
     def keep(self, m: int) -> None:
         """Only the first m blocks go on."""
-        self.n, self.lane = m, self.lane[:m]
-        for k in ("next1", "next2", "right", "past", "mood", "x1", "x2", "total"):
+        self.n = m
+        self.places(m)
+        for k in ("past", "mood", "x1", "x2"):
             setattr(self, k, getattr(self, k)[:m])
-        e = np.searchsorted(self.keys, m << 16)
+        e = np.searchsorted(self.keys, np.int32(m << 16))
         self.keys, self.cum, self.freq = self.keys[:e], self.cum[:e], self.freq[:e]
 
     def predict(self) -> None:
-        self.slot1 = (self.x1 * 40503 >> 4) & (_SLOTS - 1)
-        self.slot2 = (self.x1 * 30011 + self.x2 * 50021 >> 3) & (_SLOTS - 1)
-        self.p1 = self.next1[self.lane, self.slot1] - 1
-        self.p2 = self.next2[self.lane, self.slot2] - 1
-        w = self.right[self.lane, self.mood].astype(np.int64)
-        w[:, _ORDER2] *= self.p2 >= 0
-        w[:, _ORDER1] *= (self.p1 >= 0) & (self.p1 != self.p2)
-        w[:, _ORDER0] *= self.total > 0
-        share = w * (_TOTAL - 8192) // w.sum(axis=1)[:, None]
-        share[:, _ORDER0] += np.where(self.total > 0, 8128, 0)
-        share[:, _ESCAPE] = 0
-        share[:, _ESCAPE] = _TOTAL - share.sum(axis=1)
-        self.share = share
-        self.start = np.cumsum(share, axis=1) - share
-
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size) in the code space for each block's id, and the model that has it."""
-        key = self.lane << 16 | ids
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        seen = self.keys[at] == key if len(self.keys) else np.zeros(self.n, bool)
-        who = np.where(self.share[:, _ORDER2] > 0, np.where(self.p2 == ids, _ORDER2, 9), 9)
-        who = np.where((who == 9) & (self.p1 == ids) & (self.share[:, _ORDER1] > 0), _ORDER1, who)
-        who = np.where(who == 9, np.where(seen, _ORDER0, _ESCAPE), who)
-        start, size = self.start[self.lane, who], self.share[self.lane, who]
-        zero = np.flatnonzero(who == _ORDER0)
-        if len(zero):
-            k, room, total = at[zero], size[zero], self.total[zero]
-            low = self.cum[k] * room // total
-            size[zero] = (self.cum[k] + self.freq[k]) * room // total - low
-            start[zero] += low
+        """Ids that the two contexts foretell, and where each model's share of the code space ends."""
+        self.slot1 = self.slots + ((self.x1 * 40503 >> 4) & (_SLOTS - 1))
+        self.slot2 = self.slots + ((self.x1 * 30011 + self.x2 * 50021 >> 3) & (_SLOTS - 1))
+        self.p1, self.p2 = self.next1[self.slot1], self.next2[self.slot2]
+        self.row = (self.rows + self.mood) * 4
+        w = self.right.reshape(-1, 4).take(self.rows + self.mood, axis=0)
+        a, b, d = w[:, 0] * (self.p2 != _NONE), w[:, 1] * ((self.p1 != _NONE) & (self.p1 != self.p2)), w[:, 3]
+        c = w[:, 2] if self.shift is not None else 0.0
+        each = (_TOTAL - 8192) / (a + b + c + d)
+        self.end2 = (a * each).astype(np.int64)
+        self.end1 = self.end2 + (b * each).astype(np.int64)
+        self.end0 = self.end1 + (0 if self.shift is None else (c * each).astype(np.int64) + 8128)
+
+    def place(self, ids: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size) in the code space for each block's id, and the model that has it; entry: its place in the order-0 table, or -1."""
+        hit2 = (self.p2 == ids) & (self.end2 > 0)
+        hit1 = (self.p1 == ids) & (self.end1 > self.end2) & ~hit2
+        start = np.where(hit2, 0, self.end2)
+        size = np.where(hit2, self.end2, self.end1 - self.end2)
+        who = np.where(hit2, _ORDER2, _ORDER1)
+        rest = np.flatnonzero(~(hit2 | hit1))
+        new = rest
+        if self.shift is not None and len(rest):
+            at = entry[rest]
+            seen = at >= 0
+            known, new = rest[seen], rest[~seen]
+            self._order0(known, at[seen], start, size)
+            who[known] = _ORDER0
+        start[new], size[new], who[new] = self.end0[new], _TOTAL - self.end0[new], _ESCAPE
         return start, size, who
 
+    def _order0(self, lanes: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        first = self.end1[lanes]
+        room, cum = self.end0[lanes] - first, self.cum[at]
+        low = cum * room >> self.shift
+        start[lanes] = first + low
+        size[lanes] = ((cum + self.freq[at]) * room >> self.shift) - low
+
     def at(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, size, model) for a place in the code space; an escaped id is -1."""
-        who = (target[:, None] >= self.start[:, 1:]).sum(axis=1)
-        start, size = self.start[self.lane, who], self.share[self.lane, who]
-        ids = np.where(who == _ORDER2, self.p2, np.where(who == _ORDER1, self.p1, -1)).astype(np.int64)
-        zero = np.flatnonzero(who == _ORDER0)
-        if len(zero):
-            room, total = size[zero], self.total[zero]
-            u = ((target[zero] - start[zero] + 1) * total - 1) // room
-            k = np.searchsorted(self.order, zero * (2 * BLOCK) + u, "right") - 1
-            low = self.cum[k] * room // total
-            size[zero] = (self.cum[k] + self.freq[k]) * room // total - low
-            start[zero] += low
-            ids[zero] = self.keys[k] & 0xFFFF
+        """(id, start, size, model) for a place in the code space; an escaped id is 0."""
+        two, one, zero = target < self.end2, target < self.end1, target < self.end0
+        start = np.where(two, 0, np.where(one, self.end2, self.end0))
+        size = np.where(two, self.end2, np.where(one, self.end1 - self.end2, _TOTAL - self.end0))
+        ids = np.where(two, self.p2, np.where(one, self.p1, 0)).astype(np.int64)
+        who = np.where(two, _ORDER2, np.where(one, _ORDER1, np.where(zero, _ORDER0, _ESCAPE)))
+        known = np.flatnonzero(zero & ~one)
+        if len(known):
+            first = self.end1[known]
+            u = (((target[known] - first + 1) << self.shift) - 1) // (self.end0[known] - first)
+            at = self.entry_at[(known << self.shift) + u]
+            self._order0(known, at, start, size)
+            ids[known] = self.keys[at] & 0xFFFF
         return ids, start, size, who
 
     def learn(self, t: int, ids: np.ndarray, who: np.ndarray) -> None:
-        at = self.right[self.lane, self.mood]
-        at[self.lane, who] += 24
-        big = at.sum(axis=1) > 2048
-        at[big] = (at[big] + 1) >> 1
-        self.right[self.lane, self.mood] = at
-        self.mood = np.where(self.p2 < 0, 0, np.where(self.p2 == ids, 2, 1))
-        self.next1[self.lane, self.slot1] = ids + 1
-        self.next2[self.lane, self.slot2] = ids + 1
+        self.right[self.row + who] += 24
+        if t % 64 == 63:
+            self.right = np.floor((self.right + 1) / 2)
+        self.mood = np.where(self.p2 == _NONE, 0, np.where(self.p2 == ids, 2, 1))
+        self.next1[self.slot1] = ids
+        self.next2[self.slot2] = ids
         self.x2, self.x1 = self.x1, ids
         self.past[:, t] = ids
         if t + 1 in _REBUILD:
-            rows = np.sort(self.past[:, : t + 1], axis=1, kind="stable").astype(np.int64)
-            flat = (rows + (self.lane << 16)[:, None]).ravel()
+            rows = np.sort(self.past[:, : t + 1], axis=1, kind="stable").astype(np.int32)
+            flat = (rows | self.spans[:, None]).ravel()
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             self.keys = flat[first]
             self.freq = np.diff(np.r_[first, len(flat)])
-            self.cum = first - (self.keys >> 16) * (t + 1)
-            self.order = (self.keys >> 16) * (2 * BLOCK) + self.cum
-            self.total = np.full(self.n, t + 1)
-
-
-def _shift(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks whose leading byte is settled (or whose range has become too small: it is cut to a settled one)."""
-    settled = (low ^ ((low + size) & 0xFFFFFFFF)) < (1 << 24)
-    small = ~settled & (size < _TOTAL)
-    size[small] = -low[small] & (_TOTAL - 1)
-    return np.flatnonzero(settled | small)
+            self.cum = first - (self.keys >> 16).astype(np.int64) * (t + 1)
+            self.entry_at = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.freq)  # one for each count
+            self.shift = (t + 1).bit_length() - 1
+
+    def entries(self, ids: np.ndarray) -> np.ndarray:
+        """Places in the order-0 table of ids (steps by blocks), -1 for those it does not have."""
+        out = np.full(ids.shape, -1, np.int32)
+        if self.shift is None:
+            return out
+        dense = np.full(_GROUP << 16, -1, np.int32)
+        cut = np.searchsorted(self.keys, np.arange(0, self.n + _GROUP, _GROUP, dtype=np.int32) << 16)
+        for g in range(0, self.n, _GROUP):  # a few blocks at a time, so that the dense table stays small
+            s, e = cut[g // _GROUP], cut[g // _GROUP + 1]
+            own = self.keys[s:e] - (g << 16)
+            dense[own] = np.arange(s, e)
+            lanes = ids[:, g : g + _GROUP]
+            out[:, g : g + _GROUP] = dense[lanes + (np.arange(lanes.shape[1]) << 16)]
+            dense[own] = -1
+        return out
+
+
+class _Coder:
+    """Carry-less range coder states of many blocks: 48-bit low and range, 16 bits in or out at a time."""
+
+    def __init__(self, n: int):
+        self.low, self.size = np.zeros(n, np.int64), np.full(n, _REGISTER, np.int64)
+        self.at = np.zeros(n, np.int64)
+
+    def narrow(self, lanes, start: np.ndarray, width: np.ndarray, move) -> None:
+        """Take a part of each range; move(lanes, their low) passes the 16 leading bits on where they are settled."""
+        unit = self.size[lanes] >> 16
+        low, size = (self.low[lanes] + start * unit) & _REGISTER, unit * width
+        go = np.arange(len(low))
+        while True:
+            lo, sz = low[go], size[go]
+            settled = (lo ^ ((lo + sz) & _REGISTER)) < (1 << 32)
+            small = ~settled & (sz < _LEAST)
+            ready = np.flatnonzero(settled | small)
+            if not len(ready):
+                break
+            cut, lo = small[ready], lo[ready]
+            sz = np.where(cut, -lo & (_LEAST - 1), sz[ready])
+            go = go[ready]
+            move(go if isinstance(lanes, slice) else lanes[go], lo)
+            low[go], size[go] = (lo << 16) & _REGISTER, sz << 16
+        self.low[lanes], self.size[lanes] = low, size
+
+
+def _plan(counts: list[int]) -> tuple[list[int], np.ndarray]:
+    """Blocks from the longest on, and how many go on at each step."""
+    order = sorted(range(len(counts)), key=lambda i: -counts[i])
+    sizes = np.array([counts[i] for i in order], np.int64)
+    return order, np.searchsorted(-sizes, -np.arange(max(counts, default=0)))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The code bytes of each block of at most BLOCK ids."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = [len(blocks[i]) for i in order]
+    order, going = _plan([len(b) for b in blocks])
     n = len(order)
-    grid = np.zeros((n, max(sizes, default=0)), np.int64)
+    grid = np.zeros((len(going), n), np.int64)
     for k, i in enumerate(order):
-        grid[k, : sizes[k]] = blocks[i]
-    model = _Model(n)
-    low, size = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-    out, end = np.zeros((n, 5 * grid.shape[1] + 16), np.uint8), np.zeros(n, np.int64)
-
-    def put(lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        lo, sz = low[lanes], size[lanes] >> 16
-        lo = (lo + start * sz) & 0xFFFFFFFF
-        sz = sz * width
-        while len(go := _shift(lo, sz)):
-            out[lanes[go], end[lanes[go]]] = lo[go] >> 24
-            end[lanes[go]] += 1
-            lo[go], sz[go] = (lo[go] << 8) & 0xFFFFFFFF, (sz[go] << 8) & 0xFFFFFFFF
-        low[lanes], size[lanes] = lo, sz
-
-    for t in range(grid.shape[1]):
-        m = int(np.searchsorted(-np.array(sizes), -t))
+        grid[: len(blocks[i]), k] = blocks[i]
+    model, coder = _Model(n, len(going)), _Coder(n)
+    out = np.zeros((n, 3 * len(going) + 8), "<u2")
+
+    def move(lanes: np.ndarray, low: np.ndarray) -> None:
+        at = coder.at[lanes]
+        out[lanes, at] = low >> 32
+        coder.at[lanes] = at + 1
+
+    for t, m in enumerate(going.tolist()):
         if m < model.n:
             model.keep(m)
-        ids = grid[:m, t]
+        ids = grid[t, :m]
+        if t in (0, *_REBUILD):
+            first, entries = t, model.entries(grid[t : next((k for k in _REBUILD if k > t), len(grid)), :m])
         model.predict()
-        start, width, who = model.place(ids)
-        put(model.lane, start, width)
+        start, width, who = model.place(ids, entries[t - first, :m])
+        coder.narrow(slice(0, m), start, width, move)
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
-            put(spelled, ids[spelled], np.ones(len(spelled), np.int64))
+            coder.narrow(spelled, ids[spelled], np.ones(len(spelled), np.int64), move)
         model.learn(t, ids, who)
-    for _ in range(4):
-        out[np.arange(n), end] = low >> 24
-        end += 1
-        low = (low << 8) & 0xFFFFFFFF
+    for k in (32, 16, 0):
+        out[np.arange(n), coder.at] = coder.low >> k & 0xFFFF
+        coder.at += 1
     done = [b""] * n
     for k, i in enumerate(order):
-        done[i] = out[k, : end[k]].tobytes()
+        done[i] = out[k, : coder.at[k]].tobytes()
     return done
 
 
 def decode_blocks(codes: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(codes)), key=lambda i: -counts[i])
-    sizes = [counts[i] for i in order]
-    n, longest = len(order), max(counts, default=0)
-    data = np.zeros((n, max(map(len, codes), default=0) + 8), np.uint8)
+    order, going = _plan(counts)
+    n = len(order)
+    data = np.zeros((n, max(map(len, codes), default=0) // 2 + 8), "<u2")
     for k, i in enumerate(order):
-        data[k, : len(codes[i])] = np.frombuffer(codes[i], np.uint8)
-    model, grid = _Model(n), np.zeros((n, longest), np.uint16)
-    low, size = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-    code = data[:, :4].astype(np.int64) @ (1 << np.array([24, 16, 8, 0]))
-    read = np.full(n, 4, np.int64)
-
-    def target(lanes: np.ndarray) -> np.ndarray:
-        return np.minimum(((code[lanes] - low[lanes]) & 0xFFFFFFFF) // (size[lanes] >> 16), _TOTAL - 1)
-
-    def take(lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        lo, sz, co, at = low[lanes], size[lanes] >> 16, code[lanes], read[lanes]
-        lo = (lo + start * sz) & 0xFFFFFFFF
-        sz = sz * width
-        while len(go := _shift(lo, sz)):
-            co[go] = (co[go] << 8 | data[lanes[go], at[go]]) & 0xFFFFFFFF
-            at[go] += 1
-            lo[go], sz[go] = (lo[go] << 8) & 0xFFFFFFFF, (sz[go] << 8) & 0xFFFFFFFF
-        low[lanes], size[lanes], code[lanes], read[lanes] = lo, sz, co, at
-
-    for t in range(longest):
-        m = int(np.searchsorted(-np.array(sizes), -t))
+        data[k, : len(codes[i]) // 2] = np.frombuffer(codes[i], "<u2")
+    model, coder = _Model(n, len(going)), _Coder(n)
+    code = data[:, :3].astype(np.int64) @ (1 << np.array([32, 16, 0]))
+    coder.at += 3
+
+    def target(lanes) -> np.ndarray:
+        return np.minimum(((code[lanes] - coder.low[lanes]) & _REGISTER) // (coder.size[lanes] >> 16), _TOTAL - 1)
+
+    def move(lanes: np.ndarray, low: np.ndarray) -> None:
+        at = coder.at[lanes]
+        code[lanes] = (code[lanes] << 16 | data[lanes, at]) & _REGISTER
+        coder.at[lanes] = at + 1
+
+    for t, m in enumerate(going.tolist()):
         if m < model.n:
             model.keep(m)
         model.predict()
-        ids, start, width, who = model.at(target(model.lane))
-        take(model.lane, start, width)
+        ids, start, width, who = model.at(target(slice(0, m)))
+        coder.narrow(slice(0, m), start, width, move)
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
             ids[spelled] = target(spelled)
-            take(spelled, ids[spelled], np.ones(len(spelled), np.int64))
-        grid[:m, t] = ids
+            coder.narrow(spelled, ids[spelled], np.ones(len(spelled), np.int64), move)
         model.learn(t, ids, who)
+        if t == 0:
+            grid = np.zeros((len(going), n), np.uint16)
+        grid[t, :m] = ids
     done = [np.zeros(0, np.uint16)] * n
     for k, i in enumerate(order):
-        done[i] = grid[k, : sizes[k]]
+        done[i] = grid[: counts[i], k].copy() if counts[i] else done[i]
     return done
 
 

@@ -502,7 +502,7 @@ def test_text_media(odd, none):
 
 def test_frames_round_trip():
     rng = np.random.default_rng(8)
-    docs = [rng.integers(0, 50257, n).astype(np.uint16) for n in (1, 2, 0, 9000)] + [(rng.zipf(1.3, 6000) % 60000).astype(np.uint16), np.full(5000, 65535, np.uint16), np.tile(np.arange(50, dtype=np.uint16), 200)]
+    docs = [rng.integers(0, 50257, n).astype(np.uint16) for n in (1, 2, 0, 9000)] + [(rng.zipf(1.3, 6000) % 60000).astype(np.uint16), np.full(5000, 65534, np.uint16), np.tile(np.arange(50, dtype=np.uint16), 200)]
     frame = tokens.write_frame(docs)
     back = tokens.read_frame(frame)
     assert len(back) == len(docs) and all(np.array_equal(a, b) for a, b in zip(docs, back, strict=True))
