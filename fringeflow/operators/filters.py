@@ -13,6 +13,8 @@ from fringeflow.operators.cube import Series, lists, map_pixels, matrix, numbers
 
 #: Side of the tiles that a spatial filter is cut into (each with the margin that its window needs).
 TILE = 512
+#: Pixels whose terms are held at once.
+SUMMED = 512
 
 
 def _sums(px: DataFrame, columns: list[str], n: int, terms) -> np.ndarray:
@@ -21,8 +23,8 @@ def _sums(px: DataFrame, columns: list[str], n: int, terms) -> np.ndarray:
     def run(batches):
         total = None
         for b in batches:
-            if b.num_rows:
-                part = terms(*(b.column(c) for c in columns)).sum(axis=0)
+            for s in range(0, b.num_rows, SUMMED):
+                part = terms(*(b.column(c).slice(s, SUMMED) for c in columns)).sum(axis=0)
                 total = part if total is None else total + part
         if total is not None:
             e, k = np.indices(total.shape)
