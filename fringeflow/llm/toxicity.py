@@ -27,7 +27,7 @@ MAX_LABELLED, BUCKETS, MAX_FEATURES = 30_000, 1 << 20, 4096
 LEAST_TEXTS, LEAST_Z = 3, 5.0
 THRESHOLD = 0.7
 #: Words that a task remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 
 # Terms that name groups, swapped for each other.
 IDENTITY_TERMS = (
@@ -203,4 +203,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below THRESHOLD, with the columns they had."""
-    return with_score(docs, model).where(F.col("__score") < THRESHOLD).drop("__score")
+    score = "__score"
+    while score in docs.columns:
+        score += "_"
+    return with_score(docs, model, score_col=score).where(F.col(score) < THRESHOLD).drop(score)
