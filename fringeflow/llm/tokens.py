@@ -15,8 +15,10 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ _REBUILD = (32, 128, 512, 1024)  # powers of two
 _SLOTS, _NONE, _GROUP = 2048, 0xFFFF, 32
 _ORDER2, _ORDER1, _ORDER0, _ESCAPE = range(4)
 _TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 24
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
 
@@ -43,7 +45,8 @@ class Encoder:
     """Ids of texts by the tokenizers library; remembers words, in bounded memory.
 
     A single space between two other characters always starts a new piece of the tokenizer, so the
-    text is cut there and each different piece is encoded once.
+    text is cut there and each different piece is encoded once. New pieces go to the library as one
+    text, and its ids are cut where a token starts with a space.
     """
 
     def __init__(self, path: str):
@@ -52,6 +55,25 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= _NONE:
+            raise ValueError("ids must be below 65535")
+        self.spaced = np.zeros(_NONE, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if " " not in p]
+        ids = self.ids(" " + " ".join(plain))
+        cut = np.flatnonzero(self.spaced[ids]).tolist()
+        if len(cut) == len(plain):
+            raw, cut = ids.tobytes(), [2 * c for c in (*cut, len(ids))]
+            self.known.update(zip(plain, [raw[s:e] for s, e in zip(cut, cut[1:], strict=False)], strict=True))
+        for p in pieces:
+            if p not in self.known:
+                self.known[p] = self.ids(" " + p).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -60,14 +82,20 @@ class Encoder:
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
-        head = self.tokenizer.encode(pieces[0], add_special_tokens=False).ids if pieces[0] else []
-        new = [p for p in dict.fromkeys(pieces[1:]) if p not in known]
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch([" " + p for p in new], add_special_tokens=False), strict=True):
-                if max(e.ids, default=0) >= _NONE:
-                    raise ValueError("ids must be below 65535")
-                known[p] = np.array(e.ids, "<u2").tobytes()
-        return np.frombuffer(np.array(head, "<u2").tobytes() + b"".join([known[p] for p in pieces[1:]]), "<u2")
+        head = self.ids(pieces[0]).tobytes() if pieces[0] else b""
+        try:
+            return np.frombuffer(head + b"".join([known[p] for p in pieces[1:]]), "<u2")
+        except KeyError:
+            self.learn([p for p in dict.fromkeys(pieces[1:]) if p not in known])
+        return np.frombuffer(head + b"".join([known[p] for p in pieces[1:]]), "<u2")
+
+
+def encoder(path: str) -> Encoder:
+    """The Encoder of a tokenizer's file, kept by the Python worker from task to task."""
+    kept = vars(sys.modules.setdefault("_fringeflow_encoders", ModuleType("_fringeflow_encoders")))
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class _Model:
@@ -342,7 +370,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = pa.list_(pa.from_numpy_dtype(np.int64)) if dict(docs.dtypes)[id_col] == "bigint" else None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, frame = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, frame = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, held, n = [], [], 0
 
         def made() -> pa.RecordBatch:
@@ -350,7 +378,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.append(encoder(t), np.uint16(END))
+                x = np.append(words(t), np.uint16(END))
                 if held and n + len(x) > BLOCK * LANES:
                     yield made()
                     frame, ids, held, n = frame + 1, [], [], 0

@@ -24,7 +24,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows and ids, and extra columns with clashing names."""
-    return spark.createDataFrame(ODD, DOCS).withColumn("size", F.lit("x")).withColumn("component", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("row", F.lit(3)).cache()
+    return spark.createDataFrame(ODD, DOCS).withColumn("size", F.lit("x")).withColumn("component", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("row", F.lit(3)).withColumn("__score", F.lit(4)).cache()
 
 
 @pytest.fixture(scope="module")
