@@ -62,7 +62,7 @@ class Encoder:
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")  # without offsets
 
     def learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if " " not in p]
