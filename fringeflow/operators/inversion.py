@@ -27,12 +27,13 @@ def dem_error_column(pairs, range_m: float, incidence_deg: float) -> np.ndarray:
     return g
 
 
-def invert(stack: Stack, weights: str | None = None, dem_range_m: float | None = None, robust: bool = False, candidates: DataFrame | None = None) -> Series:
+def invert(stack: Stack, weights: str | None = None, dem_range_m: float | None = None, robust: bool = False, candidates: DataFrame | None = None, keep_phase: bool = False) -> Series:
     """Displacement at each epoch from the pairs' phases, pixel by pixel, over the pairs that the pixel has.
 
     weights: None (each pair alike), `coherence` or `variance`; dem_range_m adds a height error (column
     dem_error_m); robust minimises absolute residuals; candidates (row, col) restricts the work to
-    those pixels before anything is computed. A pixel whose pairs do not connect all epochs, or are
+    those pixels before anything is computed; keep_phase leaves the phases beside the series, so that its
+    temporal coherence needs no join. A pixel whose pairs do not connect all epochs, or are
     fewer than the unknowns, is NULL throughout; else the first epoch is 0.
     """
     n = len(stack.epochs)
@@ -75,7 +76,7 @@ def invert(stack: Stack, weights: str | None = None, dem_range_m: float | None =
         return [lists(disp)] if scale is None else [lists(disp), numbers(x[:, -1] / scale)]
 
     out = {"disp": "array<double>"} | ({"dem_error_m": "double"} if scale is not None else {})
-    px = map_pixels(px, ["phase", "coh"] if weigh else ["phase"], kernel, out, ["row", "col"])
+    px = map_pixels(px, ["phase", "coh"] if weigh else ["phase"], kernel, out, ["row", "col", *(["phase"] if keep_phase else [])])
     return Series(px, stack.epochs, stack.shape, stack.meta)
 
 
@@ -190,7 +191,9 @@ def temporal_coherence(stack: Stack, series: Series) -> DataFrame:
         with np.errstate(all="ignore"):
             return [numbers(np.hypot((np.cos(r) * ok).sum(axis=1), (np.sin(r) * ok).sum(axis=1)) / np.where(count > 0, count, np.nan))]
 
-    both = stack.px.select("row", "col", "phase").join(series.px.select("row", "col", "disp"), ["row", "col"])
+    both = series.px
+    if "phase" not in both.columns:
+        both = stack.px.select("row", "col", "phase").join(both.select("row", "col", "disp"), ["row", "col"])
     return map_pixels(both, ["phase", "disp"], kernel, {"temporal_coherence": "double"}, ["row", "col"])
 
 

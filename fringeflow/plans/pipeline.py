@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,12 @@ def _reference(stack: Stack, pixel: tuple[int, int] | None, region, fallback: tu
 
 
 def _solved(stack: Stack, solver: Solver, candidates: DataFrame | None = None) -> Series:
-    return inversion.invert(stack, solver.weights, solver.dem_range_m, solver.robust, candidates)
+    return inversion.invert(stack, solver.weights, solver.dem_range_m, solver.robust, candidates, keep_phase=True)
+
+
+def _used_again(px: DataFrame) -> DataFrame:
+    """Kept where it is computed (in memory, else on disk): several products are made of it."""
+    return px.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def run_sbas(spark: SparkSession, folder: str, config: SbasConfig | None = None) -> Products:
@@ -96,12 +102,14 @@ def run_sbas(spark: SparkSession, folder: str, config: SbasConfig | None = None)
     if coh is not None:
         phases = phases.withColumn("coh", F.lit(None).cast("double")).unionByName(coh[0].withColumn("phase", F.lit(None).cast("double")), allowMissingColumns=True)
         values["coh"] = "coh"
-    stack = Stack(to_pixels(phases, "pair_idx", len(m.pairs), **values), m.epochs, m.pairs, shape, m.meta)
+    stack = Stack(_used_again(to_pixels(phases, "pair_idx", len(m.pairs), **values)), m.epochs, m.pairs, shape, m.meta)
     stack, flags, closures = _closure(stack, config.correct_closure)
     stack, lost = _reference(stack, config.reference, config.reference_region, None)
     series = _solved(stack, config.solver, candidates)
+    series = series.with_px(_used_again(series.px))
     gamma = inversion.temporal_coherence(stack, series)
     dem = series.px.select("row", "col", "dem_error_m") if "dem_error_m" in series.px.columns else None
+    series = series.with_px(series.px.select("row", "col", "disp"))
     if should_apply_aps(len(m.epochs), config.aps_window):
         series = filters.correct_aps(series, config.aps_sigma, config.aps_window)
     if config.deramp:
@@ -121,11 +129,14 @@ def run_sbas_isce(spark: SparkSession, folder: str, config: SbasConfig | None =
             stack = isce.read_unwrapped(spark, folder, files)
         except MetadataError:
             stack = isce.read_unwrapped(spark, folder, files, coherence=False)
+    stack = stack.with_px(_used_again(stack.px))
     stack, flags, closures = _closure(stack, config.correct_closure)
     stack, lost = _reference(stack, config.reference, config.reference_region, (stack.shape[0] // 2, stack.shape[1] // 2))
     series = _solved(stack, config.solver)
+    series = series.with_px(_used_again(series.px))
     gamma = inversion.temporal_coherence(stack, series)
     dem = series.px.select("row", "col", "dem_error_m") if "dem_error_m" in series.px.columns else None
+    series = series.with_px(series.px.select("row", "col", "disp"))
     if config.deramp:
         series = filters.deramp(series, config.deramp)
     std = inversion.velocity_uncertainty(series) if len(series.epochs) >= 3 else None
