@@ -3,7 +3,8 @@
 A block is up to BLOCK ids and starts from an empty model. For each id three models are mixed: the
 id that followed the same two ids last time, the id that followed the same one, and the frequencies
 of the block's ids so far; an escape spells ids that are new to the block. The shares of the
-code space that each gets adapt to how often it was right, by how the last order-2 prediction fared.
+code space that each gets are set every 64 ids by how often it was right, by how the last order-2
+prediction fared.
 Coder and decoder run the same model, one step for many blocks at a time.
 
 A frame holds consecutive documents: header, ids of each document, then for each block its number of
@@ -12,11 +13,13 @@ ids, length and CRC-32 of the ids, and the code bytes. Frames are rows of a Parq
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import sys
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -33,61 +36,88 @@ BLOCK, LANES, END = 2048, 4096, 2
 MAGIC = b"FFTK1\0"
 #: Ids after which a block's order-0 table is made anew.
 _REBUILD = (32, 128, 512, 1024)  # powers of two
-_SLOTS, _NONE, _GROUP = 2048, 0xFFFF, 32
+_SLOTS, _NONE, _GROUP = 2048, 0xFFFF, 8
 _ORDER2, _ORDER1, _ORDER0, _ESCAPE = range(4)
-_TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 24
-_REMEMBERED = 800_000
+_TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 32
+#: Ids after which the models' shares are set anew: each _ADAPT, and the first ones.
+_ADAPT, _SOON = 64, (16, 32)
+#: Pieces after which a worker lets those go that it has not met again.
+_REMEMBERED = 400_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
+#: Latin words, digits, and signs but ', each with the space before it, and a line's end inside a piece: whole for the tokenizer.
+_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+#: How byte-level vocabularies write each byte: visible ones as they are, the others from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLING = "".join(chr(b if b in _VISIBLE else 256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256))
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; remembers words, in bounded memory.
+    """Ids of texts by the tokenizers library; remembers pieces of texts, in bounded memory.
 
     A single space between two other characters always starts a new piece of the tokenizer, so the
-    text is cut there and each different piece is encoded once. New pieces go to the library as one
-    text, and its ids are cut where a token starts with a space.
+    text is cut there and each different piece is encoded once. A new piece of plain words, digits and
+    signs is cut further, as the tokenizer would cut it, and the library's model gets its parts that
+    are new; any other goes to the library as it is, and so does a text that spells an added token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab()
-        if max(vocabulary.values()) >= _NONE:
+        self.tokenizer = Tokenizer.from_file(path)
+        if max(self.tokenizer.get_vocab().values()) >= _NONE:
             raise ValueError("ids must be below 65535")
-        self.spaced = np.zeros(_NONE, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")  # without offsets
-
-    def learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if " " not in p]
-        ids = self.ids(" " + " ".join(plain))
-        cut = np.flatnonzero(self.spaced[ids]).tolist()
-        if len(cut) == len(plain):
-            raw, cut = ids.tobytes(), [2 * c for c in (*cut, len(ids))]
-            self.known.update(zip(plain, [raw[s:e] for s, e in zip(cut, cut[1:], strict=False)], strict=True))
-        for p in pieces:
-            if p not in self.known:
-                self.known[p] = self.ids(" " + p).tobytes()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.parts, self.pieces = {}, _Pieces(self.piece)
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()  # without offsets
+
+    def part(self, part: str) -> bytes:
+        """Ids of what the tokenizer cuts into tokens only."""
+        found = [t.id for t in self.model.tokenize(charmap_decode(part.encode(), "strict", _SPELLING)[0])]
+        return struct.pack(f"<{len(found)}H", *found)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece that a space comes before."""
+        if piece.isalpha() and piece.isascii():
+            return self.part(" " + piece)
+        cut = _PARTS.findall(" " + piece)
+        if sum(map(len, cut)) != len(piece) + 1:
+            return self.ids(" " + piece)
+        if len(cut) == 1:
+            return self.part(cut[0])
+        out, parts = [self.pieces[cut[0][1:]]], self.parts
+        for p in cut[1:]:
+            if p not in parts:
+                parts[p] = self.part(p)
+            out.append(parts[p])
+        return b"".join(out)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
-        pieces = _APART.split(text) if _TWO.search(text) else text.split(" ")
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        head = self.ids(pieces[0]).tobytes() if pieces[0] else b""
-        try:
-            return np.frombuffer(head + b"".join([known[p] for p in pieces[1:]]), "<u2")
-        except KeyError:
-            self.learn([p for p in dict.fromkeys(pieces[1:]) if p not in known])
-        return np.frombuffer(head + b"".join([known[p] for p in pieces[1:]]), "<u2")
+        if any(t in text for t in self.added):
+            return np.frombuffer(self.ids(text), "<u2")
+        if len(self.pieces) > _REMEMBERED:
+            self.pieces = _Pieces(self.piece, self.pieces)
+        if len(self.parts) > _REMEMBERED:
+            self.parts.clear()
+        first, *pieces = _APART.split(text) if _TWO.search(text) else text.split(" ")
+        return np.frombuffer((self.ids(first) if first else b"") + b"".join(map(self.pieces.__getitem__, pieces)), "<u2")
+
+
+class _Pieces(dict):
+    """Ids of pieces, found when they are first asked for, or taken from those of before."""
+
+    def __init__(self, find, before: dict | None = None):
+        self.find, self.before = find, dict(before or {})
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.before.get(piece) or self.find(piece)
+        return got
 
 
 def encoder(path: str) -> Encoder:
@@ -104,143 +134,102 @@ class _Model:
     def __init__(self, lanes: int, longest: int):
         n = self.n = lanes
         self.next1, self.next2 = (np.full(n * _SLOTS, _NONE, np.uint16) for _ in range(2))
-        self.right = np.tile(np.array([4.0, 4.0, 24.0, 32.0]), 3 * n)  # by block, mood and model
-        self.past, self.mood = np.zeros((n, longest), np.uint16), np.zeros(n, np.int64)
-        self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.keys = self.entry_at = np.zeros(0, np.int32)
-        self.cum = self.freq = np.zeros(0, np.int64)
+        self.right = np.tile(np.array([4, 4, 24, 32]), (3 * n, 1))  # by block and mood, for each model
+        self.past, self.met = np.zeros((longest, n), np.uint16), np.zeros((_ADAPT, n), np.int32)
+        self.hash, self.hash_before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.row = np.arange(n) * 12  # of block and mood
         self.shift = None  # no order-0 table yet
-        self.places(n)
+        self.places()
+        self.share()
 
-    def places(self, n: int) -> None:
-        self.lane = np.arange(n)
-        self.slots, self.rows, self.spans = self.lane * _SLOTS, self.lane * 3, (self.lane << 16).astype(np.int32)
+    def places(self) -> None:
+        self.lane = np.arange(self.n)
+        self.slots, self.rows = self.lane * _SLOTS, self.lane * 12
 
     def keep(self, m: int) -> None:
         """Only the first m blocks go on."""
         self.n = m
-        self.places(m)
-        for k in ("past", "mood", "x1", "x2"):
-            setattr(self, k, getattr(self, k)[:m])
-        e = np.searchsorted(self.keys, np.int32(m << 16))
-        self.keys, self.cum, self.freq = self.keys[:e], self.cum[:e], self.freq[:e]
+        self.places()
+        self.hash, self.hash_before, self.row = self.hash[:m], self.hash_before[:m], self.row[:m]
+
+    def share(self) -> None:
+        """Where each model's share of the code space ends, by block, mood, and which of the two contexts foretell an id."""
+        has = np.array([[a, b, self.shift is not None, 1] for b in (0, 1) for a in (0, 1)])
+        w = self.right[: 3 * self.n, None, :] * has
+        part = (w * ((_TOTAL - 8192) / w.sum(axis=2, keepdims=True))).astype(np.int64)
+        if self.shift is not None:
+            part[:, :, _ORDER0] += 8128
+        end = np.cumsum(part, axis=2)
+        self.shares = (end[:, :, 0] | end[:, :, 1] << 16 | end[:, :, 2] << 32).ravel()
 
     def predict(self) -> None:
-        """Ids that the two contexts foretell, and where each model's share of the code space ends."""
-        self.slot1 = self.slots + ((self.x1 * 40503 >> 4) & (_SLOTS - 1))
-        self.slot2 = self.slots + ((self.x1 * 30011 + self.x2 * 50021 >> 3) & (_SLOTS - 1))
-        self.p1, self.p2 = self.next1[self.slot1], self.next2[self.slot2]
-        self.row = (self.rows + self.mood) * 4
-        w = self.right.reshape(-1, 4).take(self.rows + self.mood, axis=0)
-        a, b, d = w[:, 0] * (self.p2 != _NONE), w[:, 1] * ((self.p1 != _NONE) & (self.p1 != self.p2)), w[:, 3]
-        c = w[:, 2] if self.shift is not None else 0.0
-        each = (_TOTAL - 8192) / (a + b + c + d)
-        self.end2 = (a * each).astype(np.int64)
-        self.end1 = self.end2 + (b * each).astype(np.int64)
-        self.end0 = self.end1 + (0 if self.shift is None else (c * each).astype(np.int64) + 8128)
-
-    def place(self, ids: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size) in the code space for each block's id, and the model that has it; entry: its place in the order-0 table, or -1."""
-        hit2 = (self.p2 == ids) & (self.end2 > 0)
-        hit1 = (self.p1 == ids) & (self.end1 > self.end2) & ~hit2
-        start = np.where(hit2, 0, self.end2)
-        size = np.where(hit2, self.end2, self.end1 - self.end2)
-        who = np.where(hit2, _ORDER2, _ORDER1)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        new = rest
-        if self.shift is not None and len(rest):
-            at = entry[rest]
-            seen = at >= 0
-            known, new = rest[seen], rest[~seen]
-            self._order0(known, at[seen], start, size)
-            who[known] = _ORDER0
-        start[new], size[new], who[new] = self.end0[new], _TOTAL - self.end0[new], _ESCAPE
-        return start, size, who
-
-    def _order0(self, lanes: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        first = self.end1[lanes]
-        room, cum = self.end0[lanes] - first, self.cum[at]
-        low = cum * room >> self.shift
-        start[lanes] = first + low
-        size[lanes] = ((cum + self.freq[at]) * room >> self.shift) - low
-
-    def at(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, size, model) for a place in the code space; an escaped id is 0."""
-        two, one, zero = target < self.end2, target < self.end1, target < self.end0
-        start = np.where(two, 0, np.where(one, self.end2, self.end0))
-        size = np.where(two, self.end2, np.where(one, self.end1 - self.end2, _TOTAL - self.end0))
-        ids = np.where(two, self.p2, np.where(one, self.p1, 0)).astype(np.int64)
-        who = np.where(two, _ORDER2, np.where(one, _ORDER1, np.where(zero, _ORDER0, _ESCAPE)))
-        known = np.flatnonzero(zero & ~one)
-        if len(known):
-            first = self.end1[known]
-            u = (((target[known] - first + 1) << self.shift) - 1) // (self.end0[known] - first)
-            at = self.entry_at[(known << self.shift) + u]
-            self._order0(known, at, start, size)
-            ids[known] = self.keys[at] & 0xFFFF
-        return ids, start, size, who
+        """Ids that the two contexts foretell, and the ends of the models' shares, 16 bits each."""
+        self.slot1 = (self.hash & (_SLOTS - 1)) + self.slots
+        self.slot2 = (self.hash * 3 + self.hash_before & (_SLOTS - 1)) + self.slots
+        self.p1, self.p2 = self.next1.take(self.slot1), self.next2.take(self.slot2)
+        self.has2 = self.p2 != _NONE
+        case = self.has2.view(np.int8) + 2 * ((self.p1 != _NONE) & (self.p1 != self.p2))
+        self.ends = self.shares.take(self.row + case)
+
+    def space(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the share of each block's model."""
+        at = who.astype(np.int64) << 4
+        start = self.ends << 16 >> at & 0xFFFF
+        return start, ((self.ends >> at) - start - 1 & 0xFFFF) + 1
 
     def learn(self, t: int, ids: np.ndarray, who: np.ndarray) -> None:
-        self.right[self.row + who] += 24
-        if t % 64 == 63:
-            self.right = np.floor((self.right + 1) / 2)
-        self.mood = np.where(self.p2 == _NONE, 0, np.where(self.p2 == ids, 2, 1))
+        """After step t: ids (16 bits) and the models that had them."""
+        n = self.n
         self.next1[self.slot1] = ids
         self.next2[self.slot2] = ids
-        self.x2, self.x1 = self.x1, ids
-        self.past[:, t] = ids
-        if t + 1 in _REBUILD:
-            rows = np.sort(self.past[:, : t + 1], axis=1, kind="stable").astype(np.int32)
-            flat = (rows | self.spans[:, None]).ravel()
-            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            self.keys = flat[first]
-            self.freq = np.diff(np.r_[first, len(flat)])
-            self.cum = first - (self.keys >> 16).astype(np.int64) * (t + 1)
-            self.entry_at = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.freq)  # one for each count
-            self.shift = (t + 1).bit_length() - 1
+        self.past[t, :n] = ids
+        self.met[t % _ADAPT, :n] = self.row + who
+        self.row = self.rows + ((self.has2.view(np.int8) + (who == _ORDER2).view(np.int8)) << 2)
+        self.hash_before, self.hash = self.hash, ids.astype(np.int64) * 40503 >> 4
+        done = t + 1
+        if done in _REBUILD:
+            self.count(done)
+        if done % _ADAPT == 0 or done in _SOON:
+            since = max([k for k in (0, *_SOON) if k < done] + [done - _ADAPT])
+            hits = np.bincount(self.met[since % _ADAPT : t % _ADAPT + 1, :n].ravel(), minlength=12 * n)
+            self.right = (self.right[: 3 * n] + 24 * hits.reshape(-1, 4) + 1) >> 1
+            self.share()
+
+    def count(self, done: int) -> None:
+        """A new order-0 table. An entry: id, number of ids before it in order, how often it was there, 16 bits each."""
+        rows = np.sort(np.ascontiguousarray(self.past[:done, : self.n].T), axis=1, kind="stable").astype(np.int32)
+        flat = (rows | (self.lane << 16).astype(np.int32)[:, None]).ravel()
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        self.keys = flat[first]
+        self.often = np.diff(np.r_[first, len(flat)])
+        self.entry = (self.keys & 0xFFFF).astype(np.int64) | first % done << 16 | self.often << 32
+        self.shift = done.bit_length() - 1
 
     def entries(self, ids: np.ndarray) -> np.ndarray:
-        """Places in the order-0 table of ids (steps by blocks), -1 for those it does not have."""
-        out = np.full(ids.shape, -1, np.int32)
+        """Entries of ids (blocks by steps) in the order-0 table, 0 for those it does not have; as steps by blocks."""
+        out = np.zeros(ids.shape[::-1], np.int64)
         if self.shift is None:
             return out
-        dense = np.full(_GROUP << 16, -1, np.int32)
+        dense = np.zeros(_GROUP << 16, np.int64)
         cut = np.searchsorted(self.keys, np.arange(0, self.n + _GROUP, _GROUP, dtype=np.int32) << 16)
         for g in range(0, self.n, _GROUP):  # a few blocks at a time, so that the dense table stays small
             s, e = cut[g // _GROUP], cut[g // _GROUP + 1]
             own = self.keys[s:e] - (g << 16)
-            dense[own] = np.arange(s, e)
-            lanes = ids[:, g : g + _GROUP]
-            out[:, g : g + _GROUP] = dense[lanes + (np.arange(lanes.shape[1]) << 16)]
-            dense[own] = -1
+            dense[own] = self.entry[s:e]
+            lanes = ids[g : g + _GROUP]
+            out[:, g : g + _GROUP] = dense[lanes + (np.arange(len(lanes)) << 16)[:, None]].T
+            dense[own] = 0
         return out
 
+    def within(self, entry: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order-0 entry's part of the share (start, size)."""
+        cum = entry >> 16 & 0xFFFF
+        low = cum * size >> self.shift
+        return start + low, ((cum + (entry >> 32)) * size >> self.shift) - low
 
-class _Coder:
-    """Carry-less range coder states of many blocks: 48-bit low and range, 16 bits in or out at a time."""
-
-    def __init__(self, n: int):
-        self.low, self.size = np.zeros(n, np.int64), np.full(n, _REGISTER, np.int64)
-        self.at = np.zeros(n, np.int64)
-
-    def narrow(self, lanes, start: np.ndarray, width: np.ndarray, move) -> None:
-        """Take a part of each range; move(lanes, their low) passes the 16 leading bits on where they are settled."""
-        unit = self.size[lanes] >> 16
-        low, size = (self.low[lanes] + start * unit) & _REGISTER, unit * width
-        go = np.arange(len(low))
-        while True:
-            lo, sz = low[go], size[go]
-            settled = (lo ^ ((lo + sz) & _REGISTER)) < (1 << 32)
-            small = ~settled & (sz < _LEAST)
-            ready = np.flatnonzero(settled | small)
-            if not len(ready):
-                break
-            cut, lo = small[ready], lo[ready]
-            sz = np.where(cut, -lo & (_LEAST - 1), sz[ready])
-            go = go[ready]
-            move(go if isinstance(lanes, slice) else lanes[go], lo)
-            low[go], size[go] = (lo << 16) & _REGISTER, sz << 16
-        self.low[lanes], self.size[lanes] = low, size
+
+# A range coder with 48-bit ranges, of which 16 bits pass on at once: as a part is a 65536th at least,
+# a range of 32 bits or more needs one such move after each step, or none.
 
 
 def _plan(counts: list[int]) -> tuple[list[int], np.ndarray]:
@@ -254,36 +243,54 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The code bytes of each block of at most BLOCK ids."""
     order, going = _plan([len(b) for b in blocks])
     n = len(order)
-    grid = np.zeros((len(going), n), np.int64)
+    text = np.zeros((n, len(going)), np.int64)
     for k, i in enumerate(order):
-        grid[: len(blocks[i]), k] = blocks[i]
-    model, coder = _Model(n, len(going)), _Coder(n)
-    out = np.zeros((n, 3 * len(going) + 8), "<u2")
-
-    def move(lanes: np.ndarray, low: np.ndarray) -> None:
-        at = coder.at[lanes]
-        out[lanes, at] = low >> 32
-        coder.at[lanes] = at + 1
+        text[k, : len(blocks[i])] = blocks[i]
+    grid = np.ascontiguousarray(text.T, np.uint16)
+    model = _Model(n, len(going))
+    low, size, at = np.zeros(n, np.int64), np.full(n, _REGISTER, np.int64), np.zeros(n, np.int64)
+    out = np.zeros((2 * len(going) + 4, n), np.uint32)  # words of 16 bits and a carry
+
+    def move(lanes: np.ndarray) -> None:
+        x = low[lanes]
+        out[at[lanes], lanes] = x >> 32
+        low[lanes] = (x & 0xFFFFFFFF) << 16
+        size[lanes] <<= 16
+        at[lanes] += 1
 
     for t, m in enumerate(going.tolist()):
         if m < model.n:
             model.keep(m)
         ids = grid[t, :m]
         if t in (0, *_REBUILD):
-            first, entries = t, model.entries(grid[t : next((k for k in _REBUILD if k > t), len(grid)), :m])
+            first = t
+            entries = model.entries(text[:m, t : next((k for k in _REBUILD if k > t), None)])
+            else_by = np.where(entries > 0, np.int8(_ORDER0), np.int8(_ESCAPE))
         model.predict()
-        start, width, who = model.place(ids, entries[t - first, :m])
-        coder.narrow(slice(0, m), start, width, move)
+        who = np.where(model.p2 == ids, np.int8(_ORDER2), np.where(model.p1 == ids, np.int8(_ORDER1), else_by[t - first, :m]))
+        start, width = model.space(who)
+        known = np.flatnonzero(who == _ORDER0)
+        if len(known):
+            start[known], width[known] = model.within(entries[t - first].take(known), start[known], width[known])
+        unit = size[:m] >> 16
+        low[:m] += start * unit
+        np.multiply(unit, width, out=size[:m])
+        move(np.flatnonzero(size[:m] < _LEAST))
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
-            coder.narrow(spelled, ids[spelled], np.ones(len(spelled), np.int64), move)
+            unit = size[spelled] >> 16
+            low[spelled] += ids[spelled] * unit
+            size[spelled] = unit
+            move(spelled[unit < _LEAST])
         model.learn(t, ids, who)
     for k in (32, 16, 0):
-        out[np.arange(n), coder.at] = coder.low >> k & 0xFFFF
-        coder.at += 1
-    done = [b""] * n
+        out[at, np.arange(n)] = low >> k & (0x1FFFF if k == 32 else 0xFFFF)
+        at += 1
+    for k in range(int(at.max(initial=0)) - 1, 0, -1):
+        out[k - 1] += out[k] >> 16
+    words, done = np.ascontiguousarray(out.T.astype("<u2")), [b""] * n
     for k, i in enumerate(order):
-        done[i] = out[k, : coder.at[k]].tobytes()
+        done[i] = words[k, : at[k]].tobytes()
     return done
 
 
@@ -293,35 +300,52 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> list[np.ndarray]:
     data = np.zeros((n, max(map(len, codes), default=0) // 2 + 8), "<u2")
     for k, i in enumerate(order):
         data[k, : len(codes[i]) // 2] = np.frombuffer(codes[i], "<u2")
-    model, coder = _Model(n, len(going)), _Coder(n)
+    model = _Model(n, len(going))
     code = data[:, :3].astype(np.int64) @ (1 << np.array([32, 16, 0]))
-    coder.at += 3
+    size, at, last = np.full(n, _REGISTER, np.int64), np.arange(n) * data.shape[1] + 3, data.size - 1
+    data, expanded = data.ravel(), None
 
-    def target(lanes) -> np.ndarray:
-        return np.minimum(((code[lanes] - coder.low[lanes]) & _REGISTER) // (coder.size[lanes] >> 16), _TOTAL - 1)
-
-    def move(lanes: np.ndarray, low: np.ndarray) -> None:
-        at = coder.at[lanes]
-        code[lanes] = (code[lanes] << 16 | data[lanes, at]) & _REGISTER
-        coder.at[lanes] = at + 1
+    def move(lanes: np.ndarray) -> None:
+        own = at[lanes]
+        code[lanes] = code[lanes] << 16 | data.take(np.minimum(own, last))
+        size[lanes] <<= 16
+        at[lanes] = own + 1
 
     for t, m in enumerate(going.tolist()):
         if m < model.n:
             model.keep(m)
+        if t in _REBUILD:
+            expanded = np.repeat(model.entry, model.often)  # an entry for each id counted
         model.predict()
-        ids, start, width, who = model.at(target(slice(0, m)))
-        coder.narrow(slice(0, m), start, width, move)
+        ends, unit = model.ends, size[:m] >> 16
+        target = np.minimum((code[:m] / unit).astype(np.int64), _TOTAL - 1)  # exact: both are below 2**48
+        two, one = target < (ends & 0xFFFF), target < (ends >> 16 & 0xFFFF)
+        who = _ESCAPE - (two.view(np.int8) + one.view(np.int8) + (target < ends >> 32).view(np.int8))
+        start, width = model.space(who)
+        ids = np.where(two, model.p2, model.p1)
+        known = np.flatnonzero(who == _ORDER0)
+        if len(known):
+            s, w = start[known], width[known]
+            u = ((((target[known] - s + 1) << model.shift) - 1) / w).astype(np.int64)
+            entry = expanded.take((known << model.shift) + u)
+            ids[known] = entry & 0xFFFF
+            start[known], width[known] = model.within(entry, s, w)
+        code[:m] -= start * unit
+        np.multiply(unit, width, out=size[:m])
+        move(np.flatnonzero(size[:m] < _LEAST))
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
-            ids[spelled] = target(spelled)
-            coder.narrow(spelled, ids[spelled], np.ones(len(spelled), np.int64), move)
+            unit = size[spelled] >> 16
+            new = np.minimum(code[spelled] // unit, _TOTAL - 1)
+            ids[spelled] = new
+            code[spelled] -= new * unit
+            size[spelled] = unit
+            move(spelled[unit < _LEAST])
         model.learn(t, ids, who)
-        if t == 0:
-            grid = np.zeros((len(going), n), np.uint16)
-        grid[t, :m] = ids
     done = [np.zeros(0, np.uint16)] * n
+    grid = np.ascontiguousarray(model.past.T)
     for k, i in enumerate(order):
-        done[i] = grid[: counts[i], k].copy() if counts[i] else done[i]
+        done[i] = grid[k, : counts[i]].copy()
     return done
 
 
@@ -360,7 +384,7 @@ def read_frame(frame: bytes) -> list[np.ndarray]:
 
 
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, append END to each document, and write frames in ascending order of ids (null first, ties by text).
+    """Encode (added tokens that a text spells become their ids, as the library has it), append END to each document, and write frames in ascending order of ids (null first, ties by text).
 
     Returns the written table: part, frame (their order is the documents'), doc_ids, n_ids, data.
     """
@@ -376,6 +400,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([ids], kind) if kind else pa.array([ids]), pa.array([n], pa.int64()), pa.array([write_frame(held)], pa.binary())], ["part", "frame", "doc_ids", "n_ids", "data"])
 
+        gc.disable()  # nothing here makes cycles, and each collection would look through what is remembered
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.append(words(t), np.uint16(END))
@@ -387,6 +412,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 n += len(x)
         if held:
             yield made()
+        gc.enable()
 
     return materialize(rows.mapInArrow(encode, f"part int, frame int, doc_ids array<{dict(docs.dtypes)[id_col]}>, n_ids long, data binary"), "tokens")
 
