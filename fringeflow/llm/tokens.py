@@ -42,7 +42,7 @@ _TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 32
 #: Ids after which the models' shares are set anew: each _ADAPT, and the first ones.
 _ADAPT, _SOON = 64, (16, 32)
 #: Pieces after which a worker lets those go that it has not met again.
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
 #: Latin words, digits, and signs but ', each with the space before it, and a line's end inside a piece: whole for the tokenizer.
@@ -102,6 +102,7 @@ class Encoder:
         if any(t in text for t in self.added):
             return np.frombuffer(self.ids(text), "<u2")
         if len(self.pieces) > _REMEMBERED:
+            self.pieces.before = {}
             self.pieces = _Pieces(self.piece, self.pieces)
         if len(self.parts) > _REMEMBERED:
             self.parts.clear()
@@ -113,7 +114,7 @@ class _Pieces(dict):
     """Ids of pieces, found when they are first asked for, or taken from those of before."""
 
     def __init__(self, find, before: dict | None = None):
-        self.find, self.before = find, dict(before or {})
+        self.find, self.before = find, {} if before is None else before
 
     def __missing__(self, piece: str) -> bytes:
         got = self[piece] = self.before.get(piece) or self.find(piece)
