@@ -15,7 +15,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints stays."""
+    """One document of each group of similar texts (five-word shingles, Jaccard 0.8) stays."""
     return simhash.keep_one(docs)
 
 

@@ -26,6 +26,12 @@ from fringeflow.llm.store import materialize
 FAN, FRONTIER = 8, 1 << 20
 #: Shingle hashes that are counted at once.
 CHUNK = 1 << 16
+#: What keep_one takes as near copies: Jaccard similarity of shingles of so many words.
+WIDTH, SIMILARITY = 5, 0.8
+#: Share of bits in which fingerprints at that similarity differ (a cosine of 0.89), and how many differing bits of 64 a candidate may have (exceeded by one pair in a hundred there).
+NEAR_FLIP, RADIUS = 0.151, 17
+#: Routes on which near copies are first linked to a neighbour.
+FIRST_ROUTES = 6
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -166,6 +172,36 @@ class GrayIndex:
                 work.append((k - 1, np.repeat(q, fan), at, np.repeat(acc, fan), False))
         return label
 
+    def pairs(self, max_bits: int, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All index pairs (i < j) of a group's codes within max_bits bits and of different components, in portions."""
+        n = len(self.codes)
+        low, high = [component], [component]
+        for x in self.levels[1:]:
+            low.append(np.minimum.reduceat(low[-1], x["child"]))
+            high.append(np.maximum.reduceat(high[-1], x["child"]))
+        top, step = len(self.levels) - 1, FRONTIER // FAN
+        root = np.searchsorted(self.levels[top]["group"], self.group)
+        work = [(top, np.arange(s, min(n, s + step)), root[s : s + step]) for s in range(0, n, step)]
+        while work:
+            k, q, node = work.pop()
+            if len(q) > step:
+                half = len(q) // 2
+                work += [(k, q[:half], node[:half]), (k, q[half:], node[half:])]
+                continue
+            x = self.levels[k]
+            keep = x["last"][node] > q
+            keep &= (low[k][node] != component[q]) | (high[k][node] != component[q])
+            keep &= np.bitwise_count((self.codes[q] ^ x["low"][node]) & self.shared(k)[node]) <= max_bits
+            q, node = q[keep], node[keep]
+            if not len(q):
+                continue
+            if not k:
+                yield q, node
+                continue
+            fan = x["end"][node] - x["child"][node]
+            at = np.repeat(x["child"][node], fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+            work.append((k - 1, np.repeat(q, fan), at))
+
     def parents(self, k: int) -> np.ndarray:
         x = self.levels[k + 1]
         if "of" not in x:
@@ -239,11 +275,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """The rows of docs whose id is the least of its near-duplicate group; all columns as they came.
+def shingles(text: bytes | None, width: int = WIDTH) -> set[bytes]:
+    """The runs of `width` words; of a shorter text all its words; none of a text without words."""
+    words = text.lower().split() if text else []
+    if not words:
+        return set()
+    width = min(width, len(words))
+    return {b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)}
+
+
+def similarity(a: set, b: set) -> float:
+    """Jaccard; 1 for two empty sets."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def _node(text: bytes | None) -> int:
+    """A signed hash of the text's words: texts of equal nodes have equal shingles."""
+    x = xxhash.xxh64_intdigest(b" ".join(text.lower().split()) if text else b"", 1)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sampled_routes(n: int) -> list[int]:
+    """Masks of bits by which n codes are dealt out, so that pairs with NEAR_FLIP of their bits differing miss all routes once in a hundred."""
+    bits = max(4, round(np.log2(max(n, 1))) - 7)
+    count = int(np.ceil(np.log(0.01) / np.log(1 - (1 - NEAR_FLIP) ** bits)))
+    rng = np.random.default_rng(7)
+    return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(count)]
+
+
+def _candidates(nodes: DataFrame, routes: list[int], first: bool) -> DataFrame:
+    """Pairs (a, b) of nodes(node, fp, component) within RADIUS bits that share a route and not the component.
+
+    With `first` only each code's next one in Gray order and the head of its group, on the first routes:
+    enough to join large groups of near copies before all their pairs are asked for.
+    """
+    used = routes[:FIRST_ROUTES] if first else routes
+    keys = F.array(*[F.struct(F.lit(r).alias("route"), F.xxhash64(F.lit(r), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for r, m in enumerate(used)])
+    routed = nodes.select("node", "fp", "component", F.explode(keys).alias("x")).select("node", "fp", "component", "x.route", "x.key")
+    masks = np.array(used, np.uint64)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not got:
+            return
+        node, fp, component, route, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(size[group] > 1)
+        node, codes, component, route, group = node[at], fp[at].view(np.uint64), component[at], route[at], group[at]
+        if not len(at):
+            return
+        turn = (route * 11 % 64).astype(np.uint64)  # another order on each route
+        turned = (codes << turn) | (codes >> ((np.uint64(64) - turn) % np.uint64(64)))
+        order = np.lexsort((gray_rank(turned), group))
+        node, codes, component, route, group = node[order], codes[order], component[order], route[order], group[order]
+        if first:
+            here = np.arange(len(node))
+            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            heads = head[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
+            a, b = np.r_[here[:-1], heads], np.r_[here[1:], here]
+            ok = (group[a] == group[b]) & (np.bitwise_count(codes[a] ^ codes[b]) <= RADIUS)
+            found = [(a[ok], b[ok])]
+        else:
+            found = GrayIndex(group, codes).pairs(RADIUS, component)
+        for a, b in found:
+            apart, xor = component[a] != component[b], codes[a] ^ codes[b]
+            for r, m in enumerate(masks):  # only the first route that two codes share tells of them
+                if not first:
+                    apart &= (r >= route[a]) | (xor & m != 0)
+            a, b = node[a[apart]], node[b[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return routed.repartition("key").mapInArrow(join, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingles have at least the similarity asked for."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in b.column(0).cast(pa.large_binary()).to_pylist()], pa.int64()), b.column(0)], ["node", "text"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(named, "node long, text string")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    texts = materialize(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for x in batches:
+            out = []
+            for b, ta, tb in zip(x.column(1).to_pylist(), x.column(2).cast(pa.large_binary()).to_pylist(), x.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
+                if b != last:
+                    last, held = b, shingles(tb, width)
+                out.append(similarity(shingles(ta, width), held) >= least)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: the least id reachable over pairs of at least that Jaccard similarity of shingles.
+
+    Candidates are found by fingerprints on the same shingles (see sampled_routes and RADIUS for what that may
+    miss) and every link is checked on the texts. Texts without words are equal to each other.
+    """
+
+    def hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(t) for t in texts], pa.int64()), pa.array([fingerprint(t, width) for t in texts], pa.int64())], ["doc_id", "node", "fp"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    hashed = materialize(rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long"), "shingled")
+    nodes = materialize(hashed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
+    routes = sampled_routes(nodes.count())
+    links, of = None, nodes.withColumn("component", F.col("node"))
+    for first in (True, False):
+        pairs = materialize(_candidates(of.select("node", "fp", "component"), routes, first), "pairs")
+        more = _verified(pairs, docs, text_col, width, least)
+        links = more if links is None else links.unionAll(more)
+        groups = connected_components(links)
+        of = materialize(nodes.join(groups, "node", "left").select("node", "fp", "least", F.coalesce("component", "node").alias("component")), "grouped")
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return hashed.join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the least of its group of similar texts; all columns as they came.
 
     Of rows that repeat the same id all stay or go together; rows with a null id stay.
     """
-    cls = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("doc_id") != F.col("component_id"))
+    cls = similar_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
     gone = cls.select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
