@@ -1,45 +1,5 @@
-"""Tables written to the cluster's shared folder, so that lineage is cut and no step is computed twice."""
+"""Kept for its importers: see fringeflow.store."""
 
-from __future__ import annotations
+from fringeflow.store import discard, drop_path, materialize, new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="fringeflow-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fringeflow-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: it survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that no plan reads any more."""
-    drop_path(df.sparkSession, df.stored_at)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+__all__ = ["discard", "drop_path", "materialize", "new_path", "shared_dir"]

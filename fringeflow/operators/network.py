@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeflow.components import connected_components
 from fringeflow.errors import DimensionMismatch, InvalidNetwork
 from fringeflow.operators.cube import Pair, check_epochs
 
@@ -68,14 +69,13 @@ def largest_component(pairs, epochs: tuple[date, ...]) -> tuple[tuple[date, ...]
     return tuple(epochs[i] for i in keep), tuple(Pair(new[pairs[k].ref], new[pairs[k].sec], pairs[k].perp_baseline_m) for k in at), at
 
 
-def reachable(pairs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(epoch_idx) reachable from the earliest epoch, by a recursive query over pairs(ref_idx, sec_idx)."""
-    pairs.createOrReplaceTempView("__pairs")
-    return spark.sql(
-        """WITH RECURSIVE e(a, b) AS (SELECT ref_idx, sec_idx FROM __pairs UNION ALL SELECT sec_idx, ref_idx FROM __pairs),
-        r(epoch_idx, depth) AS (SELECT min(ref_idx), 0 FROM __pairs UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.epoch_idx WHERE r.depth < 8)
-        SELECT DISTINCT epoch_idx FROM r"""
-    )
+def reachable(pairs: DataFrame) -> DataFrame:
+    """(epoch_idx) reachable from the earliest epoch over pairs(ref_idx, sec_idx), however many hops away."""
+    first = pairs.agg(F.min("ref_idx").alias("epoch_idx"))
+    groups = connected_components(pairs.select("ref_idx", "sec_idx"))
+    its = groups.join(first, F.col("node") == F.col("epoch_idx")).select("component")
+    kind = dict(pairs.dtypes)["ref_idx"]
+    return groups.join(its, "component", "left_semi").select(F.col("node").cast(kind).alias("epoch_idx")).unionAll(first).distinct()
 
 
 def design_matrix(pairs, n: int) -> np.ndarray:

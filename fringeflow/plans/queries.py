@@ -70,7 +70,7 @@ def closure_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_E}, p AS (SELECT x.e AS i, y.e AS j FROM e x JOIN e y ON {_NEAR.format(days=5, base=200)}),
 g(a, b) AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p), h(epoch_idx) AS (SELECT min(i) FROM p UNION SELECT g.b FROM h JOIN g ON g.a = h.epoch_idx) SELECT epoch_idx FROM h""")
 def reachable_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.reachable(network.pairs_within(_epochs(spark, sf_dir), 5, 200.0), spark)
+    return network.reachable(network.pairs_within(_epochs(spark, sf_dir), 5, 200.0))
 
 
 @query(f"WITH {_E}, p AS (SELECT x.e AS i, y.e AS j, (row_number() OVER (ORDER BY x.e, y.e) - 1)::INT AS k FROM e x JOIN e y ON {_NEAR.format(days=12, base=60)}) SELECT k AS pair_idx, m.m::INT AS increment FROM p, LATERAL (SELECT unnest(range(i, j)) AS m) m")
