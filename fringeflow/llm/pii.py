@@ -82,6 +82,8 @@ _WORDY = re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(\s{{1,3}}(?:at|AT|@)\s{{1,3
 _WORDY_DOT = re.compile(r"\s{1,3}(?:dot|DOT|\.)\s{1,3}")
 _NUMBER = "|".join(_SPELLED)
 _DIGITS = re.compile(rf"(?i)(?<!\w)(?:(?:plus\s{{1,3}}|\+\s{{0,3}})?(?:{_NUMBER})|[0-9]+)(?:[\s,-]{{1,3}}(?:(?:dot|point)[\s,-]{{1,3}})?(?:{_NUMBER}|[0-9]+)){{3,80}}(?!\w)")
+# What every match of _WORDY and of _DIGITS (with its check) holds; the second only for letters that fold to ASCII ones.
+_AT_GATE, _NUMBER_GATE = re.compile(r"\s(?:at|AT|@)\s"), re.compile(rf"(?i){_NUMBER}")
 _DIGIT_PART = re.compile(rf"(?i)plus|\+|dot|point|{_NUMBER}|[0-9]|[\s,-]+")
 
 
@@ -95,11 +97,11 @@ def _rewrites(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if "[" in text or "(" in text or "{" in text or "<" in text:
         out += [(*m.span(), "@" if m.group(1) else ".") for m in _BRACKETS.finditer(text)]
-    if " dot " in low or " . " in low or " at " in low or " @ " in low:
+    if _AT_GATE.search(text):
         for m in _WORDY.finditer(text):
             out.append((*m.span(1), "@"))
             out += [(*d.span(), ".") for d in _WORDY_DOT.finditer(text, m.end(1), m.end())]
-    if sum(n in low for n in _SPELLED) >= 2:
+    if any(n in low for n in _SPELLED) or (not text.isascii() and _NUMBER_GATE.search(text)):
         for m in _DIGITS.finditer(text):
             if not re.search(rf"(?i){_NUMBER}", m.group()):
                 continue
