@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -28,15 +29,39 @@ WIDTH = 64
 _REMEMBERED = 500_000
 
 _SKIP = {"script", "style", "noscript", "template"}
+#: Skipped only where they are closed again.
+_MAY_STAY_OPEN = ("noscript", "template")
+_MAYBE_OPEN = re.compile(r"(?i)<(?:noscript|template)")
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "tr", "td", "th", "nav", "header", "footer", "figure", "figcaption", "blockquote", "pre", "title", "hr"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 ITEM = "array<struct<position: int, kind: string, text: string, src: string, digest: string, caption: string>>"
 
 
-class _Items(HTMLParser):
+class _Closed(HTMLParser):
+    """Which of the <noscript> and <template> tags, by their place among them, are closed again."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.skipping, self.figure, self.caption = [], [], 0, None, None
+        self.n, self.open, self.closed = 0, {t: [] for t in _MAY_STAY_OPEN}, set()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _MAY_STAY_OPEN:
+            self.open[tag].append(self.n)
+            self.n += 1
+
+    def handle_endtag(self, tag):
+        if self.open.get(tag):
+            self.closed.add(self.open[tag].pop())
+
+
+class _Items(HTMLParser):
+    """Items in order. A figure's caption is held until the figure ends: it goes to all of its media, or stays as a text where there are none."""
+
+    def __init__(self, closed: set[int]):
+        super().__init__(convert_charrefs=True)
+        self.items, self.text, self.closed, self.met = [], [], closed, 0
+        self.skipped = {t: [] for t in _SKIP}  # for each open tag, whether its text is skipped
+        self.figures = []  # of each open figure: its first item, captions (place, words), start of an open caption
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -46,36 +71,68 @@ class _Items(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
-            self.skipping += 1
+            skip = tag not in _MAY_STAY_OPEN or self.met in self.closed
+            self.met += tag in _MAY_STAY_OPEN
+            self.skipped[tag].append(skip)
         if tag in _BLOCK or tag in _MEDIA:
             self.flush()
         got = dict(attrs)
         if tag in _MEDIA and got.get("src"):
             self.items.append({"kind": tag, "text": None, "src": got["src"], "caption": got.get("alt") or got.get("title")})
         if tag == "figure":
-            self.figure = len(self.items)
-        if tag == "figcaption" and self.figure is not None:
-            self.caption = len(self.items)
+            self.figures.append({"first": len(self.items), "captions": [], "open": None})
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
+            self.figures[-1]["open"] = len(self.items)
+
+    def end_caption(self):
+        f = self.figures[-1]
+        if f["open"] is None:
+            return
+        inside = self.items[f["open"] :]
+        words = " ".join(x["text"] for x in inside if x["kind"] == "text")
+        self.items[f["open"] :] = [x for x in inside if x["kind"] != "text"]
+        if words:
+            f["captions"].append((f["open"], words))
+        f["open"] = None
+
+    def end_figure(self):
+        self.end_caption()
+        f = self.figures.pop()
+        media = [x for x in self.items[f["first"] :] if x["kind"] != "text"]
+        if media and f["captions"]:
+            words = " ".join(w for _, w in f["captions"])
+            for x in media:
+                if not x.get("captioned"):  # by a figure inside this one
+                    x["caption"], x["captioned"] = words, True
+            if not any(x["caption"] == words for x in media):
+                media = []
+        if not media:
+            for at, words in reversed(f["captions"]):
+                self.items.insert(at, {"kind": "text", "text": words, "src": None, "caption": None})
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skipping = max(0, self.skipping - 1)
+        if self.skipped.get(tag):
+            self.skipped[tag].pop()
         if tag in _BLOCK:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            words = " ".join(x["text"] for x in self.items[self.caption :] if x["kind"] == "text")
-            del self.items[self.caption :]
-            for x in self.items[self.figure :]:
-                if x["kind"] != "text":
-                    x["caption"] = words or x["caption"]
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
-        if not self.skipping:
+        if not any(map(any, self.skipped.values())):
             self.text.append(data)
 
+    def finish(self):
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        for x in self.items:
+            x.pop("captioned", None)
+
 
 def inline_payload(src: str) -> bytes | None:
     """The bytes of a data: reference; None for any other reference, or one that cannot be decoded."""
@@ -95,10 +152,13 @@ def parse(html: str | None) -> list[dict]:
     """Items in order. A media item's digest is that of its inline payload, else of its reference."""
     if not html:
         return []
-    p = _Items()
+    closed = _Closed()
+    if _MAYBE_OPEN.search(html):
+        closed.feed(html)
+        closed.close()
+    p = _Items(closed.closed)
     p.feed(html)
-    p.close()
-    p.flush()
+    p.finish()
     for i, x in enumerate(p.items):
         x["position"], x["digest"] = i, None
         if x["src"]:
