@@ -7,6 +7,7 @@ covers are pruned; the remaining rules stand in an inverted index under their ra
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: Verdict of a URL that no rule matches.
 DEFAULT = "allow"
 LABEL = "label="
+#: Longest value that stands in a token as it is.
+LONG = 64
 
 _SPLIT = re.compile(r"^([^/?#]*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", re.DOTALL)
 _WORDS = re.compile(r"[^0-9A-Za-z]+")
@@ -49,27 +52,38 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return name, verdict
 
 
+def _short(value: str) -> str:
+    """The value, or a digest of one that is long."""
+    return value if len(value) <= LONG else "sha256:" + hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def tokens(url: str | None) -> list[str]:
-    """At most 17 tokens: scheme, the last four host labels and the words of the host, three path steps, ending, four query names, fragment."""
+    """Tokens of the whole URL: scheme, every host label and the words of hyphenated ones, every path step and ending, every query name and argument, fragment."""
     m = _SPLIT.match(url or "")
     if not m:
         return []
     scheme, host, path, query, fragment = m.groups()
     labels = [x for x in host.lower().split(".") if x]
-    out = {f"scheme={scheme.lower()[:16]}"}
-    for i, x in enumerate(labels[::-1][:4]):
-        out.add(f"host{i}={x[:64]}")
-    out.update(f"word={w}" for x in labels[::-1][1:4] for w in _WORDS.split(x)[:3] if len(w) > 2 and "-" in x)
+    out = {f"scheme={_short(scheme.lower())}"}
+    for i, x in enumerate(labels[::-1]):
+        out.add(f"host{i}={_short(x)}")
+    out.update(f"word={_short(w)}" for x in labels if "-" in x for w in _WORDS.split(x) if w)
     steps = [x for x in path.split("/") if x]
-    for i, x in enumerate(steps[:3]):
-        stem, dot, ending = x.partition(".")
-        out.add(f"path{i}=" + ("#" if stem.isdigit() else stem.lower()[:64]))
-        if dot and i == len(steps) - 1:
-            out.add(f"ending={ending.lower()[:16]}")
-    if query and len(query) > 1:
-        out.update("query=" + q.partition("=")[0][:32] for q in query[1:].split("&")[:4])
+    for i, x in enumerate(steps):
+        stem, dot, ending = x.lower().partition(".")
+        out.add(f"path{i}={_short(stem)}")
+        if stem.isdigit():
+            out.add(f"path{i}=#")
+        if dot:
+            out.add(("ending=" if i == len(steps) - 1 else f"ending{i}=") + _short(ending))
+    for q in query[1:].split("&") if query else ():
+        name, given, _ = q.partition("=")
+        if q:
+            out.add("query=" + _short(name))
+        if given:
+            out.add("argument=" + _short(q))
     if fragment:
-        out.add("fragment")
+        out |= {"fragment", "fragment=" + _short(fragment[1:])}
     return sorted(out)
 
 
@@ -99,18 +113,37 @@ def pruned(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple
     return kept
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Rules from labelled(__tokens, label). Rows with a null label or without tokens teach nothing; no rows, no rules.
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
+    """Rules from labelled(__tokens, label), and for each frequent token the one that stands for it in the rules.
 
-    How many rules there can be depends on the support asked for and the tokens of a URL, not on the number of URLs.
+    Rows with a null label or without tokens teach nothing; no rows, no rules. How many rules there can be depends
+    on the support asked for and the tokens of a URL, not on the number of URLs.
     """
     items = labelled.where(F.col("label").isNotNull() & (F.size("__tokens") > 0))
-    items = items.select(F.concat("__tokens", F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
-    if items.isEmpty():
-        return []
+    shares = {x["label"]: x["count"] for x in items.groupBy("label").count().collect()}
+    rows = sum(shares.values())
+    if not rows:
+        return [], {}
+    # Tokens below the support are in no frequent rule. Of tokens that occur in exactly the same rows one stands for
+    # all, and tokens of all rows add nothing to a longer rule: rules that use more of them would be pruned below.
+    told = items.withColumn("row", F.xxhash64(F.monotonically_increasing_id()).cast("decimal(20,0)")).select("row", F.explode("__tokens").alias("t"))
+    often = told.groupBy("t").agg(F.count("*").alias("n"), F.sum("row").alias("where")).where(F.col("n") >= min_support * rows)
+    alike: dict = defaultdict(list)
+    for x in often.collect():  # at most a URL's tokens / min_support
+        alike[x["n"], x["where"]].append(x["t"])
+    same = {t: min(ts) for ts in alike.values() for t in ts}
+    everywhere = {min(ts) for (n, _), ts in alike.items() if n == rows}
+    bare = [((t,), label, n / rows, n / rows) for t in everywhere for label, n in shares.items() if n / rows >= min_confidence and n / rows >= min_support]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [sorted({same[t] for t in ts if t in same} - everywhere) + [LABEL + label] for ts, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.string()))], ["items"])
+
+    items = items.select("__tokens", "label").mapInArrow(thin, "items array<string>")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL))
-    return pruned([(tuple(sorted(r["antecedent"])), r["consequent"][0][len(LABEL) :], r["confidence"], r["support"]) for r in found.collect()])
+    return pruned(bare + [(tuple(sorted(r["antecedent"])), r["consequent"][0][len(LABEL) :], r["confidence"], r["support"]) for r in found.collect()]), same
 
 
 class Index:
@@ -149,12 +182,12 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
     seen = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     seen = materialize(with_tokens(seen.withColumn("rule", name).withColumn("stated", verdict)), "urls")
     taught = seen.select("__tokens", F.col("stated").alias("label")) if labelled is None else with_tokens(labelled.select("url", "label"))
-    mined = mine(taught, **kw)
+    mined, same = mine(taught, **kw)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(mined)
         for b in batches:
-            out = [v or index.best(t or []) or DEFAULT for v, t in zip(b.column("stated").to_pylist(), b.column("__tokens").to_pylist(), strict=True)]
+            out = [v or index.best(sorted({same[x] for x in t or () if x in same})) or DEFAULT for v, t in zip(b.column("stated").to_pylist(), b.column("__tokens").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(out, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return seen.mapInArrow(match, f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string")
