@@ -108,6 +108,16 @@ def coherence_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("row", "col", "pair_idx", r(P.coherence_weight(g, "coherence")).alias("w_coherence"), r(P.coherence_weight(g)).alias("w_variance"), P.coherence_mask(g, 0.6).alias("kept"))
 
 
+@query(f"""WITH {X.stack_sql()} SELECT "row", col, k AS pair_idx, {rs(_W, 'w_coherence')}, {rs(f'2 * {_W} * {_W} / (1 - {_W} * {_W})', 'w_variance')}, coh >= 0.6 AS kept, "row" BETWEEN 1 AND 7 AND col BETWEEN 2 AND 99 AS in_region FROM o""")
+def coherence_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coherence_weights over every pixel, with its region as a flag."""
+    px = X.stack(spark, sf_dir).px.where(F.exists("phase", lambda x: x.isNotNull()))
+    px = px.select("row", "col", F.posexplode(F.arrays_zip("phase", "coh")).alias("pair_idx", "x")).where("x.phase is not null")
+    g = F.col("x.coh")
+    weights = (r(P.coherence_weight(g, "coherence")).alias("w_coherence"), r(P.coherence_weight(g)).alias("w_variance"), P.coherence_mask(g, 0.6).alias("kept"))
+    return px.select("row", "col", "pair_idx", *weights, P.in_region(F.col("row"), F.col("col"), (1, 2, 7, 99)).alias("in_region"))
+
+
 _PX = f"{X.series_sql()}, px AS (SELECT DISTINCT \"row\", col, 30 + (\"row\" * 7 + col * 3) % 15 AS inc, 90 - (100 + (\"row\" + col) % 5) AS head, 900.0 + \"row\" % 100 AS p, 0.001 * (col + 1) AS q, 10 + \"row\" % 60 AS lat, (\"row\" * 37 + col * 11) % 3000 AS h FROM s)"
 
 
@@ -161,6 +171,15 @@ def reference_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([inversion.select_reference_pixel(coh, (0, 0, 9, 9))], "row int, col int")
 
 
+@query(f"""WITH {X.series_sql('s', 1, X.DAILY)}, g AS (SELECT "row", col, count(*) AS n, avg(0.3 + 0.6 * (("row" * 7 + col * 13 + e * 29) % 100)::DOUBLE / 100)::FLOAT AS m FROM s GROUP BY 1, 2)
+SELECT "row", col FROM g ORDER BY n DESC, m DESC, "row", col LIMIT 1""")
+def reference_pixel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference among all pixels."""
+    coh = X.long_series(spark, sf_dir, 1, X.DAILY).select("row", "col", (0.3 + 0.6 * ((F.col("row") * 7 + F.col("col") * 13 + F.col("epoch_idx") * 29) % 100).cast("double") / 100).alias("coh"))
+    got = inversion.select_reference_pixel(coh)
+    return spark.createDataFrame([got] if got else [], "row int, col int")
+
+
 _LOOPS = "l AS (SELECT ab.k AS ab, bc.k AS bc, ac.k AS ac FROM p ab JOIN p bc ON ab.j = bc.i JOIN p ac ON ac.i = ab.i AND ac.j = bc.j)"
 
 
@@ -407,6 +426,13 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row", "col", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), *(r(F.col(c), _DIGITS.get(c, 5)).alias(c) for c in _NAMES))
 
 
+@query(f"WITH {_FEAT} SELECT \"row\", col, {rs('4000.0 + (col + 0.5) * 30', 'x')}, {rs('9000.0 - (\"row\" + 0.5) * 30', 'y')}, {', '.join(rs(c, c, _DIGITS.get(c, 5)) for c in _NAMES)} FROM q")
+def feature_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_table of every pixel that has the features, without a mask."""
+    rows = FE.to_table(FE.extract(X.series(spark, sf_dir, 1, X.DAILY), _LINEAR), _NAMES, (4000.0, 9000.0, 30.0, -30.0))
+    return rows.select("row", "col", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), *(r(F.col(c), _DIGITS.get(c, 5)).alias(c) for c in _NAMES))
+
+
 @query()
 def features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.extract(X.series(spark, sf_dir, 1, X.DAILY))
