@@ -1,8 +1,9 @@
 """Token ids in compressed files: a context-mixing range coder over independent, checksummed blocks.
 
 A block is up to BLOCK ids and starts from an empty model. For each id three models are mixed: the
-id that followed the same two ids last time, the id that followed the same one, and the frequencies
-of the block's ids so far; an escape spells ids that are new to the block. The shares of the
+id that followed the same two ids last time, the id that followed the same one (one follower a context),
+and the frequencies of the block's ids as of the last of four refreshes, after 32, 128, 512 and 1,024 ids;
+an escape spells ids that were not in the block by then. The shares of the
 code space that each gets are set every 64 ids by how often it was right, by how the last order-2
 prediction fared.
 Coder and decoder run the same model, one step for many blocks at a time.
