@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences, under conflicts.
 
-A bin holds at most one document of a source and at most one of a duplicate cluster. Documents are
-dealt at random to shards of bounded size; each shard packs its own, largest first, into the
-tightest bin that has room and no conflict. Texts longer than a bin are cut: full pieces are bins of
-their own, made without any search, and only the remainder is packed.
+A bin holds at most one document of a source and at most one of a duplicate cluster, so at most as
+many documents as there are sources: with one source, one. Documents are dealt at random to shards of
+bounded size; each shard packs its own, largest first, into the tightest bin that has room and no
+conflict. Texts longer than a bin are cut: full pieces are bins of their own, made without any search,
+and only the remainder is packed.
 """
 
 from __future__ import annotations
@@ -104,5 +105,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """pack() of docs(doc_id, source, text): sizes in words, and equal texts as duplicate clusters."""
-    return pack(docs.select("doc_id", "source", F.xxhash64("text").alias("cluster"), words(F.col("text")).alias("size")), capacity, shard_rows)
+    """pack() of docs(doc_id, source, text): sizes in words, and equal texts as duplicate clusters; null texts are in none."""
+    cluster = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    return pack(docs.select("doc_id", "source", cluster.alias("cluster"), words(F.col("text")).alias("size")), capacity, shard_rows)

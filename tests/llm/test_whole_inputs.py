@@ -84,3 +84,11 @@ def test_interleave_keeps_every_letter_of_all_pages(spark):
         said = "".join(x["text"] for x in r["items"] if x["kind"] == "text")
         assert Counter(re.sub(r"\s", "", said)) == Counter(re.sub(r"\s", "", "".join(w.words)))
         assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+
+
+def test_null_texts_share_a_bin(spark):
+    from fringeflow.llm import packing
+
+    docs = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, None, "c")], "doc_id long, text string, source string")
+    got = packing.pack_documents(docs).collect()
+    assert [r["cluster"] for r in got] == [None] * 3 and len({r["bin_id"] for r in got}) == 1
