@@ -2,10 +2,10 @@
 
 A block is up to BLOCK ids and starts from an empty model. For each id three models are mixed: the
 id that followed the same two ids last time, the id that followed the same one (one follower a context),
-and the frequencies of the block's ids as of the last of four refreshes, after 32, 128, 512 and 1,024 ids;
-an escape spells ids that were not in the block by then. The shares of the
-code space that each gets are set every 64 ids by how often it was right, by how the last order-2
-prediction fared.
+and the frequencies of the block's ids as of the last of five refreshes, after 32, 128, 256, 512 and 1,024
+ids; ids that were not in the block by then are coded by a fixed share each, falling with the id. The parts
+of the code space that the models get are set every 64 ids by how often each was right, by how the last
+order-2 prediction fared.
 Coder and decoder run the same model, one step for many blocks at a time.
 
 A frame holds consecutive documents: header, ids of each document, then for each block its number of
@@ -15,6 +15,7 @@ ids, length and CRC-32 of the ids, and the code bytes. Frames are rows of a Parq
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import struct
@@ -36,30 +37,32 @@ from fringeflow.llm.store import materialize
 BLOCK, LANES, END = 2048, 4096, 2
 MAGIC = b"FFTK1\0"
 #: Ids after which a block's order-0 table is made anew.
-_REBUILD = (32, 128, 512, 1024)  # powers of two
+_REBUILD = (32, 128, 256, 512, 1024)  # powers of two
 _SLOTS, _NONE, _GROUP = 2048, 0xFFFF, 8
 _ORDER2, _ORDER1, _ORDER0, _ESCAPE = range(4)
 _TOTAL, _REGISTER, _LEAST = 1 << 16, (1 << 48) - 1, 1 << 32
 #: Ids after which the models' shares are set anew: each _ADAPT, and the first ones.
 _ADAPT, _SOON = 64, (16, 32)
-#: Pieces after which a worker lets those go that it has not met again.
+#: Bits of the code space of ids that are new in a block.
+_NEW_BITS = 20
+#: Words after which a worker lets those go that it has not met again.
 _REMEMBERED = 400_000
-_APART = re.compile(r"(?<=\S) (?=\S)")
-_TWO = re.compile(r"\s\s")
-#: Latin words, digits, and signs but ', each with the space before it, and a line's end inside a piece: whole for the tokenizer.
-_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+#: The settings of the tokenizers whose cuts _CUT reproduces (byte-level, GPT-2's pattern).
+_PRE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False}
+#: That pattern for texts of Latin letters, ASCII digits and signs; other characters are left out, so that a text with any is told by its length.
+_CUT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?'[!-/:-@\[-`{-~]*|[ \t\n\r]+(?!\S)|[ \t\n\r]+")
 #: How byte-level vocabularies write each byte: visible ones as they are, the others from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLING = "".join(chr(b if b in _VISIBLE else 256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256))
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; remembers pieces of texts, in bounded memory.
+    """Ids of texts by the tokenizers library; remembers words, in bounded memory.
 
-    A single space between two other characters always starts a new piece of the tokenizer, so the
-    text is cut there and each different piece is encoded once. A new piece of plain words, digits and
-    signs is cut further, as the tokenizer would cut it, and the library's model gets its parts that
-    are new; any other goes to the library as it is, and so does a text that spells an added token.
+    Where the tokenizer is of the kind that _CUT reproduces and a text has only characters that it knows,
+    the text is cut here and the library's model gets each different word once. Any other tokenizer or
+    text, and a text that spells an added token, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -71,54 +74,40 @@ class Encoder:
             raise ValueError("ids must be below 65535")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.parts, self.pieces = {}, _Pieces(self.piece)
+        kind = json.loads(self.tokenizer.to_str())
+        own = kind["model"]
+        self.cuts = own["type"] == "BPE" and kind["normalizer"] is None and kind["truncation"] is None
+        self.cuts &= _PRE.items() <= (kind["pre_tokenizer"] or {}).items() and all(own.get(k) == v for k, v in _PLAIN.items())
+        self.words = _Words(self.word)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()  # without offsets
 
-    def part(self, part: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """Ids of what the tokenizer cuts into tokens only."""
-        found = [t.id for t in self.model.tokenize(charmap_decode(part.encode(), "strict", _SPELLING)[0])]
+        found = [t.id for t in self.model.tokenize(charmap_decode(word.encode(), "strict", _SPELLING)[0])]
         return struct.pack(f"<{len(found)}H", *found)
 
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece that a space comes before."""
-        if piece.isalpha() and piece.isascii():
-            return self.part(" " + piece)
-        cut = _PARTS.findall(" " + piece)
-        if sum(map(len, cut)) != len(piece) + 1:
-            return self.ids(" " + piece)
-        if len(cut) == 1:
-            return self.part(cut[0])
-        out, parts = [self.pieces[cut[0][1:]]], self.parts
-        for p in cut[1:]:
-            if p not in parts:
-                parts[p] = self.part(p)
-            out.append(parts[p])
-        return b"".join(out)
-
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
-        if any(t in text for t in self.added):
+        words = _CUT.findall(text) if self.cuts else ()
+        if sum(map(len, words)) != len(text) or any(t in text for t in self.added):
             return np.frombuffer(self.ids(text), "<u2")
-        if len(self.pieces) > _REMEMBERED:
-            self.pieces.before = {}
-            self.pieces = _Pieces(self.piece, self.pieces)
-        if len(self.parts) > _REMEMBERED:
-            self.parts.clear()
-        first, *pieces = _APART.split(text) if _TWO.search(text) else text.split(" ")
-        return np.frombuffer((self.ids(first) if first else b"") + b"".join(map(self.pieces.__getitem__, pieces)), "<u2")
+        if len(self.words) > _REMEMBERED:
+            self.words.before = {}
+            self.words = _Words(self.word, self.words)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
 
 
-class _Pieces(dict):
-    """Ids of pieces, found when they are first asked for, or taken from those of before."""
+class _Words(dict):
+    """Ids of words, found when they are first asked for, or taken from those of before."""
 
     def __init__(self, find, before: dict | None = None):
         self.find, self.before = find, {} if before is None else before
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.before.get(piece) or self.find(piece)
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.before.get(word) or self.find(word)
         return got
 
 
@@ -130,6 +119,17 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of each id in a code space of 2**_NEW_BITS, and the id at each place: lower ids, which vocabularies make first, get more."""
+    share = 1 / (np.arange(_NONE) + 256.0)
+    end = np.floor(np.cumsum(share) / share.sum() * ((1 << _NEW_BITS) - _NONE)).astype(np.int64) + np.arange(1, _NONE + 1)
+    size = np.diff(end, prepend=0)
+    return end - size, size, np.repeat(np.arange(_NONE, dtype=np.uint16), size)
+
+
+_NEW_START, _NEW_SIZE, _NEW_ID = _prior()
+
+
 class _Model:
     """The state of many blocks at once; one that is done is dropped."""
 
@@ -230,8 +230,8 @@ class _Model:
         return start + low, ((cum + (entry >> 32)) * size >> self.shift) - low
 
 
-# A range coder with 48-bit ranges, of which 16 bits pass on at once: as a part is a 65536th at least,
-# a range of 32 bits or more needs one such move after each step, or none.
+# A range coder with 48-bit ranges, of which 16 bits pass on at once: as a model's part is a 65536th at least,
+# a range of 32 bits or more needs one such move after it, or none; a new id's part may be less, and needs up to two.
 
 
 def _plan(counts: list[int]) -> tuple[list[int], np.ndarray]:
@@ -251,7 +251,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     grid = np.ascontiguousarray(text.T, np.uint16)
     model = _Model(n, len(going))
     low, size, at = np.zeros(n, np.int64), np.full(n, _REGISTER, np.int64), np.zeros(n, np.int64)
-    out = np.zeros((2 * len(going) + 4, n), np.uint32)  # words of 16 bits and a carry
+    out = np.zeros((3 * len(going) + 4, n), np.uint32)  # words of 16 bits and a carry
 
     def move(lanes: np.ndarray) -> None:
         x = low[lanes]
@@ -271,19 +271,20 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict()
         who = np.where(model.p2 == ids, np.int8(_ORDER2), np.where(model.p1 == ids, np.int8(_ORDER1), else_by[t - first, :m]))
         start, width = model.space(who)
-        known = np.flatnonzero(who == _ORDER0)
-        if len(known):
-            start[known], width[known] = model.within(entries[t - first].take(known), start[known], width[known])
+        if model.shift is not None:
+            start, width = model.within(np.where(who == _ORDER0, entries[t - first, :m], 1 << 32 + model.shift), start, width)
         unit = size[:m] >> 16
         low[:m] += start * unit
         np.multiply(unit, width, out=size[:m])
         move(np.flatnonzero(size[:m] < _LEAST))
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
-            unit = size[spelled] >> 16
-            low[spelled] += ids[spelled] * unit
-            size[spelled] = unit
-            move(spelled[unit < _LEAST])
+            unit, new = size[spelled] >> _NEW_BITS, ids[spelled]
+            low[spelled] += _NEW_START[new] * unit
+            size[spelled] = unit = _NEW_SIZE[new] * unit
+            spelled = spelled[unit < _LEAST]
+            move(spelled)
+            move(spelled[size[spelled] < _LEAST])
         model.learn(t, ids, who)
     for k in (32, 16, 0):
         out[at, np.arange(n)] = low >> k & (0x1FFFF if k == 32 else 0xFFFF)
@@ -337,12 +338,13 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> list[np.ndarray]:
         move(np.flatnonzero(size[:m] < _LEAST))
         spelled = np.flatnonzero(who == _ESCAPE)
         if len(spelled):
-            unit = size[spelled] >> 16
-            new = np.minimum(code[spelled] // unit, _TOTAL - 1)
-            ids[spelled] = new
-            code[spelled] -= new * unit
-            size[spelled] = unit
-            move(spelled[unit < _LEAST])
+            unit = size[spelled] >> _NEW_BITS
+            ids[spelled] = new = _NEW_ID[np.minimum((code[spelled] / unit).astype(np.int64), len(_NEW_ID) - 1)]
+            code[spelled] -= _NEW_START[new] * unit
+            size[spelled] = unit = _NEW_SIZE[new] * unit
+            spelled = spelled[unit < _LEAST]
+            move(spelled)
+            move(spelled[size[spelled] < _LEAST])
         model.learn(t, ids, who)
     done = [np.zeros(0, np.uint16)] * n
     grid = np.ascontiguousarray(model.past.T)
@@ -386,7 +388,7 @@ def read_frame(frame: bytes) -> list[np.ndarray]:
 
 
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode (added tokens that a text spells become their ids, as the library has it), append END to each document, and write frames in ascending order of ids (null first, ties by text).
+    """Encode with the tokenizers library, whatever kind the file's tokenizer is (added tokens that a text spells become their ids, as the library has it), append END to each document, and write frames in ascending order of ids (null first, ties by text).
 
     Returns the written table: part, frame (their order is the documents'), doc_ids, n_ids, data.
     """
@@ -421,16 +423,11 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in files of write(): start counts the ids of all documents before."""
-    per_part = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    before, offset = 0, F.lit(0).cast("long")
-    pairs = []
-    for p in sorted(per_part):
-        pairs += [F.lit(p), F.lit(before).cast("long")]
-        before += per_part[p]
-    if pairs:
-        offset = F.element_at(F.create_map(*pairs), F.col("part"))  # an entry for each task that wrote
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
+    per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "frame", (offset + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).alias("start"))
+    starts = files.select("part", "frame", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("own")).join(F.broadcast(per_part), "part")
+    starts = starts.select("part", "frame", (F.col("offset") + F.col("own")).alias("start"))
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
