@@ -29,23 +29,17 @@ def words(text: Column) -> Column:
 def numbered(df: DataFrame, order: list[Column], name: str, index: str) -> DataFrame:
     """df sorted over all partitions, with each row's place (from 0) in column `index`.
 
-    Rows that compare equal are spread over partitions too. One range shuffle; only a count per
-    partition comes to the driver.
+    Rows that compare equal are spread over partitions too. One range shuffle, and a table of a count
+    per partition.
     """
-    spark = df.sparkSession
     df = df.withColumn("__tie", F.monotonically_increasing_id())
     parted = df.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, F.col("__tie")).drop("__tie")
     kept = materialize(parted.withColumn("__at", F.monotonically_increasing_id()), name)
     part = F.shiftright("__at", 33)
-    counts = sorted((r["p"], r["n"]) for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, before))
-        before += n
-    if not offsets:
-        return kept.withColumn(index, F.col("__at")).drop("__at")
-    table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(int(p)).cast("long").alias("__p"), F.lit(o).cast("long").alias("__o")) for p, o in offsets])).alias("x")).select("x.*")
-    out = kept.join(F.broadcast(table), part == F.col("__p"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))  # a row for each partition
+    offsets = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
+    out = kept.join(F.broadcast(offsets), part == F.col("__p"))
     return out.withColumn(index, F.col("__o") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__o")
 
 
