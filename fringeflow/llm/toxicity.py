@@ -1,9 +1,9 @@
 """Toxicity: a logistic regression over words and word beginnings, trained with counterfactual pairs.
 
-Labelled texts that mention an identity term are also read with another term in its place; the
-training penalises any change of the log-odds between the two, so that a neutral mention of a group
-moves no score. Features are counted over a bounded, hash-chosen sample of the labelled rows; the
-best are kept; scoring reads every whole text.
+Each labelled text is also read with an identity term swapped for another of its language; a text that has
+none gets one inserted first, under the same label. The training penalises any change of the log-odds under the
+swap, and under the insertion, so that a neutral mention of a group moves no score. Features are counted over a bounded, hash-chosen
+sample of the labelled rows; the best are kept, and the terms' own; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -29,16 +29,55 @@ THRESHOLD = 0.7
 #: Words that a task remembers.
 _REMEMBERED = 250_000
 
-# Terms that name groups, swapped for each other.
-IDENTITY_TERMS = (
-    "african", "american", "asian", "atheist", "bisexual", "black", "blind", "buddhist", "canadian", "catholic", "chinese",
-    "christian", "deaf", "disabled", "elderly", "european", "female", "gay", "hindu", "hispanic", "immigrant", "indian",
-    "japanese", "jewish", "latino", "lesbian", "male", "mexican", "muslim", "old", "queer", "refugee", "sikh", "straight",
-    "trans", "transgender", "white", "woman", "man", "young",
-)
+# Terms that name groups, by language; a term is swapped for another of its language and number.
+IDENTITY_TERMS = {
+    "en": (
+        "african", "american", "asian", "atheist", "bisexual", "black", "blind", "buddhist", "canadian", "catholic", "chinese",
+        "christian", "deaf", "disabled", "elderly", "european", "female", "gay", "hindu", "hispanic", "immigrant", "indian",
+        "japanese", "jewish", "latino", "lesbian", "male", "mexican", "muslim", "old", "queer", "refugee", "sikh", "straight",
+        "trans", "transgender", "white", "woman", "man", "young",
+    ),
+    "es": (
+        "africano", "americano", "asiático", "ateo", "blanco", "budista", "católico", "ciego", "chino", "cristiano", "discapacitado",
+        "europeo", "gitano", "indio", "inmigrante", "japonés", "joven", "judío", "lesbiana", "mexicano", "mujer", "hombre", "musulmán",
+        "negro", "refugiado", "sordo", "transexual", "anciano",
+    ),
+    "fr": (
+        "africain", "américain", "arabe", "asiatique", "athée", "aveugle", "blanc", "bouddhiste", "catholique", "chinois", "chrétien",
+        "européen", "femme", "handicapé", "homme", "immigré", "indien", "japonais", "jeune", "juif", "lesbienne", "mexicain", "musulman",
+        "noir", "réfugié", "sourd", "transgenre", "vieux",
+    ),
+    "de": (
+        "afrikaner", "amerikaner", "araber", "asiate", "atheist", "behinderter", "blinder", "buddhist", "chinese", "christ", "einwanderer",
+        "europäer", "flüchtling", "frau", "mann", "inder", "japaner", "jude", "katholik", "lesbe", "mexikaner", "muslim", "schwarzer",
+        "schwuler", "türke", "weißer",
+    ),
+}
+# Plurals that no rule of _plural gives.
+_PLURALS = {"woman": "women", "man": "men", "joven": "jóvenes", "frau": "frauen", "mann": "männer", "christ": "christen", "katholik": "katholiken"}
+
+
+def _plural(term: str, language: str) -> str:
+    if term in _PLURALS:
+        return _PLURALS[term]
+    last = term[-1]
+    if language == "de":
+        return term if term.endswith("er") else term + ("n" if last == "e" else "en" if term.endswith("ist") else "e")
+    if language == "es" and term.endswith(("és", "án")):
+        return term[:-2] + {"é": "es", "á": "an"}[term[-2]] + "es"
+    if language == "es" and last not in "aeiou":
+        return term + "es"
+    return term if last in "sx" else term + "s"
+
+
+#: The terms that each stands beside: its language's, of its number.
+_BESIDE: dict[str, tuple[str, ...]] = {}
+for _language, _terms in IDENTITY_TERMS.items():
+    for _group in (_terms, tuple(_plural(t, _language) for t in _terms)):
+        for _term in _group:
+            _BESIDE.setdefault(_term, _group)
 
 _WORD = re.compile(r"\w+")
-_TERM = re.compile(r"(?<!\w)(?:" + "|".join(IDENTITY_TERMS) + r")(?!\w)", re.IGNORECASE)
 
 
 @dataclass
@@ -58,12 +97,32 @@ def _of_word(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(m) % BUCKETS for m in marks]
 
 
+def _other(term: str, shift: int) -> str:
+    beside = _BESIDE[term]
+    return beside[(beside.index(term) + 1 + shift % (len(beside) - 1)) % len(beside)]
+
+
 def swapped(text: str) -> str | None:
     """text with each identity term replaced by another, always the same one; None if it has none."""
-    if not _TERM.search(text):
+    if _BESIDE.keys().isdisjoint(_WORD.findall(text.lower())):
         return None
-    shift = 1 + xxhash.xxh32_intdigest(text) % (len(IDENTITY_TERMS) - 1)
-    return _TERM.sub(lambda m: IDENTITY_TERMS[(IDENTITY_TERMS.index(m.group().lower()) + shift) % len(IDENTITY_TERMS)], text)
+    shift = xxhash.xxh32_intdigest(text)
+    return _WORD.sub(lambda m: _other(x, shift) if (x := m.group().lower()) in _BESIDE else m.group(), text)
+
+
+def counterfactual(words: set[str], seed: int) -> tuple[set[str], set[str], set[str]]:
+    """Of a text's words: what is inserted, what the swap then takes away, and what it puts there instead.
+
+    A text without an identity term gets one (of any language) inserted first; one that has terms keeps them.
+    """
+    have, put = words & _BESIDE.keys(), set()
+    if not have:
+        have = put = {_ALL_TERMS[seed % len(_ALL_TERMS)]}
+    new = {_other(t, seed // len(_ALL_TERMS)) for t in have}
+    return put, have - new, new - have - words
+
+
+_ALL_TERMS = sorted(_BESIDE)
 
 
 class Reader:
@@ -73,9 +132,12 @@ class Reader:
         self.wanted, self.known = wanted, {}
 
     def __call__(self, text: str | None) -> set[int]:
+        return self.of(set(_WORD.findall(text.lower())) if text else set())
+
+    def of(self, words: set[str]) -> set[int]:
         found: set[int] = set()
         known = self.known
-        for w in set(_WORD.findall(text.lower())) if text else ():
+        for w in words:
             got = known.get(w)
             if got is None:
                 got = tuple(b for b in _of_word(w) if self.wanted is None or b in self.wanted)
@@ -114,21 +176,27 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _rows(sample: DataFrame, buckets: list[int]) -> DataFrame:
-    """(y, x, swapped): places in `buckets` that each text has, and has after the swap (null if nothing was swapped)."""
+    """For each text its y, places in `buckets` that it has (x), those that the inserted term adds, and what a swap then takes and puts."""
     place = {b: i for i, b in enumerate(buckets)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(place)
+
+        def at(found: set[int]) -> list[int]:
+            return sorted(place[k] for k in found)
+
         for b in batches:
-            x, z = [], []
+            cols = [[] for _ in range(4)]
             for t in b.column(1).to_pylist():
-                other = swapped(t) if t else None
-                x.append(sorted(place[k] for k in reader(t)))
-                z.append(None if other is None else sorted(place[k] for k in reader(other)))
+                words = set(_WORD.findall(t.lower())) if t else set()
+                put, gone, new = counterfactual(words, xxhash.xxh32_intdigest(t or ""))
+                x, told, other = reader.of(words), reader.of(words | put), reader.of((words | put) - gone | new)
+                for c, found in zip(cols, (x, told - x, told - other, other - told), strict=True):
+                    c.append(at(found))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, kind), pa.array(z, kind)], ["y", "x", "swapped"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c in cols)], ["y", "x", "put", "gone", "new"])
 
-    return sample.mapInArrow(read, "y int, x array<int>, swapped array<int>")
+    return sample.mapInArrow(read, "y int, x array<int>, put array<int>, gone array<int>, new array<int>")
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,23 +204,23 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), size), np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
 
 
-def fit(y: np.ndarray, x: list, z: list, n: int, swap_penalty: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and weights of n features: mean log-loss + ridge * |w|^2 + swap_penalty * mean (log-odds change under a swap)^2."""
+def fit(y: np.ndarray, x: list, put: list, gone: list, new: list, n: int, swap_penalty: float = 1.0, ridge: float = 1e-5, steps: int = 400) -> tuple[float, np.ndarray]:
+    """Bias and weights of n features: mean log-loss of the texts and of the same with a term inserted + ridge * |w|^2 + swap_penalty * (mean (log-odds change under a swap)^2 + the same under the insertion)."""
     row, col = _flat(x)
-    pairs = [i for i, r in enumerate(z) if r is not None]
-    ra, ca = _flat([x[i] for i in pairs])
-    rb, cb = _flat([z[i] for i in pairs])
+    (rp, cp), (rg, cg), (rn, cn) = map(_flat, (put, gone, new))
+    size = max(1, len(y))
     w, b = np.zeros(n), 0.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], len(y)), -40, 40)))
-        e = (p - y) / max(1, len(y))
-        g = np.bincount(col, e[row], n) + 2 * ridge * w
-        if pairs:
-            d = np.bincount(ra, w[ca], len(pairs)) - np.bincount(rb, w[cb], len(pairs))
-            d *= 2 * swap_penalty / len(pairs)
-            g += np.bincount(ca, d[ra], n) - np.bincount(cb, d[rb], n)
-        g = np.append(g, e.sum())
+        z = b + np.bincount(row, w[col], len(y))
+        told = z + np.bincount(rp, w[cp], len(y))
+        e, more = (((1 / (1 + np.exp(-np.clip(s, -40, 40)))) - y) / (2 * size) for s in (z, told))
+        g = np.bincount(col, (e + more)[row], n) + np.bincount(cp, more[rp], n) + 2 * ridge * w
+        d = (np.bincount(rg, w[cg], len(y)) - np.bincount(rn, w[cn], len(y))) * (2 * swap_penalty / size)
+        g += np.bincount(cg, d[rg], n) - np.bincount(cn, d[rn], n)
+        d = np.bincount(rp, w[cp], len(y)) * (2 * swap_penalty / size)
+        g += np.bincount(cp, d[rp], n)
+        g = np.append(g, (e + more).sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -164,7 +232,9 @@ def fit(y: np.ndarray, x: list, z: list, n: int, swap_penalty: float = 1.0, ridg
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, swap_penalty: float = 1.0) -> Model:
     """Learn from at most about max_labelled labelled rows that are not held out.
 
-    Without rows of both classes no feature is kept and every score is the (clipped) share of toxic rows.
+    Features are the MAX_FEATURES words and beginnings that tell the classes apart best, among those LEAST_TEXTS
+    texts have and that stand LEAST_Z deviations from no effect, and all of the identity terms'. Without rows of
+    both classes no feature is kept and every score is the (clipped) share of toxic rows.
     """
     sample = _sample(docs, labels, max_labelled)
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -177,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / toxic + 1 / (total - toxic)) + 1e-12)
     best = _counts(sample).where(F.col("texts") >= LEAST_TEXTS).select("bucket", z.alias("z")).where(F.col("z") >= LEAST_Z)
     buckets = [r[0] for r in best.orderBy(F.col("z").desc(), "bucket").limit(MAX_FEATURES).collect()]
-    rows = _rows(sample, buckets).toArrow()  # bounded: max_labelled rows of at most max_features places
-    bias, w = fit(rows["y"].to_numpy().astype(float), rows["x"].to_pylist(), rows["swapped"].to_pylist(), len(buckets), swap_penalty)
+    buckets += sorted({b for t in _ALL_TERMS for b in _of_word(t)} - set(buckets))
+    rows = _rows(sample, buckets).toArrow()  # bounded: max_labelled rows of at most as many places as there are features
+    bias, w = fit(rows["y"].to_numpy().astype(float), *(rows[c].to_pylist() for c in ("x", "put", "gone", "new")), len(buckets), swap_penalty)
     return Model(bias, {b: float(x) for b, x in zip(buckets, w, strict=True)})
 
 
