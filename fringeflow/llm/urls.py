@@ -22,6 +22,8 @@ from fringeflow.llm.store import materialize
 # The stated rules, (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+#: Labelled rows that a rule has to fit at least, however few there are.
+LEAST_ROWS = 5
 #: Verdict of a URL that no rule matches.
 DEFAULT = "allow"
 LABEL = "label="
@@ -87,6 +89,14 @@ def tokens(url: str | None) -> list[str]:
     return sorted(out)
 
 
+def told_by(rule: str) -> tuple[frozenset[str], str]:
+    """Of a rule `host/path` the tokens that a URL has because the rule fits it, and the beginning of those of a step that it cuts short."""
+    host, _, path = rule.partition("/")
+    *steps, rest = path.split("/")
+    out = {f"host{i}={x}" for i, x in enumerate(host.split(".")[::-1])} | {f"path{i}={x}" for i, x in enumerate(steps)}
+    return frozenset(out), f"path{len(steps)}=" if rest else ""
+
+
 def with_tokens(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """urls with a column __tokens."""
     from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -113,17 +123,19 @@ def pruned(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple
     return kept
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
     """Rules from labelled(__tokens, label), and for each frequent token the one that stands for it in the rules.
 
-    Rows with a null label or without tokens teach nothing; no rows, no rules. How many rules there can be depends
-    on the support asked for and the tokens of a URL, not on the number of URLs.
+    A rule fits min_support of the rows and least_rows rows at least. Rows with a null label or without tokens
+    teach nothing; no rows, no rules. How many rules there can be depends on the support asked for and the
+    tokens of a URL, not on the number of URLs.
     """
     items = labelled.where(F.col("label").isNotNull() & (F.size("__tokens") > 0))
     shares = {x["label"]: x["count"] for x in items.groupBy("label").count().collect()}
     rows = sum(shares.values())
-    if not rows:
+    if rows < least_rows or not rows:
         return [], {}
+    min_support = max(min_support, (least_rows - 0.5) / rows)
     # Tokens below the support are in no frequent rule. Of tokens that occur in exactly the same rows one stands for
     # all, and tokens of all rows add nothing to a longer rule: rules that use more of them would be pruned below.
     told = items.withColumn("row", F.xxhash64(F.monotonically_increasing_id()).cast("decimal(20,0)")).select("row", F.explode("__tokens").alias("t"))
@@ -174,14 +186,24 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
     """(page_id, host, path, rule, verdict) for every row of pages.
 
     Association rules are mined from labelled(url, label) or, if that is not given, from the pages
-    that the stated rules decide. A null url, or one without ://, has an empty host and path, fits no
+    that the stated rules decide, each without the tokens that its rule speaks of: what is mined says
+    what else goes with a verdict, and does not restate the rules. A null url, or one without ://, has an empty host and path, fits no
     rule and gets DEFAULT; repeated rows keep a row each; other columns are ignored.
     """
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     seen = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     seen = materialize(with_tokens(seen.withColumn("rule", name).withColumn("stated", verdict)), "urls")
-    taught = seen.select("__tokens", F.col("stated").alias("label")) if labelled is None else with_tokens(labelled.select("url", "label"))
+    if labelled is None:
+        told = {h + p: told_by(h + p) for _, h, p in rules}
+        taught = F.col("__tokens")
+        for rule, (whole, cut) in told.items():
+            rest = F.array_except("__tokens", F.array(*map(F.lit, sorted(whole))))
+            rest = F.filter(rest, lambda t, cut=cut: ~t.startswith(cut)) if cut else rest
+            taught = F.when(F.col("rule") == rule, rest).otherwise(taught)
+        taught = seen.where(F.col("stated").isNotNull()).select(taught.alias("__tokens"), F.col("stated").alias("label"))
+    else:
+        taught = with_tokens(labelled.select("url", "label"))
     mined, same = mine(taught, **kw)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
