@@ -9,8 +9,9 @@ known to be shared with the winner, and never compares those bytes again. The me
 common-prefix lengths decides, for each offset, which windows are equal; all but the earliest are
 repeats.
 
-Grams that occur very often do not meet in one task: their windows are first reduced to one a task
-and then dealt out by the window's own hash. Equal texts are recognised by digest and only the
+Grams that occur very often do not meet in one task. There the array is dense: each of their windows is a
+suffix of its own, cut at `width` bytes; a task first drops those that it has byte for byte already, and the
+rest go to sorted, front-coded runs like the others, dealt out by all of their bytes. Equal texts are recognised by digest and only the
 earliest takes part. Texts are stored once, bucketed by row, so that joins by row do not move them.
 """
 
@@ -25,21 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeflow.llm.store import materialize, new_path
+from fringeflow.llm.store import discard, drop_path, materialize, new_path
 
 GRAM = 32
-#: A gram of more occurrences (in all, or in one task) is dealt out by window.
-HOT, HOT_TASK = 1024, 64
+#: A gram of more occurrences (in all, or in one task) is dealt out window by window; windows that a task holds before it drops repeats.
+HOT, HOT_TASK, HELD = 1024, 64, 1 << 17
 #: Bytes that are hashed at once; parts that grams are dealt to, for each shuffle partition at least.
 TILE, PARTS = 1 << 20, 4
 _U = np.uint64
-_P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_P1 = _U(0x9E3779B97F4A7C15)
 _MASK = _U(0xFFFFFFFFFFF00000)  # all but the bits of a place in a tile
-_SUFFIX, _WINDOW, _DONE = 0, 1, 2  # kinds of blobs
+_SUFFIX, _DONE = 0, 1  # kinds of blobs
 
 _ANCHOR = np.dtype([("gram", "<u8"), ("row", "<i8"), ("at", "<i8"), ("n", "<i4")])
 _PLACE = np.dtype([("doc", "<u8"), ("row", "<i8"), ("at", "<i8")])
-_HASHED = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<u8"), ("row", "<i8"), ("at", "<i8")])
 _SPAN = np.dtype([("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -143,12 +143,22 @@ def _batches(blobs: Iterator[tuple[int, int, bytes]], most: int = 1 << 24) -> It
         yield made()
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[bytes]]]:
-    got: dict[int, dict[int, list[bytes]]] = {}
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[bytes]]]:
+    """The blobs of each part by kind, one part after the other; rows come sorted by part."""
+    part, kinds = None, {}
     for b in batches:
         for p, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            got.setdefault(p, {}).setdefault(k, []).append(x)
-    return got
+            if p != part:
+                if kinds:
+                    yield kinds
+                part, kinds = p, {}
+            kinds.setdefault(k, []).append(x)
+    if kinds:
+        yield kinds
+
+
+def _dealt(sent: DataFrame) -> DataFrame:
+    return sent.repartition("part").sortWithinPartitions("part")
 
 
 def _packed(at: np.ndarray, first: np.ndarray, last: np.ndarray, hot) -> np.ndarray:
@@ -186,7 +196,7 @@ def _find_anchors(texts: DataFrame, parts: int, width: int) -> DataFrame:
         yield from _batches(_blobs((mix(own["row"].astype(_U)) % _U(parts)).astype(np.int64), _DONE, own))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _by_part(batches).values():
+        for kinds in _by_part(batches):
             r = np.frombuffer(b"".join(kinds.get(_SUFFIX, [])), _ANCHOR)
             _, group = np.unique(r["gram"], return_inverse=True)
             total = np.bincount(group, r["n"])[group] if len(r) else np.zeros(0)
@@ -198,7 +208,7 @@ def _find_anchors(texts: DataFrame, parts: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate([r["at"][keep] | hot[keep], done["at"]]))], ["row", "anchor"])
 
     sent = texts.select("row", "text").mapInArrow(scan, "part long, kind int, blob binary")
-    return sent.repartition("part").mapInArrow(meet, "row long, anchor long")
+    return _dealt(sent).mapInArrow(meet, "row long, anchor long")
 
 
 def front_coded(doc: np.ndarray, row: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, windows: np.ndarray, span: np.ndarray) -> bytes:
@@ -363,8 +373,8 @@ def _spans(marked: DataFrame, parts: int, width: int) -> DataFrame:
                 j = i[a:b]
                 yield int(part[a]), _SUFFIX, front_coded(doc[j], row[j], at[j], left[a:b], right[a:b], windows[j], span[j])
 
-    def windows_of(texts: list, docs: list, rows: list, lists: list, roll: Roller) -> np.ndarray:
-        out = []
+    def windows_of(texts: list, docs: list, rows: list, lists: list, roll: Roller) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, bytes, hash) of the windows of hot grams."""
         for t, d, r, a in zip(texts, docs, rows, lists, strict=True):
             packed = np.array(a, np.int64)
             packed = packed[packed & 1 == 1]
@@ -372,22 +382,34 @@ def _spans(marked: DataFrame, parts: int, width: int) -> DataFrame:
                 continue
             first, count = (packed >> 20) - (packed >> 12 & 0xFF), (packed >> 1 & 0x7FF) + 1
             p = np.sort(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
-            at0, s = 0, 0
+            s = 0
             while s < len(p):  # a stretch of the text that holds the next windows
                 at0 = int(p[s])
-                e = int(np.searchsorted(p, at0 + TILE - width, "right"))
+                e = min(s + HELD, int(np.searchsorted(p, at0 + TILE - width, "right")))
                 x = np.frombuffer(t, np.uint8)[at0 : int(p[e - 1]) + width]
-                w = np.zeros(e - s, _HASHED)
-                w["h1"], w["h2"] = roll(x, width, _P1)[p[s:e] - at0], roll(x, width, _P2)[p[s:e] - at0]
+                w = np.zeros(e - s, _PLACE)
                 w["doc"], w["row"], w["at"] = d, r, p[s:e]
-                out.append(w)
+                here = p[s:e] - at0
+                yield w, np.lib.stride_tricks.sliding_window_view(x, width)[here], roll(x, width, _P1)[here]
                 s = e
-        return np.concatenate(out) if out else np.zeros(0, _HASHED)
 
-    def first_and_rest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = w[np.lexsort((w["at"], w["row"], w["doc"], w["h2"], w["h1"]))]
-        new = np.r_[True, (w["h1"][1:] != w["h1"][:-1]) | (w["h2"][1:] != w["h2"][:-1])] if len(w) else np.zeros(0, bool)
-        return w[new], w[~new]
+    def first_and_rest(w: np.ndarray, text: np.ndarray, key: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The windows without those that are byte for byte an earlier one of the same hash, and the latter's places."""
+        order = np.lexsort((w["at"], w["row"], w["doc"], key))
+        w, text, key = w[order], text[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(w) else np.zeros(0, bool)
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = ~new & (text == text[head]).all(axis=1)
+        return (w[~again], text[~again], key[~again]), w[again]
+
+    def window_runs(w: np.ndarray, text: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        part = (key % _U(parts)).astype(np.int64)
+        order = np.argsort(text.view(f"V{width}").ravel(), kind="stable") if len(w) else np.zeros(0, np.int64)
+        order = order[np.argsort(part[order], kind="stable")]
+        w, text, part = w[order], text[order], part[order]
+        for a, b in _cuts(part):
+            none = np.zeros(b - a, np.int64)
+            yield int(part[a]), _SUFFIX, front_coded(w["doc"][a:b], w["row"][a:b], w["at"][a:b], np.zeros((b - a, width - GRAM), np.uint8), text[a:b], none, none)
 
     def joined(w: np.ndarray) -> np.ndarray:
         """Windows as spans, neighbours in a row made one."""
@@ -400,16 +422,21 @@ def _spans(marked: DataFrame, parts: int, width: int) -> DataFrame:
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, firsts, held = Roller(), np.zeros(0, _HASHED), []
+        roll, nothing = Roller(), (np.zeros(0, _PLACE), np.zeros((0, width), np.uint8), np.zeros(0, _U))
+        firsts, held, count = nothing, [], 0
 
         def settle() -> Iterator[tuple[int, int, bytes]]:
-            nonlocal firsts, held
-            firsts, rest = first_and_rest(np.concatenate([firsts, *held]))
-            held = []
-            spans = joined(rest)
+            nonlocal firsts, held, count
+            firsts, again = first_and_rest(*(np.concatenate(x) for x in zip(firsts, *held, strict=True)))
+            held, count = [], 0
+            spans = joined(again)
             yield from _blobs((mix(spans["row"].astype(_U)) % _U(parts)).astype(np.int64), _DONE, spans)
+            if len(firsts[0]) > HELD:  # what is sent now is compared with later ones where the runs meet
+                yield from window_runs(*firsts)
+                firsts = nothing
 
         def all_blobs() -> Iterator[tuple[int, int, bytes]]:
+            nonlocal count
             for b in batches:
                 got = [b.column(c).to_pylist() for c in ("text", "doc", "row", "anchors")]
                 got[1] = [d & (1 << 64) - 1 for d in got[1]]
@@ -417,19 +444,19 @@ def _spans(marked: DataFrame, parts: int, width: int) -> DataFrame:
                 for s in range(0, len(got[0]), step):
                     part = [g[s : s + step] for g in got]
                     yield from runs(*part)
-                    held.append(windows_of(*part, roll))
-                    if sum(map(len, held)) > 1 << 20:
-                        yield from settle()
+                    for w in windows_of(*part, roll):
+                        held.append(w)
+                        count += len(w[0])
+                        if count > HELD:
+                            yield from settle()
             yield from settle()
-            yield from _blobs((firsts["h1"] % _U(parts)).astype(np.int64), _WINDOW, firsts)
+            yield from window_runs(*firsts)
 
         yield from _batches(all_blobs())
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _by_part(batches).values():
+        for kinds in _by_part(batches):
             yield from _rows_of(np.frombuffer(b"".join(kinds.get(_DONE, [])), _SPAN))
-            _, rest = first_and_rest(np.frombuffer(b"".join(kinds.get(_WINDOW, [])), _HASHED))
-            yield from _rows_of(joined(rest))
             got = [decoded(b, width) for b in kinds.get(_SUFFIX, [])]
             if not got:
                 continue
@@ -441,11 +468,11 @@ def _spans(marked: DataFrame, parts: int, width: int) -> DataFrame:
             yield from _rows_of(_repeats(place, sizes, np.array(lcp), np.ascontiguousarray(left), width))
 
     sent = marked.select("row", "doc", "text", "anchors").mapInArrow(send, "part long, kind int, blob binary")
-    return sent.repartition("part").mapInArrow(receive, "row long, start long, end long")
+    return _dealt(sent).mapInArrow(receive, "row long, start long, end long")
 
 
-def _stored(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(row, doc_id, doc, text, n_bytes, digest), written once and bucketed by row."""
+def _stored(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> tuple[DataFrame, str, str]:
+    """(row, doc_id, doc, text, n_bytes, digest), written once and bucketed by row; with the table's name and path."""
     spark = docs.sparkSession
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,9 +486,9 @@ def _stored(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFr
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     # ids as unsigned numbers in their order, null last
     rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63))), F.lit(-1)))
-    name = f"texts_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(buckets, "row").saveAsTable(name)
-    return spark.table(name)
+    name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "row").saveAsTable(name)
+    return spark.table(name), name, path
 
 
 def _kept(text: bytes, spans: list) -> tuple[int, int, str]:
@@ -495,7 +522,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1024, PARTS * buckets)
-    texts = _stored(docs, id_col, text_col, buckets)
+    texts, name, path = _stored(docs, id_col, text_col, buckets)
     # ids as unsigned numbers compare as signed ones with the top bit turned
     order = F.struct(F.col("doc").bitwiseXOR(F.lit(-(1 << 63))), F.col("row"))
     first = texts.groupBy("digest").agg(F.min(order).getField("row").alias("row")).select("row")
@@ -518,4 +545,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             removed, runs, sha = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return both.mapInArrow(rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = materialize(both.mapInArrow(rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "deduped")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    discard(first)
+    return out
