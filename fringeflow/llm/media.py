@@ -34,6 +34,8 @@ _MAY_STAY_OPEN = ("noscript", "template")
 _MAYBE_OPEN = re.compile(r"(?i)<(?:noscript|template)")
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "tr", "td", "th", "nav", "header", "footer", "figure", "figcaption", "blockquote", "pre", "title", "hr"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
+#: How a reference names a payload by its digest.
+_BY_DIGEST = "digest:"
 ITEM = "array<struct<position: int, kind: string, text: string, src: string, digest: string, caption: string>>"
 
 
@@ -148,8 +150,16 @@ def inline_payload(src: str) -> bytes | None:
     return raw
 
 
+def digest_of(src: str) -> str:
+    """The digest that a reference names (digest:...), else that of its inline payload, else that of the reference itself."""
+    if src.startswith(_BY_DIGEST):
+        return src[len(_BY_DIGEST) :]
+    inline = inline_payload(src)
+    return hashlib.sha256(src.encode("utf-8", "surrogatepass") if inline is None else inline).hexdigest()
+
+
 def parse(html: str | None) -> list[dict]:
-    """Items in order. A media item's digest is that of its inline payload, else of its reference."""
+    """Items in order; each media item with the digest of its reference."""
     if not html:
         return []
     closed = _Closed()
@@ -162,8 +172,7 @@ def parse(html: str | None) -> list[dict]:
     for i, x in enumerate(p.items):
         x["position"], x["digest"] = i, None
         if x["src"]:
-            inline = inline_payload(x["src"])
-            x["digest"] = hashlib.sha256(x["src"].encode("utf-8", "surrogatepass") if inline is None else inline).hexdigest()
+            x["digest"] = digest_of(x["src"])
     return p.items
 
 
@@ -178,14 +187,18 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(F.col(id_col), F.col(html_col).cast("string")).mapInArrow(read, f"page_id {dict(pages.dtypes)[id_col]}, items {ITEM}")
 
 
-def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
-    """sequences(page_id, items) and payloads(digest, media): an item a row with its media, or null where none is known.
+def resolve(sequences: DataFrame, payloads: DataFrame, unique: bool = False) -> DataFrame:
+    """sequences(..., items) and payloads(digest, ...): an item a row, with its payload's columns, or nulls where none is known.
 
-    payloads may repeat a digest: one of its rows is taken. Text items have no media.
+    payloads may repeat a digest, unless it is said to be unique: the first value of each column is taken. Text
+    items have no payload.
     """
-    items = sequences.select("page_id", F.explode("items").alias("item")).select("page_id", "item.*")
-    one = payloads.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("media", ignorenulls=True).alias("media"))
-    return items.join(one, "digest", "left").select("page_id", "position", "kind", "text", "src", "caption", "digest", "media")
+    own = [c for c in sequences.columns if c != "items"]
+    items = sequences.select(*own, F.explode("items").alias("item")).select(*own, "item.*")
+    one, cols = payloads.where(F.col("digest").isNotNull()), [c for c in payloads.columns if c != "digest"]
+    if not unique:
+        one = one.groupBy("digest").agg(*(F.first(c, ignorenulls=True).alias(c) for c in cols))
+    return items.join(one, "digest", "left").select(*own, "position", "kind", "text", "src", "caption", "digest", *cols)
 
 
 def padded(text: bytes | None) -> bytes:
@@ -220,30 +233,39 @@ def feature(payload: bytes) -> str:
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def as_page(text: str | None, digest: str, n_bytes: int) -> str:
+    """A page that shows the stored text, with its size as caption, before what the text itself holds."""
+    return f'<figure><img src="{_BY_DIGEST}{digest}"><figcaption>{n_bytes} bytes</figcaption></figure>{text or ""}'
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts as media: (doc_id, n_bytes, digest) a row each, and the written table (digest, media).
+    """The texts as pages with media: (doc_id, n_bytes, n_items, items) a row each, of whose items the media are kept, and the written table (digest, media).
 
     One pass writes both; a digest is stored at least once, by each task that meets it.
     """
+    kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "src", "digest", "caption"))]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            n, digests, media = [], [], []
-            for t in b.column(1).cast(pa.large_binary()).to_pylist():
-                payload = padded(t)
+            n, sizes, items, digests, media = [], [], [], [], []
+            for t, raw in zip(b.column(1).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                payload = padded(raw)
                 d = hashlib.sha256(payload)
-                n.append(len(t or b""))
+                n.append(len(raw or b""))
                 digests.append(d.hexdigest())
+                sequence = parse(as_page(t, digests[-1], n[-1]))
+                sizes.append(len(sequence))
+                items.append([x for x in sequence if x["digest"]])
                 if len(seen) >= _REMEMBERED:
                     seen.clear()
                 media.append(None if d.digest() in seen else to_samples(payload))
                 seen.add(d.digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "digest", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sizes, pa.int32()), pa.array(items, kind), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "n_items", "items", "digest", "media"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    stored = materialize(rows.mapInArrow(write, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, digest string, media binary"), "media")
-    return stored.select("doc_id", "n_bytes", "digest"), stored.where(F.col("media").isNotNull()).select("digest", "media")
+    stored = materialize(rows.mapInArrow(write, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_items int, items {ITEM}, digest string, media binary"), "media")
+    return stored.select("doc_id", "n_bytes", "n_items", "items"), stored.where(F.col("media").isNotNull()).select("digest", "media")
 
 
 def features(payloads: DataFrame) -> DataFrame:
@@ -267,8 +289,14 @@ def features(payloads: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs with what is read back from its stored media; null texts are empty ones (64 zero bytes)."""
-    items, payloads = store_texts(docs, id_col, text_col)
+    """A row for each row of docs with what is read back from its stored media, the caption that stands with it, and how many items its page has.
+
+    The text is an item sequence: a reference to its stored payload and then what the text holds if read as HTML.
+    Null texts are empty ones (64 zero bytes). References within the text resolve to nothing stored here.
+    """
+    sequences, payloads = store_texts(docs, id_col, text_col)
     # written first: the join then shuffles both sides itself, and may split a digest that very many items share
     one = materialize(features(payloads).dropDuplicates(["digest"]), "features")
-    return items.join(one, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    shown = sequences.withColumn("items", F.filter("items", lambda x: x["position"] == 0))
+    out = resolve(shown, one, unique=True)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "n_items")
