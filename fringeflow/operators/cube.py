@@ -28,6 +28,7 @@ class Meta:
     wavelength_m: float = WAVELENGTH_M
     incidence_deg: float = 39.0
     heading_deg: float | None = None
+    los_vector: tuple[float, float, float] | None = None
 
 
 @dataclass(frozen=True)

@@ -138,9 +138,10 @@ def write_stack_json(spark: SparkSession, folder: str, stack: Stack, **lists: li
 
 
 def read_raw_cube(spark: SparkSession, folder: str) -> Stack:
-    """`meta.json` with `phase.f32` and `coherence.f32`: little-endian floats, pairs by rows by columns.
+    """`meta.json` with `phase.f32` and, where they are, `coherence.f32` and `dem.f32`: little-endian floats, pairs by rows by columns.
 
-    A task reads one layer (a fixed-length record of the file), not the file.
+    Heights are a column height_m; `los_vector` (east, north, up) goes to the metadata. A task reads one layer (a
+    fixed-length record of the file), not the file.
     """
     import numpy as np
     import pyarrow as pa
@@ -168,12 +169,17 @@ def read_raw_cube(spark: SparkSession, folder: str) -> Stack:
         return table.mapInArrow(run, f"row int, col int, pair_idx int, {value} double")
 
     long = layers("phase.f32", "phase").withColumn("coh", F.lit(None).cast("double"))
-    coh = layers("coherence.f32", "coh").withColumn("phase", F.lit(None).cast("double")) if "coherence.f32" in listed(spark, folder) else None
+    have = listed(spark, folder)
+    coh = layers("coherence.f32", "coh").withColumn("phase", F.lit(None).cast("double")) if "coherence.f32" in have else None
     if coh is not None:
         long = long.unionByName(coh)
     px = to_pixels(long, "pair_idx", n, phase="phase", coh="coh")
-    geo = got.get("geo") or {}
+    if "dem.f32" in have:
+        px = px.join(layers("dem.f32", "height_m").select("row", "col", "height_m"), ["row", "col"], "left")
+    geo, los = got.get("geo") or {}, got.get("los_vector")
+    if los is not None and len(los) != 3:
+        raise MetadataError(f"{folder}/meta.json: los_vector has three numbers")
     transform = tuple(geo["transform"]) if len(geo.get("transform", ())) == 4 else (0.0, 0.0, 1.0, 1.0)
-    return Stack(px, epochs, pairs, (rows, cols), Meta(transform, geo.get("crs"), float(got["wavelength_m"]), float(got["incidence_deg"])))
+    return Stack(px, epochs, pairs, (rows, cols), Meta(transform, geo.get("crs"), float(got["wavelength_m"]), float(got["incidence_deg"]), los_vector=los and tuple(map(float, los))))
 
 
