@@ -36,39 +36,53 @@ def _design(t: np.ndarray, config: FeatureConfig) -> np.ndarray:
     return np.array(cols).T
 
 
+#: Rows that are described at once.
+_AT_ONCE = 2048
+
+
 def describe(d: np.ndarray, t: np.ndarray, config: FeatureConfig) -> dict[str, np.ndarray]:
-    """Features of each row of d, fitted to the epochs that it has; NaN with too few."""
+    """Features of each row of d, fitted to the epochs that it has; NaN with too few, or where they cannot tell the terms apart."""
+    parts = [_described(d[s : s + _AT_ONCE], t, config) for s in range(0, max(1, len(d)), _AT_ONCE)]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def _described(d: np.ndarray, t: np.ndarray, config: FeatureConfig) -> dict[str, np.ndarray]:
     g = _design(t, config)
-    n, m = g.shape
+    m = g.shape[1]
     out = {k: np.full(len(d), np.nan) for k in names(config)}
     mask = np.isfinite(d)
     kinds, of = kernels.patterns(mask)
-    for k, ok in enumerate(kinds):
-        rows = np.flatnonzero(of == k)
-        if ok.sum() < max(config.min_valid, m):
-            continue
-        gk = g[ok]
-        p = kernels.full_rank_pinv(gk)
-        if p is None:
-            continue
-        y = d[np.ix_(rows, np.flatnonzero(ok))]
-        c = y @ p.T
-        r = y - c @ gk.T
-        ssr, q = (r * r).sum(axis=1), int(ok.sum())
-        tot = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
-        out["velocity"][rows] = c[:, 1]
-        if q > m:
-            out["velocity_std"][rows] = np.sqrt(ssr / (q - m) * np.linalg.inv(gk.T @ gk)[1, 1])
-        if config.acceleration:
-            out["acceleration"][rows] = 2 * c[:, 2]
-        if config.seasonal:
-            s, k_ = c[:, -2], c[:, -1]
-            out["seasonal_amplitude"][rows], out["seasonal_phase"][rows] = np.hypot(s, k_), np.arctan2(k_, s)
-        with np.errstate(all="ignore"):
-            out["linearity_r2"][rows] = np.where(tot <= np.finfo(float).eps, 1.0, np.clip(1 - ssr / tot, 0, 1))
-        out["residual_rms"][rows] = np.sqrt(ssr / q)
-        out["cumulative"][rows] = y[:, -1] - y[:, 0]
-        out["max_step"][rows] = np.abs(np.diff(y, axis=1)).max(axis=1) if q > 1 else 0.0
+    count = kinds.sum(axis=1)
+    u, s, vt = np.linalg.svd(g * kinds[:, :, None], full_matrices=False)  # an epoch that is not there is a row of zeros
+    fit = (count >= max(config.min_valid, m)) & (s[:, -1] > s[:, 0] * np.maximum(count, m) * np.finfo(float).eps)
+    rows = np.flatnonzero(fit[of])
+    if not len(rows):
+        return out
+    of, ok, q = of[rows], mask[rows], count[of[rows]]
+    y = np.where(ok, d[rows], 0.0)
+    inverse = 1 / np.where(fit[:, None], s, 1.0)
+    c = np.einsum("rkj,rk->rj", vt[of], inverse[of] * np.einsum("rek,re->rk", u[of], y))
+    r = np.where(ok, y - c @ g.T, 0.0)
+    ssr = (r * r).sum(axis=1)
+    tot = (np.where(ok, y - (y.sum(axis=1) / q)[:, None], 0.0) ** 2).sum(axis=1)
+    out["velocity"][rows] = c[:, 1]
+    with np.errstate(all="ignore"):
+        spare = np.where(q > m, q - m, np.nan)
+        out["velocity_std"][rows] = np.sqrt(ssr / spare * ((vt[:, :, 1] * inverse) ** 2).sum(axis=1)[of])
+    if config.acceleration:
+        out["acceleration"][rows] = 2 * c[:, 2]
+    if config.seasonal:
+        out["seasonal_amplitude"][rows], out["seasonal_phase"][rows] = np.hypot(c[:, -2], c[:, -1]), np.arctan2(c[:, -1], c[:, -2])
+    with np.errstate(all="ignore"):
+        out["linearity_r2"][rows] = np.where(tot <= np.finfo(float).eps, 1.0, np.clip(1 - ssr / tot, 0, 1))
+    out["residual_rms"][rows] = np.sqrt(ssr / q)
+    at, n = np.arange(len(rows)), ok.shape[1]
+    out["cumulative"][rows] = y[at, n - 1 - ok[:, ::-1].argmax(axis=1)] - y[at, ok.argmax(axis=1)]
+    step, last = np.zeros(len(rows)), y[at, ok.argmax(axis=1)].copy()
+    for e in range(n):
+        np.maximum(step, np.abs(y[:, e] - last), out=step, where=ok[:, e])
+        np.copyto(last, y[:, e], where=ok[:, e])
+    out["max_step"][rows] = step
     return out
 
 

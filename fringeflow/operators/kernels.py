@@ -6,8 +6,6 @@ import heapq
 
 import numpy as np
 
-from fringeflow.operators.network import components
-
 #: Patterns with fewer pixels than this in a batch are solved together, pixel by pixel.
 RARE = 8
 PIVOT_RATIO = 1e-6
@@ -60,13 +58,59 @@ def solve_gram(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _solvable(mask: np.ndarray, pairs, n_epochs: int, unknowns: int) -> bool:
-    kept = [p for p, m in zip(pairs, mask, strict=True) if m]
-    return len(kept) >= unknowns and len(set(components(kept, n_epochs))) == 1
+def solvable(mask: np.ndarray, pairs, n_epochs: int, unknowns: int) -> np.ndarray:
+    """Which rows of mask (rows, pairs) have pairs enough for the unknowns, and connect all epochs: least labels passed on along pairs, all rows at once."""
+    label = np.repeat(np.arange(n_epochs, dtype=np.int32)[:, None], len(mask), axis=1)
+    have = np.ascontiguousarray(mask.T)
+    order = sorted(range(len(pairs)), key=lambda k: (pairs[k].ref, pairs[k].sec))
+    while True:
+        before = label.copy()
+        for k in order + order[::-1]:
+            a, b = label[pairs[k].ref], label[pairs[k].sec]
+            low = np.minimum(a, b)
+            np.copyto(a, low, where=have[k])
+            np.copyto(b, low, where=have[k])
+        if (before == label).all():
+            break
+    return (label == 0).all(axis=0) & (mask.sum(axis=1) >= unknowns)
+
+
+#: Pairs that span more epochs than this are solved by full normal equations.
+WIDEST = 16
+
+
+def banded_steps(b: np.ndarray, mask: np.ndarray, pairs, n_epochs: int) -> np.ndarray:
+    """Increments by least squares over the pairs of each row that mask has (they connect all epochs).
+
+    As unknowns stand the epochs themselves, the first one 0: then the normal equations have as many
+    diagonals as the widest pair spans, and one factorisation runs over the epochs for all rows at once.
+    """
+    width, rows = max(p.sec - p.ref for p in pairs), len(b)
+    band, right = np.zeros((width + 1, n_epochs + width, rows)), np.zeros((n_epochs + width, rows))
+    for p, w, x in zip(pairs, np.ascontiguousarray(mask.T), np.ascontiguousarray(np.where(mask, b, 0.0).T), strict=True):
+        band[0, p.ref] += w
+        band[0, p.sec] += w
+        band[p.sec - p.ref, p.ref] -= w
+        right[p.sec] += x
+        right[p.ref] -= x
+    band[0, n_epochs:] = 1.0
+    for e in range(1, n_epochs):
+        share = band[1:, e] / band[0, e]
+        for d in range(1, width + 1):
+            for f in range(d, width + 1):
+                band[f - d, e + d] -= share[d - 1] * band[f, e]
+            right[e + d] -= share[d - 1] * right[e]
+    out = np.zeros((n_epochs + width, rows))
+    for e in range(n_epochs - 1, 0, -1):
+        x = right[e].copy()
+        for d in range(1, width + 1):
+            x -= band[d, e] * out[e + d]
+        out[e] = x / band[0, e]
+    return np.diff(out[:n_epochs], axis=0).T
 
 
 def ols(b: np.ndarray, design: np.ndarray, pairs, n_epochs: int, pinv: np.ndarray) -> np.ndarray:
-    """Unknowns of each row of b (NaN: no data), by the pseudo-inverse of the pairs that it has."""
+    """Unknowns of each row of b (NaN: no data), by the pseudo-inverse of the pairs that it has; rows of rare patterns together."""
     mask = np.isfinite(b)
     out = np.full((len(b), design.shape[1]), np.nan)
     whole = mask.all(axis=1)
@@ -75,20 +119,20 @@ def ols(b: np.ndarray, design: np.ndarray, pairs, n_epochs: int, pinv: np.ndarra
     if not len(rest):
         return out
     kinds, of = patterns(mask[rest])
-    rare = []
-    for k, m in enumerate(kinds):
-        rows = rest[of == k]
-        if not _solvable(m, pairs, n_epochs, design.shape[1]):
-            continue
-        if len(rows) < RARE:
-            rare.append(rows)
-            continue
+    good = solvable(kinds, pairs, n_epochs, design.shape[1])
+    count = np.bincount(of)
+    for k in np.flatnonzero(good & (count >= RARE)):
+        rows, m = rest[of == k], kinds[k]
         p = full_rank_pinv(design[m])
         if p is not None:
             out[rows] = b[np.ix_(rows, np.flatnonzero(m))] @ p.T
-    if rare:
-        rows = np.concatenate(rare)
-        out[rows] = weighted(b[rows], np.where(mask[rows], 1.0, 0.0), design)
+    rare = rest[(good & (count < RARE))[of]]
+    if len(rare) and design.shape[1] == n_epochs - 1 and max(p.sec - p.ref for p in pairs) <= WIDEST:
+        for s in range(0, len(rare), 4096):
+            part = rare[s : s + 4096]
+            out[part] = banded_steps(b[part], mask[part], pairs, n_epochs)
+    elif len(rare):
+        out[rare] = weighted(b[rare], np.where(mask[rare], 1.0, 0.0), design)
     return out
 
 
@@ -109,7 +153,7 @@ def weighted_checked(b: np.ndarray, w: np.ndarray, design: np.ndarray, pairs, n_
     """weighted(), for rows whose valid pairs still connect all epochs."""
     mask = np.isfinite(b) & np.isfinite(w) & (w > 0)
     kinds, of = patterns(mask)
-    good = np.array([_solvable(m, pairs, n_epochs, design.shape[1]) for m in kinds], bool)[of]
+    good = solvable(kinds, pairs, n_epochs, design.shape[1])[of]
     out = np.full((len(b), design.shape[1]), np.nan)
     out[good] = weighted(b[good], np.where(mask[good], w[good], 0.0), design)
     return out
