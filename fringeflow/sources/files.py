@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,52 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+@contextmanager
+def reader(spark: SparkSession, path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """fetch(start, length): bytes of a file, without reading the rest of it."""
+    if not exists(spark, path):
+        raise StackIOError(f"{path}: no such file")
+    p, fs = _fs(spark, path)
+    size, stream = fs.getFileStatus(p).getLen(), fs.open(p)
+
+    def fetch(start: int, length: int) -> bytes:
+        length = max(0, min(length, size - start))
+        if not length:
+            return b""
+        stream.seek(start)
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+
+    try:
+        yield fetch
+    finally:
+        stream.close()
+
+
+def writer(spark: SparkSession, folder: str) -> Callable[[str, bytes], None] | None:
+    """put(name, bytes) for tasks to write into a folder of a store that they have a client for; else None.
+
+    A file appears under its name when it is whole, so a task that runs again does no harm.
+    """
+    p, fs = _fs(spark, folder)
+    place = fs.makeQualified(p).toString()
+    scheme, _, rest = place.partition(":")
+    if scheme not in ("file", "hdfs", "s3", "s3a", "gs"):
+        return None
+    uri = f"{'s3' if scheme == 's3a' else scheme}://{rest if rest.startswith('//') else '//' + rest}".replace(":////", "://")
+
+    def put(name: str, data: bytes) -> None:
+        from pyarrow import fs as stores
+
+        store, path = stores.FileSystem.from_uri(uri)
+        store.create_dir(path, recursive=True)
+        part = f"{path}/.{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(data)
+        store.move(part, f"{path}/{name}")
+
+    return put
+
+
 def binary(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, content: a row a file."""
     for p in paths:

@@ -1,8 +1,10 @@
-"""Single-band float GeoTIFF files: a minimal uncompressed reader and writer."""
+"""GeoTIFF files: a reader of one band, in strips or tiles, plain or compressed, and a plain single-precision writer."""
 
 from __future__ import annotations
 
 import struct
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 
 from fringeflow.errors import DimensionMismatch, RasterError, UnsupportedFormat
 from fringeflow.operators.cube import Meta
-from fringeflow.sources.files import binary, pixels_of, write_bytes
+from fringeflow.sources.files import pixels_of, reader, write_bytes, writer
 
 # TIFF tags and the sizes of their types.
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS_PER_STRIP, _COUNTS, _FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
+_PLANAR, _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 284, 317, 322, 323, 324, 325
 _PIXEL_SCALE, _TIEPOINT, _GEO_KEYS, _NODATA = 33550, 33922, 34735, 42113
 _SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
 
@@ -47,46 +50,124 @@ def encode(grid: np.ndarray, meta: Meta) -> bytes:
     return head + b"".join(struct.pack("<HHI", t, k, c) + f for t, k, c, f in entries) + struct.pack("<I", 0) + extra + data
 
 
-def decode(data: bytes, path: str = "") -> tuple[np.ndarray, Meta]:
-    """The first band as Float32 and its georeference; the size is checked before anything is allocated."""
+def directory(fetch: Callable[[int, int], bytes], path: str = "") -> tuple[str, dict[int, tuple | bytes]]:
+    """Byte order and tags of the first image; fetch(start, length) gives bytes of the file (fewer at its end)."""
     try:
-        order = {b"II": "<", b"MM": ">"}[data[:2]]
-        magic, at = struct.unpack(order + "HI", data[2:8])
+        head = fetch(0, 8)
+        order = {b"II": "<", b"MM": ">"}[head[:2]]
+        magic, at = struct.unpack(order + "HI", head[2:8])
         if magic != 42:
             raise UnsupportedFormat(f"{path}: not a classic TIFF")
-        (n,) = struct.unpack_from(order + "H", data, at)
-        tags = {}
+        (n,) = struct.unpack(order + "H", fetch(at, 2))
+        entries, tags = fetch(at + 2, 12 * n), {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * k)
             if kind not in _SIZES:
                 continue
             code = _SIZES[kind]
             size = struct.calcsize(code) * count
-            field = at + 2 + 12 * k + 8
+            raw = entries[12 * k + 8 : 12 * k + 12]
             if size > 4:
-                (field,) = struct.unpack_from(order + "I", data, field)
-            tags[tag] = data[field : field + count] if code == "s" else struct.unpack_from(f"{order}{count}{code}", data, field)
+                raw = fetch(struct.unpack(order + "I", raw)[0], size)
+            tags[tag] = raw[:count] if code == "s" else struct.unpack(f"{order}{count}{code}", raw[:size])
     except (KeyError, struct.error) as e:
         raise RasterError(f"{path}: damaged TIFF header") from e
-    if tags.get(_COMPRESSION, (1,))[0] != 1 or tags.get(_SAMPLES, (1,))[0] != 1:
-        raise UnsupportedFormat(f"{path}: only uncompressed single-band files are read")
-    width, height, bits, form = tags[_WIDTH][0], tags[_HEIGHT][0], tags[_BITS][0], tags.get(_FORMAT, (1,))[0]
-    kind = {(32, 3): "f4", (64, 3): "f8", (8, 1): "u1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4"}.get((bits, form))
-    if kind is None:
+    if not {_WIDTH, _HEIGHT} <= tags.keys():
+        raise RasterError(f"{path}: damaged TIFF header")
+    return order, tags
+
+
+def _about(tags: dict) -> tuple[tuple[int, int], Meta]:
+    sx, sy = tags.get(_PIXEL_SCALE, (1.0, 1.0, 0.0))[:2]
+    tie = tags.get(_TIEPOINT, (0.0,) * 6)
+    keys = tags.get(_GEO_KEYS, ())
+    epsg = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (3072, 2048) and keys[i + 1] == 0), None)
+    return (tags[_HEIGHT][0], tags[_WIDTH][0]), Meta(transform=(tie[3], tie[4], sx, -sy), crs=f"EPSG:{epsg}" if epsg else None)
+
+
+def unpacked_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, most significant first; 256 starts anew, 257 ends."""
+    table = [bytes([k]) for k in range(256)] + [b"", b""]
+    known, out, bits, held, width, before = table[:], [], 0, 0, 9, None
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            known, width, before = table[:], 9, None
+            continue
+        if before is None:
+            now = known[code]
+        else:
+            now = known[code] if code < len(known) else before + before[:1]
+            known.append(before + now[:1])
+        out.append(now)
+        before = now
+        width = 9 + (len(known) >= 511) + (len(known) >= 1023) + (len(known) >= 2047)
+    return b"".join(out)
+
+
+def _block(raw: bytes, compression: int, need: int, path: str) -> bytes:
+    try:
+        data = raw if compression == 1 else zlib.decompress(raw) if compression in (8, 32946) else unpacked_lzw(raw)
+    except (zlib.error, IndexError) as e:
+        raise RasterError(f"{path}: damaged compressed data") from e
+    if len(data) < need:
+        raise RasterError(f"{path}: shorter than its size says")
+    return data[:need]
+
+
+def _unpredicted(data: bytes, predictor: int, shape: tuple[int, int, int], kind: np.dtype) -> np.ndarray:
+    """Samples of a block of (rows, columns, samples), whose rows hold differences where a predictor says so."""
+    if predictor == 3:  # bytes of a row's numbers, highest first, plane by plane, each less the one before
+        rows, cols, samples = shape
+        x = np.frombuffer(data, np.uint8).reshape(rows, -1, samples) if samples > 1 else np.frombuffer(data, np.uint8).reshape(rows, -1, 1)
+        x = np.cumsum(x, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, cols * samples)
+        return np.ascontiguousarray(x.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
+    x = np.frombuffer(data, kind).reshape(shape)
+    if predictor == 2:
+        whole = x.astype(kind.newbyteorder("=")).view(f"u{kind.itemsize}")
+        x = np.cumsum(whole, axis=1, dtype=whole.dtype).view(kind.newbyteorder("="))
+    return x
+
+
+def decode(data: bytes, path: str = "") -> tuple[np.ndarray, Meta]:
+    """The first band as Float32 and its georeference; strips or tiles, plain, Deflate or LZW; sizes are checked before anything is allocated."""
+    order, tags = directory(lambda at, n: data[at : at + n], path)
+    (height, width), meta = _about(tags)
+    compression, predictor = (tags.get(t, (1,))[0] for t in (_COMPRESSION, _PREDICTOR))
+    if compression not in (1, 5, 8, 32946) or predictor not in (1, 2, 3):
+        raise UnsupportedFormat(f"{path}: compression {compression} with predictor {predictor}")
+    samples = tags.get(_SAMPLES, (1,))[0] if tags.get(_PLANAR, (1,))[0] == 1 else 1
+    bits, form = tags.get(_BITS, (1,))[0], tags.get(_FORMAT, (1,))[0]
+    kind = {(32, 3): "f4", (64, 3): "f8", (8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4"}.get((bits, form))
+    if kind is None or (predictor == 3 and form != 3):
         raise UnsupportedFormat(f"{path}: {bits}-bit samples of format {form}")
-    need = width * height * bits // 8
-    if sum(tags[_COUNTS]) < need or any(o + c > len(data) for o, c in zip(tags[_OFFSETS], tags[_COUNTS], strict=True)):
+    kind = np.dtype(order + kind)
+    tiled = _TILE_WIDTH in tags
+    offsets, counts = (tags.get(t, ()) for t in ((_TILE_OFFSETS, _TILE_COUNTS) if tiled else (_OFFSETS, _COUNTS)))
+    bw, bh = (tags[_TILE_WIDTH][0], tags[_TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(_ROWS_PER_STRIP, (height,))[0]))
+    across, down = -(-width // max(1, bw)), -(-height // max(1, bh))
+    plain = bw * bh * samples * kind.itemsize
+    if min(width, height, bw, bh, samples) < 1 or min(len(offsets), len(counts)) < across * down or any(o + c > len(data) for o, c in zip(offsets, counts, strict=False)):
+        raise RasterError(f"{path}: shorter than its size says")
+    if plain > 2000 * max(1, max(counts)):  # no compression here makes so much of so little
         raise RasterError(f"{path}: shorter than its size says")
-    raw = b"".join(data[o : o + c] for o, c in zip(tags[_OFFSETS], tags[_COUNTS], strict=True))
-    grid = np.frombuffer(raw, order + kind, width * height).reshape(height, width).astype(np.float32)
+    grid = np.empty((height, width), np.float32)
+    for k in range(across * down):
+        r, c = k // across * bh, k % across * bw
+        rows = bh if tiled else min(bh, height - r)
+        raw = _block(data[offsets[k] : offsets[k] + counts[k]], compression, rows * bw * samples * kind.itemsize, path)
+        block = _unpredicted(raw, predictor, (rows, bw, samples), kind)[:, :, 0]
+        grid[r : r + rows, c : c + bw] = block[: height - r, : width - c]
     nodata = tags.get(_NODATA, b"nan").strip(b"\0 ")
     if nodata and nodata.lower() != b"nan":
         grid = np.where(grid == np.float32(float(nodata)), np.float32(np.nan), grid)
-    sx, sy = tags.get(_PIXEL_SCALE, (1.0, 1.0, 0.0))[:2]
-    tie = tags.get(_TIEPOINT, (0.0,) * 6)
-    keys = tags.get(_GEO_KEYS, ())
-    epsg = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (3072, 2048) and keys[i + 1] == 0), None)
-    return grid, Meta(transform=(tie[3], tie[4], sx, -sy), crs=f"EPSG:{epsg}" if epsg else None)
+    return grid, meta
 
 
 def read(spark: SparkSession, paths: list[str], value: str = "value", index: str = "layer") -> DataFrame:
@@ -95,20 +176,11 @@ def read(spark: SparkSession, paths: list[str], value: str = "value", index: str
 
 
 def headers(spark: SparkSession, paths: list[str]) -> list[tuple[tuple[int, int], Meta]]:
-    """Shape and georeference of each file; only these few numbers come to the driver."""
-
-    def run(batches):
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grid, meta = decode(data, path)
-                yield pa.RecordBatch.from_pydict({"path": [path], "rows": [grid.shape[0]], "cols": [grid.shape[1]], "transform": [list(meta.transform)], "crs": pa.array([meta.crs], pa.string())})
-
-    got = binary(spark, paths).mapInArrow(run, "path string, rows long, cols long, transform array<double>, crs string").collect()
-    by = {r["path"].split(":", 1)[-1].lstrip("/"): r for r in got}
+    """Shape and georeference of each file; of each only the header's bytes are read."""
     out = []
     for p in paths:
-        r = by[p.split("://", 1)[-1].removeprefix("file:").lstrip("/")]
-        out.append(((r["rows"], r["cols"]), Meta(transform=tuple(r["transform"]), crs=r["crs"])))
+        with reader(spark, p) as fetch:
+            out.append(_about(directory(fetch, p)[1]))
     return out
 
 
@@ -120,18 +192,23 @@ def same_shape(found: list[tuple[tuple[int, int], Meta]]) -> tuple[int, int]:
 
 
 def write_layers(rows: DataFrame, name: str, value: str, shape: tuple[int, int], meta: Meta, folder: str) -> list[str]:
-    """A file for each value of the column `name` (the file's name); tasks build the files, one at a time passes the driver."""
+    """A file for each value of the column `name` (the file's name). Tasks build and write the files, and only names reach the driver."""
+    spark = rows.sparkSession
+    put, written = writer(spark, folder), []
 
     def one(t: pa.Table) -> pa.Table:
         grid = np.full(shape, np.nan)
         grid[t["row"].to_numpy(), t["col"].to_numpy()] = t["v"].to_numpy(zero_copy_only=False).astype(float)
-        return pa.table({"name": [t["name"][0].as_py()], "data": pa.array([encode(grid, meta)], pa.binary())})
+        file, data = f"{t['name'][0].as_py()}.tif", encode(grid, meta)
+        if put:
+            put(file, data)
+        return pa.table({"name": [file], "data": pa.array([None if put else data], pa.binary())})
 
-    spark, written = rows.sparkSession, []
     files = rows.select(F.col(name).cast("string").alias("name"), F.col("row").cast("int"), F.col("col").cast("int"), F.col(value).cast("double").alias("v"))
     for r in files.groupBy("name").applyInArrow(one, "name string, data binary").toLocalIterator():
-        write_bytes(spark, f"{folder}/{r['name']}.tif", bytes(r["data"]))
-        written.append(f"{folder}/{r['name']}.tif")
+        if not put:  # a store that tasks have no client for: one file at a time
+            write_bytes(spark, f"{folder}/{r['name']}", bytes(r["data"]))
+        written.append(f"{folder}/{r['name']}")
     return sorted(written)
 
 

@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fringeflow.errors import StackIOError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise StackIOError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fringeflow-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/fringeflow-{sc.applicationId}"
