@@ -1,4 +1,7 @@
-"""Tables written to the cluster's shared folder, so that lineage is cut and no step is computed twice."""
+"""Tables written to the cluster's shared folder, so that lineage is cut and no step is computed twice.
+
+They last as long as the application: results that are not computed yet may still read them.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise StackIOError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fringeflow-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fringeflow-{sc.applicationId}"
+    folder = f"{base.rstrip('/')}/fringeflow-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)  # when the driver ends; asking again does no harm
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
