@@ -30,8 +30,12 @@ CHUNK = 1 << 16
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of bits in which fingerprints at that similarity differ (a cosine of 0.89), and how many differing bits of 64 a candidate may have (exceeded by one pair in a hundred there).
 NEAR_FLIP, RADIUS = 0.151, 17
-#: Routes on which near copies are first linked to a neighbour.
-FIRST_ROUTES = 6
+#: The same for that fingerprint and a second one together, of 128 bits (exceeded by one pair in two thousand there).
+RADIUS_BOTH = 33
+#: Slots of a text's sketch (the least of the shingle hashes that fall to each), and by how many deviations a pair's equal slots may be fewer than at SIMILARITY.
+SLOTS, SKETCH_SIGMAS = 256, 2.6
+#: The routes are split in so many shares; on each in turn near copies are linked to a hub, before all other pairs are asked for.
+HUB_SHARES = 2
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -64,6 +68,36 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def sketched(text: bytes | None, width: int) -> tuple[int, int, bytes]:
+    """Two independent SimHashes of a text's shingles, from the halves of their 128-bit hashes, and its sketch: a byte a slot, 0 where nothing fell to it."""
+    words = text.lower().split() if text else []
+    if not words:
+        return 0, 0, bytes(SLOTS)
+    width = min(width, len(words))
+    joined = b" ".join(words)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) + 1 for w in words], out=at[1:])
+    n, digest = len(words) - width + 1, xxhash.xxh3_128_digest
+    starts, ends = at[:n].tolist(), (at[width:] - 1).tolist()
+    counts, least = np.zeros((2, 64), np.int64), np.full(SLOTS, ~np.uint64(0))
+    for k in range(0, n, CHUNK):
+        h = b"".join([digest(joined[s:e]) for s, e in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)])
+        halves = np.ascontiguousarray(np.frombuffer(h, np.uint64).reshape(-1, 2).T)
+        for c, half in zip(counts, halves, strict=True):
+            c += _bit_counts(half)
+        np.minimum.at(least, halves[0] % np.uint64(SLOTS), halves[0] >> np.uint64(8))
+    sketch = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(255)).astype(np.uint8)
+    first, second = (int(np.packbits(2 * c > n, bitorder="little").view("<i8")[0]) for c in counts)
+    return first, second, sketch.tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """If rows of two matrices of sketches have as many equal slots as texts of that similarity have but for one pair in two hundred."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    return equal >= least * either - SKETCH_SIGMAS * np.sqrt(least * (1 - least) * either)
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row of docs; null and wordless texts get 0."""
 
@@ -304,49 +338,69 @@ def sampled_routes(n: int) -> list[int]:
     return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(count)]
 
 
-def _candidates(nodes: DataFrame, routes: list[int], first: bool) -> DataFrame:
-    """Pairs (a, b) of nodes(node, fp, component) within RADIUS bits that share a route and not the component.
+def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes(node, fp, fp2, component, sketch) within RADIUS and RADIUS_BOTH bits, and alike by their sketches, that share a route and not the component.
 
-    With `first` only each code's next one in Gray order and the head of its group, on the first routes:
-    enough to join large groups of near copies before all their pairs are asked for.
+    Without sketches but with `hubs` (numbers of routes) only one pair a node on each of these: the one with the candidate that has most
+    candidates itself. In a large group of near copies that is the text most like all of them, so that it becomes one
+    component by few pairs, and its other pairs are not asked for.
     """
-    used = routes[:FIRST_ROUTES] if first else routes
-    keys = F.array(*[F.struct(F.lit(r).alias("route"), F.xxhash64(F.lit(r), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for r, m in enumerate(used)])
-    routed = nodes.select("node", "fp", "component", F.explode(keys).alias("x")).select("node", "fp", "component", "x.route", "x.key")
-    masks = np.array(used, np.uint64)
+    used = range(len(routes)) if hubs is None else hubs
+    keys = F.array(*[F.struct(F.lit(r).cast("tinyint").alias("route"), F.xxhash64(F.lit(r), F.col("fp").bitwiseAND(F.lit(_signed(routes[r])))).alias("key")) for r in used])
+    own = ["node", "fp", "fp2", "component", *(["sketch"] if hubs is None else [])]
+    routed = nodes.select(*own, F.explode(keys).alias("x")).select(*own[:4], "x.route", "x.key", *own[4:])
+    masks = np.array(routes, np.uint64)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        got, sketches = [], []
+        for b in batches:
+            got.append([c.to_numpy() for c in b.columns[:6]])
+            if hubs is None:
+                sketches.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS))
         if not got:
             return
-        node, fp, component, route, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        node, fp, fp2, component, route, key = (np.concatenate(x) for x in zip(*got, strict=True))
         _, group, size = np.unique(key, return_inverse=True, return_counts=True)
         at = np.flatnonzero(size[group] > 1)
-        node, codes, component, route, group = node[at], fp[at].view(np.uint64), component[at], route[at], group[at]
+        node, codes, more, component, route, group = node[at], fp[at].view(np.uint64), fp2[at].view(np.uint64), component[at], route[at], group[at]
         if not len(at):
             return
-        turn = (route * 11 % 64).astype(np.uint64)  # another order on each route
-        turned = (codes << turn) | (codes >> ((np.uint64(64) - turn) % np.uint64(64)))
-        order = np.lexsort((gray_rank(turned), group))
-        node, codes, component, route, group = node[order], codes[order], component[order], route[order], group[order]
-        if first:
-            here = np.arange(len(node))
-            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            heads = head[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
-            a, b = np.r_[here[:-1], heads], np.r_[here[1:], here]
-            ok = (group[a] == group[b]) & (np.bitwise_count(codes[a] ^ codes[b]) <= RADIUS)
-            found = [(a[ok], b[ok])]
-        else:
-            found = GrayIndex(group, codes).pairs(RADIUS, component)
-        for a, b in found:
-            apart, xor = component[a] != component[b], codes[a] ^ codes[b]
-            for r, m in enumerate(masks):  # only the first route that two codes share tells of them
-                if not first:
-                    apart &= (r >= route[a]) | (xor & m != 0)
-            a, b = node[a[apart]], node[b[apart]]
+        order = np.lexsort((gray_rank(codes), group))
+        node, codes, more, component, route, group = node[order], codes[order], more[order], component[order], route[order], group[order]
+        sketch = np.concatenate(sketches)[at[order]] if sketches else None
+        index, here = GrayIndex(group, codes), np.arange(len(node))
+
+        def near(of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in index.pairs(RADIUS, of):
+                ok = np.bitwise_count(codes[a] ^ codes[b]) + np.bitwise_count(more[a] ^ more[b]) <= RADIUS_BOTH
+                yield a[ok], b[ok]
+
+        def told(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = node[a], node[b]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+        if hubs is None:
+            for a, b in near(component):
+                first, xor = np.ones(len(a), bool), codes[a] ^ codes[b]
+                for r, m in enumerate(masks):  # only the first route that two codes share tells of them
+                    first &= (r >= route[a]) | (xor & m != 0)
+                a, b = a[first], b[first]
+                for k in range(0, len(a), CHUNK):
+                    x, y = a[k : k + CHUNK], b[k : k + CHUNK]
+                    alike = may_be_similar(sketch[x], sketch[y], least)
+                    yield from told(x[alike], y[alike])
+            return
+        many, best = np.zeros(len(node), np.int64), np.full(len(node), -1)
+        for a, b in near(here):
+            many += np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
+        for a, b in near(here):
+            apart = component[a] != component[b]
+            a, b = a[apart], b[apart]
+            np.maximum.at(best, a, many[b] << 32 | b)
+            np.maximum.at(best, b, many[a] << 32 | a)
+        yield from told(here[best >= 0], best[best >= 0] & 0xFFFFFFFF)
+
     return routed.repartition("key").mapInArrow(join, "a long, b long").distinct()
 
 
@@ -378,26 +432,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, leas
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row of docs: the least id reachable over pairs of at least that Jaccard similarity of shingles.
 
-    Candidates are found by fingerprints on the same shingles (see sampled_routes and RADIUS for what that may
-    miss) and every link is checked on the texts. Texts without words are equal to each other.
+    Candidates are found by fingerprints and sketches of the same shingles (see sampled_routes, RADIUS, RADIUS_BOTH
+    and SKETCH_SIGMAS for what that may miss) and every link is checked on the texts. Texts without words are equal to each other.
     """
 
     def hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(t) for t in texts], pa.int64()), pa.array([fingerprint(t, width) for t in texts], pa.int64())], ["doc_id", "node", "fp"])
+            made = [sketched(t, width) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in made], pa.binary())], ["doc_id", "node", "fp", "fp2", "sketch"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    hashed = materialize(rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long"), "shingled")
-    nodes = materialize(hashed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
+    hashed = materialize(rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, fp2 long, sketch binary"), "shingled")
+    nodes = hashed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sketch")))
+    nodes = materialize(nodes, "nodes")
     routes = sampled_routes(nodes.count())
-    links, of = None, nodes.withColumn("component", F.col("node"))
-    for first in (True, False):
-        pairs = materialize(_candidates(of.select("node", "fp", "component"), routes, first), "pairs")
+    links, asked, of = None, None, nodes.select("node", "fp", "fp2", "least", F.col("node").alias("component"))
+    for hubs in (*(range(k, len(routes), HUB_SHARES) for k in range(HUB_SHARES)), None):
+        told = of.select("node", "fp", "fp2", "component")
+        if hubs is None:  # on its routes a node without any candidate has no hub: what is left to ask for is among those that had one
+            told = told.join(nodes.select("node", "sketch").join(asked.distinct(), "node", "left_semi"), "node")
+        pairs = materialize(_candidates(told, routes, hubs, least), "pairs")
+        met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+        asked = met if asked is None else asked.unionAll(met)
         more = _verified(pairs, docs, text_col, width, least)
         links = more if links is None else links.unionAll(more)
         groups = connected_components(links)
-        of = materialize(nodes.join(groups, "node", "left").select("node", "fp", "least", F.coalesce("component", "node").alias("component")), "grouped")
+        of = materialize(of.drop("component").join(groups, "node", "left").select("node", "fp", "fp2", "least", F.coalesce("component", "node").alias("component")), "grouped")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     return hashed.join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
