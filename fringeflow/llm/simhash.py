@@ -10,6 +10,7 @@ fingerprints however the data look.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.llm.components import connected_components
-from fringeflow.llm.store import materialize
+from fringeflow.llm.store import drop_path, materialize, new_path
 
 #: Fan-out of the index and how many (query, node) pairs are held at once.
 FAN, FRONTIER = 8, 1 << 20
@@ -404,16 +405,11 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
     return routed.repartition("key").mapInArrow(join, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingles have at least the similarity asked for."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in b.column(0).cast(pa.large_binary()).to_pylist()], pa.int64()), b.column(0)], ["node", "text"])
-
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(named, "node long, text string")
+def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingles have at least the similarity asked for; stored(node, text) is bucketed by node."""
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    texts = materialize(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = stored.select("node", "text").join(asked.hint("shuffle_hash"), "node", "left_semi")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,10 +436,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
             made = [sketched(t, width) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in made], pa.binary())], ["doc_id", "node", "fp", "fp2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in made], pa.binary()), b.column(1)], ["doc_id", "node", "fp", "fp2", "sketch", "text"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    hashed = materialize(rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, fp2 long, sketch binary"), "shingled")
+    made = rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, fp2 long, sketch binary, text string")
+    # written once and bucketed by node, so that no text moves to be looked up or grouped by it
+    spark, name, path = docs.sparkSession, f"shingled_{uuid.uuid4().hex}", new_path(docs.sparkSession, "shingled")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
+    hashed = spark.table(name)
     nodes = hashed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sketch")))
     nodes = materialize(nodes, "nodes")
     routes = sampled_routes(nodes.count())
@@ -455,12 +456,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = materialize(_candidates(told, routes, hubs, least), "pairs")
         met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
         asked = met if asked is None else asked.unionAll(met)
-        more = _verified(pairs, docs, text_col, width, least)
+        more = _verified(pairs, hashed, width, least)
         links = more if links is None else links.unionAll(more)
         groups = connected_components(links)
         of = materialize(of.drop("component").join(groups, "node", "left").select("node", "fp", "fp2", "least", F.coalesce("component", "node").alias("component")), "grouped")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    return hashed.join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    out = hashed.select("doc_id", "node").join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    out = materialize(out, "similar")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
