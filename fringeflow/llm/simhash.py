@@ -34,7 +34,7 @@ NEAR_FLIP, RADIUS = 0.151, 17
 #: The same for that fingerprint and a second one together, of 128 bits (exceeded by one pair in two thousand there).
 RADIUS_BOTH = 33
 #: Slots of a text's sketch (the least of the shingle hashes that fall to each), and by how many deviations a pair's equal slots may be fewer than at SIMILARITY.
-SLOTS, SKETCH_SIGMAS = 256, 2.6
+SLOTS, SKETCH_SIGMAS = 512, 2.6
 #: The routes are split in so many shares; on each in turn near copies are linked to a hub, before all other pairs are asked for.
 HUB_SHARES = 2
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -86,7 +86,7 @@ def sketched(text: bytes | None, width: int) -> tuple[int, int, bytes]:
         halves = np.ascontiguousarray(np.frombuffer(h, np.uint64).reshape(-1, 2).T)
         for c, half in zip(counts, halves, strict=True):
             c += _bit_counts(half)
-        np.minimum.at(least, halves[0] % np.uint64(SLOTS), halves[0] >> np.uint64(8))
+        np.minimum.at(least, halves[0] % np.uint64(SLOTS), halves[0] >> np.uint64(16))
     sketch = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(255)).astype(np.uint8)
     first, second = (int(np.packbits(2 * c > n, bitorder="little").view("<i8")[0]) for c in counts)
     return first, second, sketch.tobytes()
@@ -342,7 +342,7 @@ def sampled_routes(n: int) -> list[int]:
 def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of nodes(node, fp, fp2, component, sketch) within RADIUS and RADIUS_BOTH bits, and alike by their sketches, that share a route and not the component.
 
-    Without sketches but with `hubs` (numbers of routes) only one pair a node on each of these: the one with the candidate that has most
+    Without sketches but with `hubs` (numbers of routes) only one pair a node, of those on these routes: the one with the candidate that has most
     candidates itself. In a large group of near copies that is the text most like all of them, so that it becomes one
     component by few pairs, and its other pairs are not asked for.
     """
@@ -376,10 +376,9 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
                 ok = np.bitwise_count(codes[a] ^ codes[b]) + np.bitwise_count(more[a] ^ more[b]) <= RADIUS_BOTH
                 yield a[ok], b[ok]
 
-        def told(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = node[a], node[b]
+        def told(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64) if weight is None else weight)], ["a", "b", "weight"])
 
         if hubs is None:
             for a, b in near(component):
@@ -400,9 +399,13 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
             a, b = a[apart], b[apart]
             np.maximum.at(best, a, many[b] << 32 | b)
             np.maximum.at(best, b, many[a] << 32 | a)
-        yield from told(here[best >= 0], best[best >= 0] & 0xFFFFFFFF)
+        has = best >= 0
+        yield from told(here[has], best[has] & 0xFFFFFFFF, best[has] >> 32)
 
-    return routed.repartition("key").mapInArrow(join, "a long, b long").distinct()
+    found = routed.repartition("key").mapInArrow(join, "a long, b long, weight long")
+    if hubs is not None:  # of a node's hubs on all routes the greatest
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) -> DataFrame:
