@@ -286,14 +286,17 @@ def dem_error_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inversion.invert(X.stack(spark, sf_dir, noise=0.02), dem_range_m=850e3).px
 
 
-@query()
+@query(f"""WITH {X.series_sql('s', 1, X.DAILY)}, w AS (SELECT "row", col FROM s GROUP BY 1, 2 HAVING count(*) = {X.DAILY})
+SELECT s."row", s.col, s.e AS epoch_idx, {rs('s.d - z.d', 'disp_m')} FROM s JOIN w ON w."row" = s."row" AND w.col = s.col JOIN s z ON z."row" = s."row" AND z.col = s.col AND z.e = 0""")
 def gappy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty daily epochs with natural gaps: pairs without data are left out, pixel by pixel."""
+    """Thirty daily epochs with natural gaps: an epoch without data leaves its pairs out, and the pixel, which they no longer connect, has no series."""
     n = X.DAILY
     pairs = tuple(Pair(i, j) for i in range(n) for j in range(i + 1, min(n, i + 5)))
     px = X.series(spark, sf_dir, 1, n).px
     px = px.select("row", "col", F.array(*[P.displacement_to_phase(X.disp_at(p.sec) - X.disp_at(p.ref)) for p in pairs]).alias("phase"))
-    return inversion.invert(Stack(px, X.every(X.FIRST, 1, n), pairs, (1 << 30, 1 << 30))).px
+    got = inversion.invert(Stack(px, X.every(X.FIRST, 1, n), pairs, (1 << 30, 1 << 30))).px
+    long = to_long(got, "epoch_idx", "disp_m", "disp").where("disp_m is not null")
+    return long.select("row", "col", "epoch_idx", r(F.col("disp_m")).alias("disp_m"))
 
 
 @query(f"WITH {X.stack_sql()} SELECT \"row\", col, k AS pair_idx, {rs('phase', 'phase')} FROM o SEMI JOIN full_px USING (\"row\", col)")
