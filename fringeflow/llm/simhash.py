@@ -11,7 +11,7 @@ fingerprints however the data look.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,10 +33,12 @@ WIDTH, SIMILARITY = 5, 0.8
 NEAR_FLIP, RADIUS = 0.151, 17
 #: The same for that fingerprint and a second one together, of 128 bits (exceeded by one pair in two thousand there).
 RADIUS_BOTH = 33
-#: Slots of a text's sketch (the least of the shingle hashes that fall to each), and by how many deviations a pair's equal slots may be fewer than at SIMILARITY.
-SLOTS, SKETCH_SIGMAS = 512, 2.6
+#: Slots of a text's sketch (four bits of the least of the shingle hashes that fall to each: one of KINDS, 0 where none does), and by how many deviations a pair's equal slots may be fewer than at SIMILARITY.
+SLOTS, KINDS, SKETCH_SIGMAS = 512, 15, 2.6
 #: The routes are split in so many shares; on each in turn near copies are linked to a hub, before all other pairs are asked for.
 HUB_SHARES = 2
+#: An odd number by which masked codes are spread.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -70,10 +72,10 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def sketched(text: bytes | None, width: int) -> tuple[int, int, bytes]:
-    """Two independent SimHashes of a text's shingles, from the halves of their 128-bit hashes, and its sketch: a byte a slot, 0 where nothing fell to it."""
+    """Two independent SimHashes of a text's shingles, from the halves of their 128-bit hashes, and its sketch, two slots a byte."""
     words = text.lower().split() if text else []
     if not words:
-        return 0, 0, bytes(SLOTS)
+        return 0, 0, bytes(SLOTS // 2)
     width = min(width, len(words))
     joined = b" ".join(words)
     at = np.zeros(len(words) + 1, np.int64)
@@ -87,16 +89,19 @@ def sketched(text: bytes | None, width: int) -> tuple[int, int, bytes]:
         for c, half in zip(counts, halves, strict=True):
             c += _bit_counts(half)
         np.minimum.at(least, halves[0] % np.uint64(SLOTS), halves[0] >> np.uint64(16))
-    sketch = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(255)).astype(np.uint8)
+    slots = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(KINDS)).astype(np.uint8)
+    sketch = slots[: SLOTS // 2] | slots[SLOTS // 2 :] << 4
     first, second = (int(np.packbits(2 * c > n, bitorder="little").view("<i8")[0]) for c in counts)
     return first, second, sketch.tobytes()
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """If rows of two matrices of sketches have as many equal slots as texts of that similarity have but for one pair in two hundred."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    equal = ((a == b) & (a > 0)).sum(axis=1)
-    return equal >= least * either - SKETCH_SIGMAS * np.sqrt(least * (1 - least) * either)
+    either, equal, share = 0, 0, least + (1 - least) / KINDS
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        either = either + ((x | y) > 0).sum(axis=1)
+        equal = equal + ((x == y) & (x > 0)).sum(axis=1)
+    return equal >= share * either - SKETCH_SIGMAS * np.sqrt(share * (1 - share) * either)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,10 +336,10 @@ def _node(text: bytes | None) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sampled_routes(n: int) -> list[int]:
-    """Masks of bits by which n codes are dealt out, so that pairs with NEAR_FLIP of their bits differing miss all routes once in a hundred."""
-    bits = max(4, round(np.log2(max(n, 1))) - 7)
-    count = int(np.ceil(np.log(0.01) / np.log(1 - (1 - NEAR_FLIP) ** bits)))
+def sampled_routes(n: int, miss: float = 0.01, group: int = 128) -> list[int]:
+    """Masks of bits by which n codes are dealt out to groups of about that size, so that a share `miss` of the pairs with NEAR_FLIP of their bits differing misses all routes."""
+    bits = max(4, round(np.log2(max(n, 1) / group)))
+    count = int(np.ceil(np.log(miss) / np.log(1 - (1 - NEAR_FLIP) ** bits)))
     rng = np.random.default_rng(7)
     return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(count)]
 
@@ -347,20 +352,20 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
     component by few pairs, and its other pairs are not asked for.
     """
     used = range(len(routes)) if hubs is None else hubs
-    keys = F.array(*[F.struct(F.lit(r).cast("tinyint").alias("route"), F.xxhash64(F.lit(r), F.col("fp").bitwiseAND(F.lit(_signed(routes[r])))).alias("key")) for r in used])
-    own = ["node", "fp", "fp2", "component", *(["sketch"] if hubs is None else [])]
-    routed = nodes.select(*own, F.explode(keys).alias("x")).select(*own[:4], "x.route", "x.key", *own[4:])
+    routed = nodes.select("node", "fp", "fp2", "component", F.explode(F.array(*[F.lit(r).cast("smallint") for r in used])).alias("route"), *(["sketch"] if hubs is None else []))
+    mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in routes]), F.col("route").cast("int") + 1)
     masks = np.array(routes, np.uint64)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, sketches = [], []
         for b in batches:
-            got.append([c.to_numpy() for c in b.columns[:6]])
+            got.append([c.to_numpy() for c in b.columns[:5]])
             if hubs is None:
-                sketches.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS))
+                sketches.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS // 2))
         if not got:
             return
-        node, fp, fp2, component, route, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        node, fp, fp2, component, route = (np.concatenate(x) for x in zip(*got, strict=True))
+        key = (fp.view(np.uint64) & masks[route]) * MIX + route.astype(np.uint64)  # groups that met by chance are only compared for nothing
         _, group, size = np.unique(key, return_inverse=True, return_counts=True)
         at = np.flatnonzero(size[group] > 1)
         node, codes, more, component, route, group = node[at], fp[at].view(np.uint64), fp2[at].view(np.uint64), component[at], route[at], group[at]
@@ -402,17 +407,30 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
         has = best >= 0
         yield from told(here[has], best[has] & 0xFFFFFFFF, best[has] >> 32)
 
-    found = routed.repartition("key").mapInArrow(join, "a long, b long, weight long")
+    found = routed.repartition(F.xxhash64("route", F.col("fp").bitwiseAND(mask))).mapInArrow(join, "a long, b long, weight long")
     if hubs is not None:  # of a node's hubs on all routes the greatest
         found = found.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _bucketed(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df written in buckets by node, so that no text moves to be looked up or grouped by it, and what deletes it."""
+    spark, name, path = df.sparkSession, f"{what}_{uuid.uuid4().hex}", new_path(df.sparkSession, what)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        drop_path(spark, path)
+
+    return spark.table(name), drop
+
+
 def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' shingles have at least the similarity asked for; stored(node, text) is bucketed by node."""
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     texts = stored.select("node", "text").join(asked.hint("shuffle_hash"), "node", "left_semi")
-    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts, drop = _bucketed(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +443,9 @@ def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) ->
                 out.append(similarity(shingles(ta, width), held) >= least)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    links = materialize(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    drop()
+    return links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -443,11 +463,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     made = rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, fp2 long, sketch binary, text string")
-    # written once and bucketed by node, so that no text moves to be looked up or grouped by it
-    spark, name, path = docs.sparkSession, f"shingled_{uuid.uuid4().hex}", new_path(docs.sparkSession, "shingled")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
-    hashed = spark.table(name)
+    hashed, drop = _bucketed(made, "shingled")
     nodes = hashed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sketch")))
     nodes = materialize(nodes, "nodes")
     routes = sampled_routes(nodes.count())
@@ -455,7 +471,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for hubs in (*(range(k, len(routes), HUB_SHARES) for k in range(HUB_SHARES)), None):
         told = of.select("node", "fp", "fp2", "component")
         if hubs is None:  # on its routes a node without any candidate has no hub: what is left to ask for is among those that had one
-            told = told.join(nodes.select("node", "sketch").join(asked.distinct(), "node", "left_semi"), "node")
+            told = materialize(told.join(nodes.select("node", "sketch").join(asked.distinct(), "node", "left_semi"), "node"), "asked")
+            routes = sampled_routes(told.count(), 0.003, 256)  # fewer codes need fewer bits to part them, and so fewer routes
         pairs = materialize(_candidates(told, routes, hubs, least), "pairs")
         met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
         asked = met if asked is None else asked.unionAll(met)
@@ -466,8 +483,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     out = hashed.select("doc_id", "node").join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
     out = materialize(out, "similar")
-    spark.sql(f"DROP TABLE {name}")
-    drop_path(spark, path)
+    drop()
     return out
 
 
