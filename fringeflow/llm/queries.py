@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeflow.llm import embed, fim, media, mixing, negatives, packing, pii, simhash, suffix, tokens, toxicity, urls
+from fringeflow.llm import embed, fim, media, mixing, negatives, ngram, packing, pii, simhash, suffix, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_fim"] = fim.oracle("documents")
 
 
+@query
+def op12_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_all(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), negatives.anchors_of(), negatives.labels_of())
