@@ -42,7 +42,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Stages that learn or hash shingles have no SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Stages that learn or hash shingles have no SQL; tests/llm/test_corpus_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
