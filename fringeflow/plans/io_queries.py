@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
-import struct
 from datetime import timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeflow.errors import MetadataError
 from fringeflow.operators import features as FE
 from fringeflow.operators import inversion
 from fringeflow.operators.cube import Meta, Pair, Series, Stack, to_long
 from fringeflow.plans import fixtures as X
 from fringeflow.plans.queries import _DIGITS, _FEAT, _LINEAR, _NAMES, query, r, rs
 from fringeflow.sources import geotiff, isce, manifest
-from fringeflow.sources.files import write_bytes
+from fringeflow.sources.files import write_bytes, writer
 from fringeflow.store import new_path
 
 #: Pairs of the file fixtures.
@@ -52,7 +53,8 @@ def geotiff_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     stack = Stack(rows, X.EPOCH_DATES[:3], _PAIRS, shape, _META)
     manifest.write_stack_json(spark, folder, stack, amplitudes=[f"amp_{i}.tif" for i in range(3)], coherence=[f"coh_{i}.tif" for i in range(3)])
     ifgs, m, _ = manifest.read_interferograms(spark, folder)
-    assert m.meta.transform == _META.transform and m.meta.crs == _META.crs and m.pairs == _PAIRS
+    if (m.meta.transform, m.meta.crs, m.pairs) != (_META.transform, _META.crs, _PAIRS):
+        raise MetadataError("the stack's metadata were not read back")
     amps, coh = manifest.read_amplitudes(spark, folder)[0], manifest.read_coherence(spark, folder)[0]
     none = F.lit(None).cast("double")
     out = ifgs.select(F.lit("interferogram").alias("what"), F.col("pair_idx").cast("int").alias("layer"), "row", "col", r(F.col("re")).alias("a"), r(F.col("im")).alias("b"))
@@ -71,9 +73,11 @@ def geotiff_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = inversion.velocity(series).select("row", "col", F.round("velocity", 3).alias("velocity"))
     geotiff.write_map(v, "velocity", series.shape, _META, f"{folder}/velocity.tif")
     back = manifest.read_series(spark, f"{folder}/series", Meta())
-    assert back.epochs == series.epochs and back.meta.transform == _META.transform
+    if (back.epochs, back.meta.transform) != (series.epochs, _META.transform):
+        raise MetadataError("the series' metadata were not read back")
     rows, meta, shape = manifest.read_map(spark, f"{folder}/velocity.tif", Meta())
-    assert shape == series.shape and meta.crs == _META.crs
+    if (shape, meta.crs) != (series.shape, _META.crs):
+        raise MetadataError("the map's metadata were not read back")
     long = to_long(back.px, "epoch_idx", "value", "disp")
     out = long.select(F.lit("series").alias("what"), "epoch_idx", "row", "col", "value")
     return out.unionAll(rows.select(F.lit("velocity"), F.lit(-1), "row", "col", "velocity")).where("value is not null")
@@ -95,45 +99,83 @@ _DAYS = tuple(X.FIRST + timedelta(days=12 * i) for i in range(3))
 _TYPES = {"f4": "Float32", "c8": "CFloat32", "u1": "Byte"}
 
 
-def _raw(spark: SparkSession, path: str, bands: list[np.ndarray], interleave: str = "line") -> None:
-    """A raw file and its VRT; bands line by line, or pixel by pixel."""
-    (rows, cols), size, n = bands[0].shape, bands[0].dtype.itemsize, len(bands)
-    data = np.stack(bands, axis=1 if interleave == "line" else 2)
-    pixel, line, step = (size, n * cols * size, cols * size) if interleave == "line" else (n * size, n * cols * size, size)
-    name = path.rpartition("/")[2]
-    xml = "".join(f'<VRTRasterBand dataType="{_TYPES[bands[0].dtype.str[1:]]}" band="{k + 1}" subClass="VRTRawRasterBand"><SourceFilename relativeToVRT="1">{name}</SourceFilename><ByteOrder>LSB</ByteOrder><ImageOffset>{k * step}</ImageOffset><PixelOffset>{pixel}</PixelOffset><LineOffset>{line}</LineOffset></VRTRasterBand>' for k in range(n))
-    write_bytes(spark, path, np.ascontiguousarray(data).tobytes())
+def _vrt(spark: SparkSession, path: str, shape: tuple[int, int], kind: str, bands: int, interleave: str = "line") -> None:
+    """The description of a raw file: bands line by line, pixel by pixel, or each in a file of its own."""
+    (rows, cols), size, name = shape, np.dtype(kind).itemsize, path.rpartition("/")[2]
+    pixel, line, step = {"line": (size, bands * cols * size, cols * size), "pixel": (bands * size, bands * cols * size, size), "file": (size, cols * size, 0)}[interleave]
+    source = (lambda k: f"{name}.{k}") if interleave == "file" else (lambda _: name)
+    xml = "".join(f'<VRTRasterBand dataType="{_TYPES[kind]}" band="{k + 1}" subClass="VRTRawRasterBand"><SourceFilename relativeToVRT="1">{source(k)}</SourceFilename><ByteOrder>LSB</ByteOrder><ImageOffset>{k * step}</ImageOffset><PixelOffset>{pixel}</PixelOffset><LineOffset>{line}</LineOffset></VRTRasterBand>' for k in range(bands))
     write_bytes(spark, path + ".vrt", f'<VRTDataset rasterXSize="{cols}" rasterYSize="{rows}">{xml}</VRTDataset>'.encode())
 
 
+def _epochs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
+    """A row a pixel: c0 .. c2 and n0 .. n2, cents and events of the first three epochs, 0 where there are none; and the grid's shape."""
+    long = X.long_series(spark, sf_dir)
+    at = lambda name, e: F.coalesce(F.sum(F.when(F.col("epoch_idx") == e, F.col(name))), F.lit(0)).cast("long")
+    return long.groupBy("row", "col").agg(*(at("cents", e).alias(f"c{e}") for e in range(3)), *(at("n", e).alias(f"n{e}") for e in range(3))), X.shape(long)
+
+
+def _write_raw(files: DataFrame, shape: tuple[int, int], folder: str) -> None:
+    """files(name, kind, interleave, row, col, bands ARRAY<DOUBLE>): a task makes each file's bytes; pixels without a row are 0."""
+    put_in = {}
+    spark = files.sparkSession
+
+    def write(t: pa.Table) -> pa.Table:
+        name, kind, interleave = (t[c][0].as_py() for c in ("name", "kind", "interleave"))
+        values = np.array(t["bands"].to_pylist(), float)
+        grid = np.zeros((*shape, values.shape[1]))
+        grid[t["row"].to_numpy(), t["col"].to_numpy()] = values
+        at, _, file = name.rpartition("/")
+        if kind == "c8":
+            made = {file: np.ascontiguousarray(grid.astype("<f4")).view("<c8")}
+        elif interleave == "file":
+            made = {f"{file}.{k}": grid[:, :, k].astype(kind) for k in range(grid.shape[2])}
+        else:
+            made = {file: (grid.transpose(0, 2, 1) if interleave == "line" else grid).astype(kind)}
+        for f, x in made.items():
+            put_in[at](f, np.ascontiguousarray(x).tobytes())
+        return pa.table({"name": [name]})
+
+    for at in {r.at for r in files.select(F.regexp_extract("name", "^(.*)/", 1).alias("at")).distinct().collect()}:  # a folder a pair
+        put_in[at] = writer(spark, f"{folder}/{at}")
+    files.groupBy("name").applyInArrow(write, "name string").collect()
+
+
 def _isce_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of three pairs over the grid that the pixels span (a fixture: its grids are made here)."""
-    shape = X.shape(X.long_series(spark, sf_dir).select("row", "col"))
-    i, j = np.indices(shape)
-    folder = new_path(spark, "isce")
-    for k, p in enumerate(_PAIRS):
-        name = f"{_DAYS[p.ref]:%Y%m%d}_{_DAYS[p.sec]:%Y%m%d}"
-        amp = ((i * 3 + j + k) % 7).astype("<f4")  # 0 in a seventh of the pixels
-        phase = ((i * 7 + j * 3 + k) % 11 - 5.5).astype("<f4")
-        coh = ((i + j + k) % 8 / 8).astype("<f4")
-        _raw(spark, f"{folder}/pairs/{name}/filt_fine.unw", [amp, phase])
-        _raw(spark, f"{folder}/pairs/{name}/filt_fine.cor", [amp, coh])
-        z = np.where((i + j + k) % 5 == 0, 0, (i % 9 - 4.5) + 1j * (j % 6 + 0.25)).astype("<c8")
-        _raw(spark, f"{folder}/pairs/{name}/filt_fine.int", [z])
-        _raw(spark, f"{folder}/pairs/{name}/filt_fine.unw.conncomp", [((i + j * 2 + k) % 4).astype("u1")])
-        b = p.perp_baseline_m
-        write_bytes(spark, f"{folder}/baselines/{name}/{name}.txt", f"swath: IW1\nBperp (average): {b - 1}\nswath: IW2\nBperp (average): {b + 1}\n".encode())
-    inc, az = (30 + (i + j) % 9).astype("<f4"), (100 - (i * 2 + j) % 5 * 0.5).astype("<f4")
-    none = (i + j) % 10 == 3
-    _raw(spark, f"{folder}/geometry/los.rdr", [np.where(none, 0, inc).astype("<f4"), np.where(none, 0, az).astype("<f4")], "pixel")
+    """A folder of three pairs over the grid that the pixels span; tasks write its bands from what the table holds."""
+    px, shape = _epochs(spark, sf_dir)
+    folder, files = new_path(spark, "isce"), []
+    c, n = ([F.col(f"{x}{e}") for e in range(3)] for x in "cn")
+    for p in _PAIRS:
+        at = f"pairs/{_DAYS[p.ref]:%Y%m%d}_{_DAYS[p.sec]:%Y%m%d}"
+        cents, events = c[p.sec] - c[p.ref], n[p.ref] + n[p.sec]
+        amp = n[p.sec] % 7  # 0 in a seventh of the pixels
+        seen = amp > 0
+        bands = {
+            "filt_fine.unw": ("f4", "line", [amp, cents % 1009 / 8]), "filt_fine.cor": ("f4", "file", [amp, events % 8 / 8]), "filt_fine.unw.conncomp": ("u1", "line", [events % 4]),
+            "filt_fine.int": ("c8", "line", [F.when(seen, cents % 9 - 4.5).otherwise(0), F.when(seen, cents % 6 + 0.25).otherwise(0)]),
+        }
+        for file, (kind, interleave, values) in bands.items():
+            files.append((f"{at}/{file}", kind, interleave, values))
+        b, pair = p.perp_baseline_m, at.removeprefix("pairs/")
+        write_bytes(spark, f"{folder}/baselines/{pair}/{pair}.txt", f"swath: IW1\nBperp (average): {b - 1}\nswath: IW2\nBperp (average): {b + 1}\n".encode())
+    total = F.abs(c[0] + c[1] + c[2])
+    there = total % 10 != 3
+    files.append(("geometry/los.rdr", "f4", "pixel", [F.when(there, 30 + total % 9).otherwise(0), F.when(there, 100 - total % 5 * 0.5).otherwise(0)]))
+    for name, kind, interleave, values in files:
+        _vrt(spark, f"{folder}/{name}", shape, kind, 1 if kind == "c8" else len(values), interleave)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(i).alias("interleave"), F.array(*[v.cast("double") for v in values]).alias("bands")) for name, kind, i, values in files]))
+    _write_raw(px.select("row", "col", rows.alias("x")).select("row", "col", "x.*"), shape, folder)
     return folder
 
 
 _GRID = f"""{X.series_sql()}, g AS (SELECT r::INT AS "row", c::INT AS col FROM (SELECT max("row") AS mr, max(col) AS mc FROM s) m, LATERAL (SELECT unnest(range(0, mr + 1)) AS r), LATERAL (SELECT unnest(range(0, mc + 1)) AS c)),
-k AS (SELECT * FROM (VALUES (0, '2024-01-01', '2024-01-13', 12.5::DOUBLE), (1, '2024-01-01', '2024-01-25', -7.5::DOUBLE), (2, '2024-01-13', '2024-01-25', -20.0::DOUBLE)) AS v(n, a, b, bperp) JOIN (VALUES (0, 0), (1, 2), (2, 1)) AS o(n, k) USING (n))"""
+x AS (SELECT g."row", g.col, {", ".join(f"coalesce(sum({v}) FILTER (e = {k}), 0)::BIGINT AS {a}{k}" for v, a in (("cents", "c"), ("n", "n")) for k in range(3))}, count(s.e) > 0 AS known FROM g LEFT JOIN s ON s."row" = g."row" AND s.col = g.col GROUP BY ALL),
+k AS (SELECT * FROM (VALUES (0, '2024-01-01', '2024-01-13', 12.5::DOUBLE), (1, '2024-01-01', '2024-01-25', -7.5::DOUBLE), (2, '2024-01-13', '2024-01-25', -20.0::DOUBLE)) AS v(n, a, b, bperp)),
+y AS (SELECT "row", col, k.n, a, b, bperp, CASE k.n WHEN 0 THEN c1 - c0 WHEN 1 THEN c2 - c0 ELSE c2 - c1 END AS cents, CASE k.n WHEN 0 THEN n0 + n1 WHEN 1 THEN n0 + n2 ELSE n1 + n2 END AS events, CASE k.n WHEN 0 THEN n1 ELSE n2 END % 7 AS amp FROM x, k)"""
 
 
-@query(f"""WITH {_GRID} SELECT "row", col, n::INT AS pair_idx, a AS ref_day, b AS sec_day, bperp AS perp_baseline_m, (("row" * 7 + col * 3 + k) % 11 - 5.5)::DOUBLE AS phase, (("row" + col + k) % 8 / 8.0)::DOUBLE AS coh FROM g, k WHERE ("row" * 3 + col + k) % 7 <> 0""")
+@query(f"""WITH {_GRID} SELECT "row", col, n::INT AS pair_idx, a AS ref_day, b AS sec_day, bperp AS perp_baseline_m, (cents % 1009 / 8.0)::DOUBLE AS phase, (events % 8 / 8.0)::DOUBLE AS coh FROM y WHERE amp > 0""")
 def isce_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unwrapped phase masked by amplitude, coherence, dates and baselines of an ISCE folder."""
     folder = _isce_folder(spark, sf_dir)
@@ -144,7 +186,7 @@ def isce_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.join(F.broadcast(known), "pair_idx").select("row", "col", "pair_idx", "ref_day", "sec_day", "perp_baseline_m", "phase", "coh")  # a row a pair
 
 
-@query(f"""WITH {_GRID} SELECT "row", col, n::INT AS pair_idx, CASE WHEN ("row" + col + k) % 5 <> 0 THEN ("row" % 9 - 4.5)::DOUBLE END AS re, CASE WHEN ("row" + col + k) % 5 <> 0 THEN (col % 6 + 0.25)::DOUBLE END AS im, (("row" + col * 2 + k) % 4)::SMALLINT AS component FROM g, k""")
+@query(f"""WITH {_GRID} SELECT "row", col, n::INT AS pair_idx, CASE WHEN amp > 0 THEN (cents % 9 - 4.5)::DOUBLE END AS re, CASE WHEN amp > 0 THEN (cents % 6 + 0.25)::DOUBLE END AS im, (events % 4)::SMALLINT AS component FROM y""")
 def isce_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrapped interferograms, exact zeros as NoData, beside their connected components."""
     folder = f"{_isce_folder(spark, sf_dir)}/pairs"
@@ -152,25 +194,38 @@ def isce_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(isce.read_components(spark, folder), ["row", "col", "pair_idx"]).select("row", "col", "pair_idx", "re", "im", "component")
 
 
-@query(f"""WITH {_GRID} SELECT "row", col, CASE WHEN ("row" + col) % 10 <> 3 THEN (30 + ("row" + col) % 9)::DOUBLE END AS incidence_deg, CASE WHEN ("row" + col) % 10 <> 3 THEN (100 - ("row" * 2 + col) % 5 * 0.5)::DOUBLE END AS azimuth_deg FROM g""")
+@query(f"""WITH {_GRID}, t AS (SELECT "row", col, abs(c0 + c1 + c2) AS total, known FROM x)
+SELECT "row", col, CASE WHEN known AND total % 10 <> 3 THEN (30 + total % 9)::DOUBLE END AS incidence_deg, CASE WHEN known AND total % 10 <> 3 THEN (100 - total % 5 * 0.5)::DOUBLE END AS azimuth_deg FROM t""")
 def isce_line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidence and azimuth, interleaved pixel by pixel; both zero is NoData."""
     return isce.read_los(spark, f"{_isce_folder(spark, sf_dir)}/geometry/los.rdr")
 
 
-@query(f"""WITH {_GRID}, l AS (SELECT unnest(range(0, 3))::INT AS k) SELECT "row", col, k AS pair_idx, CASE WHEN ("row" + col + k) % 6 <> 0 THEN (("row" * 7 + col * 3 + k) % 11 - 5.5)::DOUBLE END AS phase, (("row" + col + k) % 8 / 8.0)::DOUBLE AS coh,
-((("row" * 37 + col * 11) % 3000) / 2.0)::DOUBLE AS height_m FROM g, l""")
+@query(f"""WITH {_GRID} SELECT "row", col, o.m::INT AS pair_idx, CASE WHEN known AND amp > 0 THEN (cents % 1009 / 8.0)::DOUBLE END AS phase, CASE WHEN known THEN (events % 8 / 8.0)::DOUBLE ELSE 0 END AS coh,
+CASE WHEN known THEN (abs(c0 + c1 + c2) % 3000 / 2.0)::DOUBLE ELSE 0 END AS height_m FROM y JOIN x USING ("row", col) JOIN (VALUES (0, 0), (1, 2), (2, 1)) AS o(n, m) ON o.n = y.n""")
 def raw_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """meta.json with phase.f32, coherence.f32 and dem.f32: an exported stack, with the line of sight that goes with it."""
-    shape = X.shape(X.long_series(spark, sf_dir).select("row", "col"))
-    i, j = np.indices(shape)
+    """meta.json with phase.f32, coherence.f32 and dem.f32, written by tasks from what the table holds: an exported stack, with the line of sight that goes with it."""
+    px, shape = _epochs(spark, sf_dir)
     folder = new_path(spark, "cube")
-    phase = [np.where((i + j + k) % 6 == 0, np.nan, (i * 7 + j * 3 + k) % 11 - 5.5) for k in range(3)]
-    write_bytes(spark, f"{folder}/phase.f32", np.array(phase, "<f4").tobytes())
-    write_bytes(spark, f"{folder}/coherence.f32", np.array([(i + j + k) % 8 / 8 for k in range(3)], "<f4").tobytes())
-    write_bytes(spark, f"{folder}/dem.f32", ((i * 37 + j * 11) % 3000 / 2).astype("<f4").tobytes())
+    c, n = ([F.col(f"{x}{e}") for e in range(3)] for x in "cn")
+    phase = [F.when(n[p.sec] % 7 > 0, (c[p.sec] - c[p.ref]) % 1009 / 8).otherwise(float("nan")) for p in _PAIRS]
+    cubes = {"phase.f32": phase, "coherence.f32": [(n[p.ref] + n[p.sec]) % 8 / 8 for p in _PAIRS], "dem.f32": [F.abs(c[0] + c[1] + c[2]) % 3000 / 2]}
+    put = writer(spark, folder)
+
+    def write(t: pa.Table) -> pa.Table:
+        values = np.array(t["bands"].to_pylist(), float)
+        cube = np.zeros((values.shape[1], *shape), "<f4")
+        if values.shape[1] > 1 and t["name"][0].as_py() == "phase.f32":
+            cube[:] = np.nan
+        cube[:, t["row"].to_numpy(), t["col"].to_numpy()] = values.T
+        put(t["name"][0].as_py(), cube.tobytes())
+        return pa.table({"name": t["name"].slice(0, 1)})
+
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[v.cast("double") for v in values]).alias("bands")) for name, values in cubes.items()]))
+    px.select("row", "col", rows.alias("x")).select("row", "col", "x.*").groupBy("name").applyInArrow(write, "name string").collect()
     about = {"rows": shape[0], "cols": shape[1], "n_pairs": 3, "epochs": [str(d) for d in _DAYS], "pairs": [[p.ref, p.sec, p.perp_baseline_m] for p in _PAIRS], "wavelength_m": 0.0555, "incidence_deg": 39.0, "los_vector": [-0.6, -0.1, 0.8]}
     write_bytes(spark, f"{folder}/meta.json", json.dumps(about).encode())
     stack = manifest.read_raw_cube(spark, folder)
-    assert stack.meta.los_vector == (-0.6, -0.1, 0.8) and stack.pairs == _PAIRS and struct.calcsize("<f") == 4
+    if stack.meta.los_vector != (-0.6, -0.1, 0.8) or stack.pairs != _PAIRS:
+        raise MetadataError("the cube's metadata were not read back")
     return stack.px.select("row", "col", "height_m", F.posexplode(F.arrays_zip("phase", "coh")).alias("pair_idx", "x")).select("row", "col", "pair_idx", "x.phase", "x.coh", "height_m")

@@ -13,62 +13,100 @@ from pyspark.sql import functions as F
 
 from fringeflow.errors import DimensionMismatch, RasterError, UnsupportedFormat
 from fringeflow.operators.cube import Meta
-from fringeflow.sources.files import pixels_of, reader, write_bytes, writer
+from fringeflow.sources.files import pixels_of, reader, store_uri, write_bytes, writer
 
 # TIFF tags and the sizes of their types.
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS_PER_STRIP, _COUNTS, _FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
 _PLANAR, _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 284, 317, 322, 323, 324, 325
 _PIXEL_SCALE, _TIEPOINT, _GEO_KEYS, _NODATA = 33550, 33922, 34735, 42113
-_SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
+_SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
 
 
-def encode(grid: np.ndarray, meta: Meta) -> bytes:
-    """A little-endian Float32 file, NaN for NoData."""
-    data = np.ascontiguousarray(grid, "<f4").tobytes()
+def _ifd(tags: list[tuple[int, str, tuple | bytes]], big: bool) -> bytes:
+    """A little-endian header with one directory; everything stands at the start of the file."""
+    kinds = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+    head, entry, word = (16, 20, 8) if big else (8, 12, 4)
+    at = head + (8 if big else 2) + entry * len(tags) + word
+    entries, extra = b"", b""
+    for tag, kind, values in tags:
+        raw = values if kind == "s" else struct.pack(f"<{len(values)}{kind}", *values)
+        if len(raw) <= word:
+            field = raw.ljust(word, b"\0")
+        else:
+            field, extra = struct.pack("<Q" if big else "<I", at + len(extra)), extra + raw + b"\0" * (len(raw) % 2)
+        entries += struct.pack("<HHQ" if big else "<HHI", tag, kinds[kind], len(values)) + field
+    first = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) + struct.pack("<Q", len(tags)) if big else struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags))
+    return first + entries + b"\0" * word + extra
+
+
+def _describing(shape: tuple[int, int], meta: Meta) -> list[tuple[int, str, tuple | bytes]]:
     x, y, w, h = meta.transform
     epsg = int(meta.crs.split(":")[1]) if meta.crs and meta.crs.upper().startswith("EPSG:") else None
     keys = (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg) if epsg else (1, 1, 0, 1, 1024, 0, 1, 1)
-    tags = [
-        (_WIDTH, "I", (grid.shape[1],)), (_HEIGHT, "I", (grid.shape[0],)), (_BITS, "H", (32,)), (_COMPRESSION, "H", (1,)), (_PHOTOMETRIC, "H", (1,)),
-        (_OFFSETS, "I", (0,)), (_SAMPLES, "H", (1,)), (_ROWS_PER_STRIP, "I", (grid.shape[0],)), (_COUNTS, "I", (len(data),)), (_FORMAT, "H", (3,)),
-        (_PIXEL_SCALE, "d", (abs(w), abs(h), 0.0)), (_TIEPOINT, "d", (0.0, 0.0, 0.0, x, y, 0.0)), (_GEO_KEYS, "H", keys), (_NODATA, "s", (b"nan\0",)),
+    return [
+        (_WIDTH, "I", (shape[1],)), (_HEIGHT, "I", (shape[0],)), (_BITS, "H", (32,)), (_COMPRESSION, "H", (1,)), (_PHOTOMETRIC, "H", (1,)), (_SAMPLES, "H", (1,)), (_FORMAT, "H", (3,)),
+        (_PIXEL_SCALE, "d", (abs(w), abs(h), 0.0)), (_TIEPOINT, "d", (0.0, 0.0, 0.0, x, y, 0.0)), (_GEO_KEYS, "H", keys), (_NODATA, "s", b"nan\0"),
     ]
-    kinds = {"H": 3, "I": 4, "d": 12, "s": 2}
-    at = 8 + 2 + 12 * len(tags) + 4
-    entries, extra = [], b""
-    for tag, kind, values in tags:
-        raw = values[0] if kind == "s" else struct.pack(f"<{len(values)}{kind}", *values)
-        count = len(raw) if kind == "s" else len(values)
-        if len(raw) <= 4:
-            field = raw.ljust(4, b"\0")
-        else:
-            field, extra = struct.pack("<I", at + len(extra)), extra + raw + b"\0" * (len(raw) % 2)
-        entries.append((tag, kinds[kind], count, field))
-    start = at + len(extra)
-    entries = [(t, k, c, struct.pack("<I", start) if t == _OFFSETS else f) for t, k, c, f in entries]
-    head = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries))
-    return head + b"".join(struct.pack("<HHI", t, k, c) + f for t, k, c, f in entries) + struct.pack("<I", 0) + extra + data
+
+
+def encode(grid: np.ndarray, meta: Meta) -> bytes:
+    """A little-endian Float32 file of one strip, NaN for NoData."""
+    data = np.ascontiguousarray(grid, "<f4").tobytes()
+
+    def head(at: int) -> bytes:
+        return _ifd(sorted([*_describing(grid.shape, meta), (_OFFSETS, "I", (at,)), (_ROWS_PER_STRIP, "I", (grid.shape[0],)), (_COUNTS, "I", (len(data),))]), False)
+
+    return head(len(head(0))) + data
+
+
+def tiled_header(shape: tuple[int, int], meta: Meta, tile: int, have: np.ndarray | None = None, big: bool | None = None) -> bytes:
+    """The header of a Float32 file whose square tiles stand behind it at fixed places, those in `have` (all, if None); the others are NoData.
+
+    Its length depends on the shape alone, so tiles can be written before it. Files of 4 GiB and more have 64-bit offsets.
+    """
+    n, size = -(-shape[0] // tile) * -(-shape[1] // tile), tile * tile * 4
+    big = n * (size + 16) + 4096 >= 1 << 32 if big is None else big
+    kind = "Q" if big else "I"
+
+    def head(at: int) -> bytes:
+        there = np.ones(n, bool)
+        if have is not None:
+            there = np.isin(np.arange(n), have)
+        offsets = np.where(there, at + size * np.arange(n, dtype=np.int64), 0)
+        return _ifd(sorted([*_describing(shape, meta), (_TILE_WIDTH, "I", (tile,)), (_TILE_HEIGHT, "I", (tile,)), (_TILE_OFFSETS, kind, tuple(offsets.tolist())), (_TILE_COUNTS, kind, tuple(np.where(there, size, 0).tolist()))]), big)
+
+    length = len(head(0))
+    return head(length + -length % 16).ljust(length + -length % 16, b"\0")
 
 
 def directory(fetch: Callable[[int, int], bytes], path: str = "") -> tuple[str, dict[int, tuple | bytes]]:
-    """Byte order and tags of the first image; fetch(start, length) gives bytes of the file (fewer at its end)."""
+    """Byte order and tags of the first image, classic or with 64-bit offsets; fetch(start, length) gives bytes of the file (fewer at its end)."""
     try:
-        head = fetch(0, 8)
+        head = fetch(0, 16)
         order = {b"II": "<", b"MM": ">"}[head[:2]]
         magic, at = struct.unpack(order + "HI", head[2:8])
-        if magic != 42:
-            raise UnsupportedFormat(f"{path}: not a classic TIFF")
-        (n,) = struct.unpack(order + "H", fetch(at, 2))
-        entries, tags = fetch(at + 2, 12 * n), {}
+        word, entry, many = "I", "HHI", "H"
+        if magic == 43:
+            size, _, at = struct.unpack(order + "HHQ", head[4:16])
+            if size != 8 or not at:
+                raise UnsupportedFormat(f"{path}: no image with offsets of 8 bytes")
+            word, entry, many = "Q", "HHQ", "Q"
+        elif magic != 42:
+            raise UnsupportedFormat(f"{path}: not a TIFF")
+        wide, step = struct.calcsize(order + word), struct.calcsize(order + entry) + struct.calcsize(order + word)
+        (n,) = struct.unpack(order + many, fetch(at, struct.calcsize(order + many)))
+        if n > 1 << 16:
+            raise RasterError(f"{path}: damaged TIFF header")
+        entries, tags = fetch(at + struct.calcsize(order + many), step * n), {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * k)
+            tag, kind, count = struct.unpack_from(order + entry, entries, step * k)
             if kind not in _SIZES:
                 continue
             code = _SIZES[kind]
             size = struct.calcsize(code) * count
-            raw = entries[12 * k + 8 : 12 * k + 12]
-            if size > 4:
-                raw = fetch(struct.unpack(order + "I", raw)[0], size)
+            raw = entries[step * (k + 1) - wide : step * (k + 1)]
+            if size > wide:
+                raw = fetch(struct.unpack(order + word, raw)[0], size)
             tags[tag] = raw[:count] if code == "s" else struct.unpack(f"{order}{count}{code}", raw[:size])
     except (KeyError, struct.error) as e:
         raise RasterError(f"{path}: damaged TIFF header") from e
@@ -135,48 +173,92 @@ def _unpredicted(data: bytes, predictor: int, shape: tuple[int, int, int], kind:
     return x
 
 
+class Image:
+    """The first band of a file, read by ranges of pixels: strips or tiles, plain, Deflate or LZW. Sizes are checked before anything is allocated."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes], size: int, path: str = ""):
+        self.fetch, self.path = fetch, path
+        order, tags = directory(fetch, path)
+        self.shape, self.meta = _about(tags)
+        height, width = self.shape
+        self.compression, self.predictor = (tags.get(t, (1,))[0] for t in (_COMPRESSION, _PREDICTOR))
+        if self.compression not in (1, 5, 8, 32946) or self.predictor not in (1, 2, 3):
+            raise UnsupportedFormat(f"{path}: compression {self.compression} with predictor {self.predictor}")
+        self.samples = tags.get(_SAMPLES, (1,))[0] if tags.get(_PLANAR, (1,))[0] == 1 else 1
+        bits, form = tags.get(_BITS, (1,))[0], tags.get(_FORMAT, (1,))[0]
+        kind = {(32, 3): "f4", (64, 3): "f8", (8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4"}.get((bits, form))
+        if kind is None or (self.predictor == 3 and form != 3):
+            raise UnsupportedFormat(f"{path}: {bits}-bit samples of format {form}")
+        self.kind = np.dtype(order + kind)
+        self.tiled = _TILE_WIDTH in tags
+        self.offsets, self.counts = (tags.get(t, ()) for t in ((_TILE_OFFSETS, _TILE_COUNTS) if self.tiled else (_OFFSETS, _COUNTS)))
+        self.bw, self.bh = (tags[_TILE_WIDTH][0], tags[_TILE_HEIGHT][0]) if self.tiled else (width, min(height, tags.get(_ROWS_PER_STRIP, (height,))[0]))
+        self.across, down = -(-width // max(1, self.bw)), -(-height // max(1, self.bh))
+        plain = self.bw * self.bh * self.samples * self.kind.itemsize
+        short = min(width, height, self.bw, self.bh, self.samples) < 1 or min(len(self.offsets), len(self.counts)) < self.across * down
+        if short or any(o + c > size for o, c in zip(self.offsets, self.counts, strict=False)):
+            raise RasterError(f"{path}: shorter than its size says")
+        if plain > 2000 * max(1, max(self.counts)) and any(self.counts):  # no compression here makes so much of so little
+            raise RasterError(f"{path}: shorter than its size says")
+        nodata = tags.get(_NODATA, b"nan").strip(b"\0 ")
+        self.nodata = np.float32(float(nodata)) if nodata and nodata.lower() != b"nan" else None
+
+    @property
+    def step(self) -> tuple[int, int]:
+        """Rows and columns that are read together at least."""
+        return (1, self.shape[1]) if self._by_rows else (self.bh, self.bw)
+
+    @property
+    def _by_rows(self) -> bool:
+        return not self.tiled and self.compression == 1 and self.predictor == 1
+
+    def read(self, r0: int = 0, r1: int | None = None, c0: int = 0, c1: int | None = None) -> np.ndarray:
+        """Rows r0 to r1 and columns c0 to c1 (exclusive) as Float32; of the file only the strips or tiles that hold them are read."""
+        r1, c1 = min(self.shape[0], r1 or self.shape[0]), min(self.shape[1], c1 or self.shape[1])
+        out = np.full((max(0, r1 - r0), max(0, c1 - c0)), np.nan, np.float32)
+        for i in range(r0 // self.bh, -(-r1 // self.bh)):
+            for j in range(c0 // self.bw, -(-c1 // self.bw)):
+                k, r, c = i * self.across + j, i * self.bh, j * self.bw
+                if not self.counts[k]:
+                    continue  # a tile that was never written
+                rows, at, n = self.bh if self.tiled else min(self.bh, self.shape[0] - r), self.offsets[k], self.counts[k]
+                line = self.bw * self.samples * self.kind.itemsize
+                if self._by_rows and n < rows * line:
+                    raise RasterError(f"{self.path}: shorter than its size says")
+                if self._by_rows:
+                    first, last = max(r, r0), min(r + rows, r1)
+                    at, n, r, rows = at + (first - r) * line, (last - first) * line, first, last - first
+                raw = _block(self.fetch(at, n), self.compression, rows * line, self.path)
+                block = _unpredicted(raw, self.predictor, (rows, self.bw, self.samples), self.kind)[:, :, 0]
+                top, left = max(r, r0), max(c, c0)
+                part = block[top - r : r1 - r, left - c : c1 - c]
+                out[top - r0 : top - r0 + part.shape[0], left - c0 : left - c0 + part.shape[1]] = part
+        return out if self.nodata is None else np.where(out == self.nodata, np.float32(np.nan), out)
+
+
 def decode(data: bytes, path: str = "") -> tuple[np.ndarray, Meta]:
-    """The first band as Float32 and its georeference; strips or tiles, plain, Deflate or LZW; sizes are checked before anything is allocated."""
-    order, tags = directory(lambda at, n: data[at : at + n], path)
-    (height, width), meta = _about(tags)
-    compression, predictor = (tags.get(t, (1,))[0] for t in (_COMPRESSION, _PREDICTOR))
-    if compression not in (1, 5, 8, 32946) or predictor not in (1, 2, 3):
-        raise UnsupportedFormat(f"{path}: compression {compression} with predictor {predictor}")
-    samples = tags.get(_SAMPLES, (1,))[0] if tags.get(_PLANAR, (1,))[0] == 1 else 1
-    bits, form = tags.get(_BITS, (1,))[0], tags.get(_FORMAT, (1,))[0]
-    kind = {(32, 3): "f4", (64, 3): "f8", (8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4"}.get((bits, form))
-    if kind is None or (predictor == 3 and form != 3):
-        raise UnsupportedFormat(f"{path}: {bits}-bit samples of format {form}")
-    kind = np.dtype(order + kind)
-    tiled = _TILE_WIDTH in tags
-    offsets, counts = (tags.get(t, ()) for t in ((_TILE_OFFSETS, _TILE_COUNTS) if tiled else (_OFFSETS, _COUNTS)))
-    bw, bh = (tags[_TILE_WIDTH][0], tags[_TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(_ROWS_PER_STRIP, (height,))[0]))
-    across, down = -(-width // max(1, bw)), -(-height // max(1, bh))
-    plain = bw * bh * samples * kind.itemsize
-    if min(width, height, bw, bh, samples) < 1 or min(len(offsets), len(counts)) < across * down or any(o + c > len(data) for o, c in zip(offsets, counts, strict=False)):
-        raise RasterError(f"{path}: shorter than its size says")
-    if plain > 2000 * max(1, max(counts)):  # no compression here makes so much of so little
-        raise RasterError(f"{path}: shorter than its size says")
-    grid = np.empty((height, width), np.float32)
-    for k in range(across * down):
-        r, c = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, height - r)
-        raw = _block(data[offsets[k] : offsets[k] + counts[k]], compression, rows * bw * samples * kind.itemsize, path)
-        block = _unpredicted(raw, predictor, (rows, bw, samples), kind)[:, :, 0]
-        grid[r : r + rows, c : c + bw] = block[: height - r, : width - c]
-    nodata = tags.get(_NODATA, b"nan").strip(b"\0 ")
-    if nodata and nodata.lower() != b"nan":
-        grid = np.where(grid == np.float32(float(nodata)), np.float32(np.nan), grid)
-    return grid, meta
+    """The first band as Float32 and its georeference."""
+    image = Image(lambda at, n: data[at : at + n], len(data), path)
+    return image.read(), image.meta
 
 
 def read(spark: SparkSession, paths: list[str], value: str = "value", index: str = "layer") -> DataFrame:
-    """row, col, index, value of every pixel of every file; NoData is NULL."""
-    return pixels_of(spark, paths, lambda path, data: [decode(data, path)[0].astype(float)], [value], index)
+    """row, col, index, value of every pixel of every file; NoData is NULL. A task reads a block of rows or tiles; a whole file only where tasks have no client for the store."""
+    from fringeflow.sources import raster
+
+    described = raster.tiffs(spark, paths)
+    if described is None:
+        return pixels_of(spark, paths, lambda path, data: [decode(data, path)[0].astype(float)], [value], index)
+    return raster.scan(spark, described, [value], index)
 
 
 def headers(spark: SparkSession, paths: list[str]) -> list[tuple[tuple[int, int], Meta]]:
-    """Shape and georeference of each file; of each only the header's bytes are read."""
+    """Shape and georeference of each file; of each only the header's bytes are read, by tasks where they can."""
+    from fringeflow.sources import raster
+
+    described = raster.tiffs(spark, paths)
+    if described is not None:
+        return [(tuple(x["shape"]), raster.meta_of(x)) for x in described]
     out = []
     for p in paths:
         with reader(spark, p) as fetch:
@@ -192,8 +274,15 @@ def same_shape(found: list[tuple[tuple[int, int], Meta]]) -> tuple[int, int]:
 
 
 def write_layers(rows: DataFrame, name: str, value: str, shape: tuple[int, int], meta: Meta, folder: str) -> list[str]:
-    """A file for each value of the column `name` (the file's name). Tasks build and write the files, and only names reach the driver."""
+    """A file for each value of the column `name` (the file's name), written tile by tile where tasks reach the folder as files.
+
+    In other stores, which have no writing at a place, a task builds and writes a whole file. Only names reach the driver.
+    """
     spark = rows.sparkSession
+    if (store_uri(spark, folder) or "").startswith("file://"):
+        from fringeflow.sources import raster
+
+        return raster.write_tiles(rows, name, value, shape, meta, folder)
     put, written = writer(spark, folder), []
 
     def one(t: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 import numpy as np
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from fringeflow.errors import DimensionMismatch, MetadataError, RasterError, StackIOError, UnsupportedFormat
 from fringeflow.functions.phase import WAVELENGTH_M
 from fringeflow.operators.cube import Meta, Pair, Stack, to_pixels
-from fringeflow.sources.files import exists, listed, pixels_of, text_of
+from fringeflow.sources import raster
+from fringeflow.sources.files import exists, listed, pixels_of, same_file, store_uri, whole_uri
 
 _PAIR = re.compile(r"(\d{8})_(\d{8})")
 # GDAL's names of sample types.
@@ -129,38 +130,84 @@ def dimensions(spark: SparkSession, folder: str, config: IsceConfig) -> tuple[tu
     return epochs, tuple(Pair(at[a], at[b], base.get(n, 0.0)) for a, b, n in found), [n for _, _, n in found]
 
 
-def _layers(spark: SparkSession, folder: str, names: list[str], file: str, pick, values: list[str]) -> tuple[DataFrame, tuple[int, int]]:
-    """row, col, pair_idx, values of a file in each pair's folder."""
-    layouts = {}
-    for n in names:
-        path = f"{folder}/{n}/{file}"
-        layouts[path] = parse_vrt(text_of(spark, path + ".vrt"), path + ".vrt")
-    shapes = {(x.rows, x.cols) for x in layouts.values()}
+def descriptions(spark: SparkSession, paths: list[str]) -> list[Layout]:
+    """The VRT beside each path, all read by one job; what they say of their bands' files becomes whole paths."""
+    vrts = [f"{p}.vrt" for p in paths]
+    for p in vrts:
+        if not exists(spark, p):
+            raise StackIOError(f"{p}: no such file")
+    texts = spark.read.text(vrts, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()  # a row a file
+    at = {same_file(r.path): r.value for r in texts}
+    return [_placed(parse_vrt(at[same_file(whole_uri(spark, v))], v), v) for v in vrts]
+
+
+def _placed(layout: Layout, vrt: str) -> Layout:
+    folder = vrt.rpartition("/")[0]
+    return replace(layout, bands=tuple(b if "://" in b.source or b.source.startswith("/") else replace(b, source=f"{folder}/{b.source}") for b in layout.bands))
+
+
+def _bands(spark: SparkSession, layouts: list[Layout], bands: tuple[int, ...], values: list[str], index: str, kinds: tuple[str, ...] = ("f4", "f8")) -> DataFrame:
+    """row, col, index, values: some bands (from 1) of each layer, each from its own file; a complex band gives two values.
+
+    Tasks read blocks of rows; where they have no client for the store, a whole file each.
+    """
+    for x in layouts:
+        for k in bands:
+            if not 1 <= k <= len(x.bands):
+                raise MetadataError(f"there is no band {k}")
+            if x.bands[k - 1].kind[1:] not in kinds:
+                raise UnsupportedFormat(f"{x.bands[k - 1].source}: band {k} has samples of type {x.bands[k - 1].kind}")
+    uris = {b.source: store_uri(spark, b.source) for x in layouts for b in x.bands}
+    if None not in uris.values():
+        layers = [raster.raw((x.rows, x.cols), [{"uri": uris[b.source], "type": b.kind, "offset": b.offset, "pixel": b.pixel, "line": b.line} for b in (x.bands[k - 1] for k in bands)]) for x in layouts]
+        return raster.scan(spark, layers, values, index)
+    at, parts = 0, None
+    for k in bands:
+        width = 2 if kinds == ("c8",) else 1
+        rows = pixels_of(spark, [x.bands[k - 1].source for x in layouts], _whole(layouts, k), values[at : at + width], index)
+        parts = rows if parts is None else parts.join(rows, ["row", "col", index])
+        at += width
+    return parts
+
+
+def _whole(layouts: list[Layout], k: int):
+    by_source = {x.bands[k - 1].source: x for x in layouts}
+
+    def decode(path: str, data: bytes) -> list[np.ndarray]:
+        grid = read_band(data, by_source[path], k, path, (by_source[path].bands[k - 1].kind[1:],))
+        return [grid.real.astype(float), grid.imag.astype(float)] if grid.dtype.kind == "c" else [grid.astype(float)]
+
+    return decode
+
+
+def _layers(spark: SparkSession, folder: str, names: list[str], file: str) -> tuple[list[Layout], tuple[int, int]]:
+    """What the descriptions of a file in each pair's folder say, and its shape."""
+    layouts = descriptions(spark, [f"{folder}/{n}/{file}" for n in names])
+    shapes = {(x.rows, x.cols) for x in layouts}
     if len(shapes) != 1:
         raise DimensionMismatch(f"{file}: pairs of different sizes: {sorted(shapes)}")
-    by_source = {p.rpartition("/")[0] + "/" + x.bands[0].source: (p, x) for p, x in layouts.items()}
-    rows = pixels_of(spark, list(by_source), lambda path, data: pick(data, by_source[path][1], path), values, "pair_idx")
-    return rows, shapes.pop()
-
-
-def _phase(config: IsceConfig):
-    def pick(data: bytes, layout: Layout, path: str) -> list[np.ndarray]:
-        if len(layout.bands) < 2:
-            raise MetadataError(f"{path}: the phase is in band 2, and there is only one")
-        phase, amp = read_band(data, layout, 2, path).astype(float), read_band(data, layout, 1, path)
-        return [np.where(amp == 0, np.nan, phase) if config.mask_zero_amplitude else phase, (amp != 0).astype(float)]
-
-    return pick
+    return layouts, shapes.pop()
 
 
 def read_unwrapped(spark: SparkSession, folder: str, config: IsceConfig | None = None, coherence: bool = True) -> Stack:
     """The unwrapped stack, with coherence where every pair has it; pixels are radar coordinates."""
     config = config or IsceConfig()
     epochs, pairs, names = dimensions(spark, folder, config)
-    rows, shape = _layers(spark, folder, names, config.unwrapped, _phase(config), ["phase", "seen"])
+    layouts, shape = _layers(spark, folder, names, config.unwrapped)
+    if any(len(x.bands) < 2 for x in layouts):
+        raise MetadataError(f"{config.unwrapped}: the phase is in band 2, and there is only one")
+    rows = _bands(spark, layouts, (1, 2), ["seen", "phase"], "pair_idx")
+    if config.mask_zero_amplitude:
+        rows = rows.withColumn("phase", F.when(F.coalesce(F.col("seen") != 0, F.lit(True)), F.col("phase")))
+    rows = rows.withColumn("seen", F.coalesce(F.col("seen") != 0, F.lit(True)).cast("double"))
     values = {"phase": "phase"}
     if coherence and all(exists(spark, f"{folder}/{n}/{config.coherence}.vrt") for n in names):
-        coh, other = _layers(spark, folder, names, config.coherence, _coherence, ["coh"])
+        layouts, other = _layers(spark, folder, names, config.coherence)
+        widths = {len(x.bands) for x in layouts}
+        if max(widths) > 2:
+            raise MetadataError(f"{config.coherence}: coherence has one band or two, not {max(widths)}")
+        # coherence is the last band, whichever number that has
+        coh = _bands(spark, [replace(x, bands=x.bands[-1:]) for x in layouts], (1,), ["coh"], "pair_idx")
         if other != shape:
             raise DimensionMismatch(f"coherence {other} is not of the size of the phase {shape}")
         # one grouping by pixel takes both; a pair's coherence counts only where its amplitude is not zero
@@ -172,41 +219,27 @@ def read_unwrapped(spark: SparkSession, folder: str, config: IsceConfig | None =
     return Stack(px, epochs, pairs, shape, Meta(wavelength_m=config.wavelength_m, incidence_deg=config.incidence_deg))
 
 
-def _coherence(data: bytes, layout: Layout, path: str) -> list[np.ndarray]:
-    if len(layout.bands) > 2:
-        raise MetadataError(f"{path}: coherence has one band or two, not {len(layout.bands)}")
-    return [read_band(data, layout, len(layout.bands), path).astype(float)]
-
-
 def read_wrapped(spark: SparkSession, folder: str, config: IsceConfig | None = None) -> tuple[DataFrame, tuple[date, ...], tuple[Pair, ...], tuple[int, int]]:
     """Long rows (row, col, pair_idx, re, im); exact zeros are NoData."""
     config = config or IsceConfig()
     epochs, pairs, names = dimensions(spark, folder, config)
-
-    def pick(data: bytes, layout: Layout, path: str) -> list[np.ndarray]:
-        z = read_band(data, layout, 1, path, ("c8",))
-        return [np.where(z == 0, np.nan, z.real).astype(float), np.where(z == 0, np.nan, z.imag).astype(float)]
-
-    rows, shape = _layers(spark, folder, names, config.wrapped, pick, ["re", "im"])
-    return rows, epochs, pairs, shape
+    layouts, shape = _layers(spark, folder, names, config.wrapped)
+    rows = _bands(spark, layouts, (1,), ["re", "im"], "pair_idx", ("c8",))
+    seen = ~((F.col("re") == 0) & (F.col("im") == 0))
+    return rows.select("row", "col", "pair_idx", F.when(seen, F.col("re")).alias("re"), F.when(seen, F.col("im")).alias("im")), epochs, pairs, shape
 
 
 def read_components(spark: SparkSession, folder: str, config: IsceConfig | None = None) -> DataFrame:
     """row, col, pair_idx, component (0: not unwrapped)."""
     config = config or IsceConfig()
     _, _, names = dimensions(spark, folder, config)
-    rows, _ = _layers(spark, folder, names, config.components, lambda d, x, p: [read_band(d, x, 1, p, ("u1",)).astype(float)], ["component"])
+    layouts, _ = _layers(spark, folder, names, config.components)
+    rows = _bands(spark, layouts, (1,), ["component"], "pair_idx", ("u1",))
     return rows.withColumn("component", F.col("component").cast("smallint"))
 
 
 def read_los(spark: SparkSession, path: str) -> DataFrame:
     """row, col, incidence_deg, azimuth_deg; exact (0, 0) is NoData."""
-    layout = parse_vrt(text_of(spark, path + ".vrt"), path + ".vrt")
-    source = path.rpartition("/")[0] + "/" + layout.bands[0].source
-
-    def pick(_: str, data: bytes) -> list[np.ndarray]:
-        inc, az = (read_band(data, layout, k, path).astype(float) for k in (1, 2))
-        none = (inc == 0) & (az == 0)
-        return [np.where(none, np.nan, inc), np.where(none, np.nan, az)]
-
-    return pixels_of(spark, [source], pick, ["incidence_deg", "azimuth_deg"]).drop("layer")
+    rows = _bands(spark, descriptions(spark, [path]), (1, 2), ["incidence_deg", "azimuth_deg"], "layer").drop("layer")
+    none = (F.col("incidence_deg") == 0) & (F.col("azimuth_deg") == 0)
+    return rows.select("row", "col", F.when(~none, F.col("incidence_deg")).alias("incidence_deg"), F.when(~none, F.col("azimuth_deg")).alias("azimuth_deg"))

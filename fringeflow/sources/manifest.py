@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from fringeflow.errors import DimensionMismatch, MetadataError
 from fringeflow.operators.cube import Meta, Pair, Series, Stack, check_meta, check_pairs, to_long, to_pixels
-from fringeflow.sources import geotiff
-from fringeflow.sources.files import listed, text_of
+from fringeflow.sources import geotiff, raster
+from fringeflow.sources.files import listed, store_uri, text_of
 
 
 @dataclass(frozen=True)
@@ -140,8 +140,8 @@ def write_stack_json(spark: SparkSession, folder: str, stack: Stack, **lists: li
 def read_raw_cube(spark: SparkSession, folder: str) -> Stack:
     """`meta.json` with `phase.f32` and, where they are, `coherence.f32` and `dem.f32`: little-endian floats, pairs by rows by columns.
 
-    Heights are a column height_m; `los_vector` (east, north, up) goes to the metadata. A task reads one layer (a
-    fixed-length record of the file), not the file.
+    Heights are a column height_m; `los_vector` (east, north, up) goes to the metadata. A task reads a block of rows of a layer; where
+    tasks have no client for the store, one layer (a fixed-length record of the file).
     """
     import numpy as np
     import pyarrow as pa
@@ -156,6 +156,9 @@ def read_raw_cube(spark: SparkSession, folder: str) -> Stack:
     size = rows * cols * 4
 
     def layers(name: str, value: str) -> DataFrame:
+        if uri := store_uri(spark, f"{folder}/{name}"):
+            many = 1 if name == "dem.f32" else n
+            return raster.scan(spark, [raster.raw((rows, cols), [{"uri": uri, "type": "<f4", "offset": k * size, "pixel": 4, "line": 4 * cols}]) for k in range(many)], [value], "pair_idx")
         records = spark.sparkContext.binaryRecords(f"{folder}/{name}", size).zipWithIndex()  # the one reader Spark has for records of fixed length
         table = records.map(lambda x: (bytes(x[0]), x[1])).toDF("content binary, pair_idx long")
 
