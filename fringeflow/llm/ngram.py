@@ -37,9 +37,11 @@ from fringeflow.sources.files import writer
 
 ORDER = 3
 #: Bytes of text to a part of the model, tokens that a task gathers before it sends them, and the count from which a context is salted.
-PART_BYTES, BUFFER, HOT = 1 << 24, 1 << 21, 1 << 20
+PART_BYTES, BUFFER, HOT = 1 << 23, 1 << 20, 1 << 19
 #: Bytes of text that are cut into words at once, bytes from which a word is hashed on its own, and n-grams to a bucket.
 TILE, LONG_WORD, BUCKET = 1 << 21, 256, 32
+#: Bytes of texts and tokens that a task works on at once.
+SLICE, WINDOW = 1 << 21, 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,6 +108,17 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes of text, one text at least."""
+    for b in batches:
+        size = np.cumsum(pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _tokens(column: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, real) of the tokens of a batch: for each text `pad` starts (not real), its words and its end."""
     h, text = words(*_texts(column))
@@ -119,39 +132,75 @@ def _tokens(column: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, doc, real
 
 
+def _places(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): rows in order of their keys, and where in that order each different row begins."""
+    k = keys[0].astype(np.uint64)
+    for n, key in enumerate(keys[1:]):
+        if n:  # two keys fill 64 bits: what they make is numbered before the next one joins
+            order = np.argsort(k)
+            ranked = k[order]
+            k[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]], dtype=np.uint64)
+        k = (k << _U(32)) | key
+    order = np.argsort(k)
+    ranked = k[order]
+    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
+
+
 def _sums(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Rows sorted by keys, those of equal keys added."""
     if not len(values):
         return keys, values
-    wide = [(keys[k].astype(np.uint64) << _U(32)) | keys[k + 1] if k + 1 < len(keys) else keys[k].astype(np.uint64) for k in range(0, len(keys), 2)]
-    order = np.lexsort(wide[::-1]) if len(wide) > 1 else np.argsort(wide[0], kind="stable")
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for w in wide:
-        new[1:] |= w[order[1:]] != w[order[:-1]]
-    first = np.flatnonzero(new)
-    return [k[order[first]] for k in keys], np.add.reduceat(values[order], first, axis=0)
+    order, first = _places(keys)
+    return [k[order[first]] for k in keys], np.stack([np.add.reduceat(values[order, c], first) for c in range(values.shape[1])], axis=1)
+
+
+def _counted(ids: np.ndarray, last: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different n-grams that end at places `last` of ids, sorted, and how often each occurs."""
+    known, rank = np.unique(ids, return_inverse=True)
+    bits = max(1, int(len(known) - 1).bit_length())
+    if bits * order > 64:
+        keys = [ids[last - (order - 1 - k)] for k in range(order)]
+        return _sums(keys, np.ones((len(last), 1), np.uint64))
+    rank, k = rank.astype(np.uint64), np.zeros(len(last), np.uint64)
+    for n in range(order):
+        k = (k << _U(bits)) | rank[last - (order - 1 - n)]
+    k.sort()
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    count = np.diff(np.r_[first, len(k)]).astype(np.uint64)
+    k = k[first]
+    return [known[(k >> _U(bits * (order - 1 - n))) & _U((1 << bits) - 1)] for n in range(order)], count[:, None]
+
+
+def _least(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    most = int(a.max(initial=0))
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def _packed(keys: list[np.ndarray], values: np.ndarray) -> bytes:
-    planes = [np.diff(keys[0], prepend=np.uint32(0)), *keys[1:], *values.T]
+    planes = [np.diff(keys[0], prepend=np.uint32(0)), *keys[1:], *map(_least, values.T)]
     raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in map(np.ascontiguousarray, planes))
-    return len(values).to_bytes(8, "little") + bytes([len(keys), values.shape[1]]) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    sizes = bytes(a.itemsize for a in planes)
+    return len(values).to_bytes(8, "little") + bytes([len(keys), len(sizes)]) + sizes + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _unpacked(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    n, keys, width = int.from_bytes(blob[:8], "little"), blob[8], blob[9]
-    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[10:], n * (4 * keys + 8 * width), asbytes=True), np.uint8)
+def _unpacked(blob: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys and `width` columns of values; those that the blob has not are 0."""
+    n, keys, sizes = int.from_bytes(blob[:8], "little"), blob[8], blob[10 : 10 + blob[9]]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[10 + len(sizes) :], n * sum(sizes), asbytes=True), np.uint8)
     at, out = 0, []
-    for size in [4] * keys + [8] * width:
+    for size in sizes:
         out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"<u{size}").ravel())
         at += n * size
     out[0] = np.cumsum(out[0], dtype=np.uint32)
-    return out[:keys], np.stack(out[keys:], axis=1)
+    values = np.zeros((n, width), np.uint64)
+    for c, column in enumerate(out[keys:]):
+        values[:, c] = column
+    return out[:keys], values
 
 
-def _gather(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [_unpacked(b) for b in blobs]
+def _gather(blobs: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = [_unpacked(b, width) for b in blobs]
     return _sums([np.concatenate(c) for c in zip(*(k for k, _ in parts), strict=True)], np.concatenate([v for _, v in parts]))
 
 
@@ -223,20 +272,33 @@ def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
     return out
 
 
+def _codes(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and for each row which of them it is."""
+    if not len(tuples):
+        return tuples, np.zeros(0, np.uint8)
+    k = tuples[:, 0]
+    if tuples.shape[1] > 1:
+        k = mix(k + _FOLD)
+        for c in range(1, tuples.shape[1]):
+            k = mix(k * _FOLD + tuples[:, c])
+    elif int(k.max()) < 1 << 16:
+        seen = np.flatnonzero(np.bincount(k.astype(np.int64)))
+        at = np.zeros(int(k.max()) + 1, np.uint16)
+        at[seen] = np.arange(len(seen))
+        return seen.astype(np.uint64)[:, None], _least(at[k])
+    _, first, code = np.unique(k, return_index=True, return_inverse=True)
+    return tuples[first], _least(code)
+
+
 def _shard(h: np.ndarray, tuples: np.ndarray) -> dict[str, np.ndarray]:
     """A sorted hash array: n-grams by hash, with codes of their tuples of counts."""
     order = np.argsort(h)
     h = h[order]
     bits = max(0, min(31, (max(1, len(h)) // BUCKET).bit_length()))
-    # the hash is exact where a tuple differs; equal tuples share a code
-    one = np.ascontiguousarray(tuples).view([("", tuples.dtype)] * tuples.shape[1]).ravel()
-    distinct, code = np.unique(one, return_inverse=True)
-    kind = np.uint8 if len(distinct) < 1 << 8 else np.uint16 if len(distinct) < 1 << 16 else np.uint32
+    distinct, code = _codes(tuples)
     bucket = (h >> _U(64 - bits)) if bits else np.zeros(len(h), np.uint64)
-    return {
-        "starts": np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32), "low": (h >> _U(32 - bits)).astype(np.uint32),
-        "code": code.ravel()[order].astype(kind), "tuples": distinct.view(tuples.dtype).reshape(-1, tuples.shape[1]),
-    }
+    starts = np.r_[0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bits))]
+    return {"starts": starts.astype(np.uint32), "low": (h >> _U(32 - bits)).astype(np.uint32), "code": code[order], "tuples": distinct}
 
 
 def _find(shard: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
@@ -293,32 +355,41 @@ class Model:
         return number, count
 
     def counts(self, keys: list[np.ndarray]) -> np.ndarray:
-        """(n, 5): count, and as a context its sum and its numbers of words seen once, twice and more often."""
+        """(n, 3): of each n-gram its count less the discount, and as a context its sum and the share of that which discounts leave to the next lower order."""
+        n = len(keys)
         part, h = Dealing(self.parts, np.array(self.hot))(keys)
-        out = np.zeros((len(h), 5), np.uint64)
+        out = np.zeros((len(h), 3 if n < self.order else 1))
         for p, rows in _split(part, self.parts):
-            if shard := self.open(len(keys), p):
+            if shard := self.open(n, p):
+                if "numbers" not in shard:
+                    t = shard["tuples"].astype(np.float64)
+                    t = np.pad(t, ((0, 0), (0, 5 - t.shape[1])))
+                    own = t[:, 0] - np.r_[0.0, self.discounts[n - 1]][np.minimum(t[:, 0], 3).astype(np.int64)]
+                    shard["numbers"] = np.stack([own, t[:, 1], t[:, 2:] @ np.array(self.discounts[n])], axis=1) if n < self.order else own[:, None]
                 at = _find(shard, h[rows])
-                out[rows[at >= 0]] = shard["tuples"][shard["code"][at[at >= 0]]]
+                there = at >= 0
+                out[rows[there]] = shard["numbers"][shard["code"][at[there]]]
         return out
 
     def probabilities(self, ids: np.ndarray, real: np.ndarray) -> np.ndarray:
         """log10 of the probability of each real token after those before it; ids holds order - 1 starts before each text."""
-        keys = lambda n: [np.r_[np.zeros(n - 1 - k, np.uint32), ids[: len(ids) - (n - 1 - k)]] for k in range(n)]
+        out = np.empty(len(ids))
+        for s in range(0, len(ids), WINDOW):
+            first = max(0, s - self.order)  # what stands before the window's first token
+            out[s : s + WINDOW] = self._window(ids[first : s + WINDOW])[s - first :]
+        return out[real]
+
+    def _window(self, ids: np.ndarray) -> np.ndarray:
         before, p = None, None
         for n in range(1, self.order + 1):
-            c = self.counts(keys(n)).astype(np.float64)
-            count = c[:, 0]
-            cut = np.r_[0.0, self.discounts[n - 1]][np.minimum(count, 3).astype(np.int64)]
+            c = self.counts([np.r_[np.zeros(min(n - 1 - k, len(ids)), np.uint32), ids[: max(0, len(ids) - (n - 1 - k))]] for k in range(n)])
             if n == 1:
-                total, rest = self.root
-                p = (count - cut) / max(total, 1) + rest / (self.distinct + 1)
+                p = (c[:, 0] + self.root[1] / (self.distinct + 1) * max(self.root[0], 1)) / max(self.root[0], 1)
             else:
-                total = before[:, 1]
-                rest = before[:, 2:] @ np.array(self.discounts[n - 1])
-                p = np.where(total > 0, (count - cut + rest * p) / np.maximum(total, 1), p)
-            before = np.vstack([np.zeros((1, 5)), c[:-1]])  # the n-gram that ends one token earlier is the context of order n + 1
-        return np.log10(p[real])
+                total, rest = before[:, 1], before[:, 2]
+                p = np.where(total > 0, (c[:, 0] + rest * p) / np.maximum(total, 1), p)
+            before = np.vstack([np.zeros((1, c.shape[1])), c[:-1]])  # the n-gram that ends one token earlier is the context of order n + 1
+        return np.log10(p)
 
 
 _open: dict = {}
@@ -342,7 +413,7 @@ def _vocabulary(docs: DataFrame, folder: str, parts: int) -> tuple[tuple[str | N
             for p, rows in _split(_part_of(h, parts), parts):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "h": pa.array([h[rows].tobytes()], pa.binary()), "n": pa.array([n[rows].tobytes()], pa.binary())})
 
-        for b in batches:
+        for b in _slices(batches, 0):
             new, many = np.unique(_tokens(b.column(0), 0)[0], return_counts=True)
             h, at = np.unique(np.r_[h, new], return_inverse=True)
             n = np.bincount(at, np.r_[n, many.astype(np.uint64)].astype(np.float64)).astype(np.uint64)
@@ -404,7 +475,7 @@ def _blobs(keys: list[np.ndarray], values: np.ndarray, deal: Dealing) -> Iterato
         yield _row(p, _packed([k[rows] for k in keys], values[rows]))
 
 
-def _merged(n: int, deal: Dealing, put):
+def _merged(n: int, width: int, deal: Dealing, put):
     """Of one part of order n: its shard, and what order n - 1 needs; what is known of higher orders' shards goes along."""
 
     def merge(group: pa.Table) -> pa.Table:
@@ -412,21 +483,19 @@ def _merged(n: int, deal: Dealing, put):
         part = group["part"][0].as_py()
         out = [told]
         if blobs := [x for x in group["blob"].to_pylist() if x is not None]:
-            keys, values = _gather(blobs)
+            keys, values = _gather(blobs, width)
             counts = values[:, 0]
-            full = np.zeros((len(values), 5), np.uint64)
-            full[:, : values.shape[1]] = values
             name = f"grams{n}-{part}-{uuid.uuid4().hex}"
-            put(name, _file(_shard(deal(keys)[1], full)))
+            put(name, _file(_shard(deal(keys)[1], values)))
             met = np.flatnonzero(counts > 0)
             out.append(_row(part, None, n, name, [*np.bincount(np.minimum(counts[met], 5).astype(np.int64), minlength=6)[1:].tolist(), int(counts.sum())]))
             if n > 1 and len(met):
                 keys, counts = [k[met] for k in keys], counts[met]
-                sums = np.zeros((len(met), 5), np.uint64)
-                sums[:, 1], sums[:, 2], sums[:, 3], sums[:, 4] = counts, counts == 1, counts == 2, counts > 2
-                out += _blobs(*_sums(keys[:-1], sums), deal)
-                sums[:], sums[:, 0] = 0, 1
-                out += _blobs(*_sums(keys[1:], sums), deal)
+                first = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys[:-1]])])  # rows of a context stand together
+                sums = [np.zeros(len(first), np.uint64)] + [np.add.reduceat(x.astype(np.uint64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
+                out += _blobs([k[first] for k in keys[:-1]], np.stack(sums, axis=1), deal)
+                order, first = _places(keys[1:])
+                out += _blobs([k[order[first]] for k in keys[1:]], np.diff(np.r_[first, len(order)]).astype(np.uint64)[:, None], deal)
         return pa.concat_tables([t.cast(out[-1].schema) for t in out])
 
     return merge
@@ -464,27 +533,25 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", part_byte
     deal = Dealing(parts, np.array(hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys = [np.concatenate(c) for c in zip(*held, strict=True)]
-            for t in _blobs(*_sums(keys, np.ones((len(keys[0]), 1), np.uint64)), deal):
+            ids, real = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for t in _blobs(*_counted(ids, np.flatnonzero(real), order), deal):
                 yield from t.to_batches()
 
-        for b in batches:
+        for b in _slices(batches, 0):
             h, _, real = _tokens(b.column(0), order - 1)
-            ids = np.where(real, known.words(h)[0], np.uint32(_START))
-            at = np.flatnonzero(real)
-            held.append([ids[at - (order - 1 - k)] for k in range(order)])
-            if sum(len(x[0]) for x in held) > BUFFER:
+            held.append((np.where(real, known.words(h)[0], np.uint32(_START)), real))
+            if sum(len(x) for x, _ in held) > BUFFER:
                 yield from send()
-                held.clear()
-        if held and sum(len(x[0]) for x in held):
+        if held:
             yield from send()
 
     grams = texts.mapInArrow(count, _ROW)
     for n in range(order, 0, -1):
-        grams = grams.groupBy("part").applyInArrow(_merged(n, deal, put), _ROW)
+        grams = grams.groupBy("part").applyInArrow(_merged(n, 1 if n == order else 5, deal, put), _ROW)
     told = grams.select("part", "level", "name", "seen").collect()  # a row for each part and order
     seen = np.zeros((order + 1, 6), np.int64)
     for r in told:
@@ -507,7 +574,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     tokens, distinct = model.tokens, model.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, len(first)):
             h, doc, real = _tokens(b.column(b.num_columns - 1), model.order - 1)
             ids, count = model.words(h)
             ids, count, doc = np.where(real, ids, np.uint32(_START)), count[real], doc[real]
