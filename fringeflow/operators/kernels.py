@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -272,9 +273,14 @@ def wrap_diff(d):
 
 
 def unwrap(wrapped: np.ndarray, quality: np.ndarray | None = None, least: float | None = None) -> np.ndarray:
-    """Flood fill from the best pixel outwards, best neighbours first (ties by row, then column).
+    """unwrap_islands() from the grid's centre, or from the best pixel where there is a quality map: the phases alone."""
+    return unwrap_islands(wrapped, quality, least, (wrapped.shape[0] // 2, wrapped.shape[1] // 2))[0]
 
-    Starts at the grid's centre (or, with a quality map, at the best pixel); a pixel that is not
+
+def unwrap_islands(wrapped: np.ndarray, quality: np.ndarray | None = None, least: float | None = None, centre: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flood fill from the best pixel outwards, best neighbours first (ties by row, then column): phases, and the island (from 0; -1: none) of each pixel.
+
+    Starts at `centre` (or, with a quality map, at the best pixel); a pixel that is not
     reached starts an island of its own. Not finite, or of less than the least quality: not unwrapped.
     """
     rows, cols = wrapped.shape
@@ -282,30 +288,32 @@ def unwrap(wrapped: np.ndarray, quality: np.ndarray | None = None, least: float
     if quality is not None and least is not None:
         ok &= np.isfinite(quality) & (quality >= least)
     rank = np.zeros(wrapped.shape) if quality is None else np.where(np.isfinite(quality), quality, -np.inf)
-    out = np.full(wrapped.shape, np.nan)
+    out, island = np.full(wrapped.shape, np.nan), np.full(wrapped.size, -1)
     flat_ok, flat, rk, res = ok.ravel().tolist(), wrapped.ravel().tolist(), rank.ravel().tolist(), [None] * wrapped.size
     seeds = sorted((i for i, v in enumerate(flat_ok) if v), key=lambda i: (-rk[i], i))
-    centre = rows // 2 * cols + cols // 2
-    if quality is None and flat_ok[centre]:
-        seeds.insert(0, centre)
-    two_pi, pi, ceil = 2 * np.pi, np.pi, np.ceil
+    if quality is None and centre is not None and flat_ok[centre[0] * cols + centre[1]]:
+        seeds.insert(0, centre[0] * cols + centre[1])
+    two_pi, pi, ceil, number = 2 * np.pi, np.pi, math.ceil, -1
     for seed in seeds:
         if res[seed] is not None:
             continue
+        number += 1
         res[seed] = flat[seed]
-        heap = [(-rk[seed], seed)]
+        heap, reached = [(-rk[seed], seed)], [seed]
         while heap:
             _, i = heapq.heappop(heap)
             r, c = divmod(i, cols)
             for j, there in ((i - cols, r > 0), (i - 1, c > 0), (i + 1, c < cols - 1), (i + cols, r < rows - 1)):
                 if there and flat_ok[j] and res[j] is None:
                     d = flat[j] - res[i]
-                    res[j] = res[i] + d - two_pi * float(ceil((d - pi) / two_pi))
+                    res[j] = res[i] + d - two_pi * ceil((d - pi) / two_pi)
+                    reached.append(j)
                     heapq.heappush(heap, (-rk[j], j))
+        island[reached] = number
     for i, v in enumerate(res):
         if v is not None:
             out.flat[i] = v
-    return out
+    return out, island.reshape(wrapped.shape)
 
 
 def correct_closure(phase: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -261,3 +261,25 @@ def unwrapped_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = layers.select("row", "col", "pair_idx", "quality", P.wrapped_phase(F.cos(f), F.sin(f)).alias("wrapped"))
     got = unwrapping.unwrap_stack(layers, (rows, cols), "quality", 0.3).where("phase is not null")
     return got.select("row", "col", "pair_idx", r(F.col("phase")).alias("phase"))
+
+
+_WALL = 'CASE WHEN g.col = 4 AND g."row" > 0 THEN 0.2 ELSE 0.5 + (coalesce(t.n, 0) % 97) / 250.0 END'
+
+
+@query(f"""WITH {X.series_sql()}, t AS (SELECT "row", col, sum(cents)::BIGINT AS c, sum(n)::BIGINT AS n FROM s GROUP BY 1, 2),
+g AS (SELECT a.r AS "row", b.c AS col FROM {_XY} m, LATERAL (SELECT unnest(range(0, mr + 1)) AS r) a, LATERAL (SELECT unnest(range(0, mc + 1)) AS c) b),
+f AS (SELECT g."row", g.col, {_WALL} AS quality, 0.45 * g."row" + 0.35 * g.col + (abs(coalesce(t.c, 0)) % 100) * 0.003 AS f FROM g LEFT JOIN t ON t."row" = g."row" AND t.col = g.col),
+best AS (SELECT f AS f0 FROM f WHERE quality >= 0.3 ORDER BY quality DESC, "row", col LIMIT 1)
+SELECT "row"::INT AS "row", col::INT AS col, k::INT AS pair_idx, CASE WHEN quality >= 0.3 THEN round(f + 0.01 * k - 2 * pi() * round((f0 + 0.01 * k) / (2 * pi())), 6) + 0.0::DOUBLE END AS phase FROM f, best, (SELECT unnest(range(0, 4)) AS k)""")
+def unwrapped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rough layers and their quality from the table, in tiles of 8 x 8 pixels whose islands are joined along their seams; a wall of poor pixels."""
+    long = X.long_series(spark, sf_dir)
+    rows, cols = X.shape(long.select("row", "col"))
+    grid = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    px = grid.join(long.groupBy("row", "col").agg(F.sum("cents").alias("c"), F.sum("n").alias("n")), ["row", "col"], "left")
+    quality = F.when((F.col("col") == 4) & (F.col("row") > 0), 0.2).otherwise(0.5 + F.coalesce("n", F.lit(0)) % 97 / 250.0)
+    f = 0.45 * F.col("row") + 0.35 * F.col("col") + F.abs(F.coalesce("c", F.lit(0))) % 100 * 0.003
+    layers = px.select("row", "col", quality.alias("quality"), f.alias("f")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pair_idx"))
+    f = F.col("f") + 0.01 * F.col("pair_idx")
+    got = unwrapping.unwrap_stack(layers.select("row", "col", "pair_idx", "quality", P.wrapped_phase(F.cos(f), F.sin(f)).alias("wrapped")), (rows, cols), "quality", 0.3, tile=8)
+    return got.select("row", "col", "pair_idx", r(F.col("phase")).alias("phase"))
