@@ -2,9 +2,9 @@
 
 Distances are in pixels. The experimental variogram counts every pair of samples up to a distance: a
 task takes a tile with the margin that its pairs reach into and gets all offsets at once from products
-of Fourier transforms, and only sums by lag leave it. Nearest samples come from a join of square
-buckets with their neighbours; gaps whose neighbours are not surely among those go on to buckets of
-twice the side, so sparse places cost more rounds and nothing is dropped.
+of Fourier transforms, and only sums by lag leave it. Nearest samples come from squares of pixels with a margin; gaps whose neighbours are not surely within
+the margin go on to squares and margins of twice the size, so sparse places cost more rounds and
+nothing is dropped.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from fringeflow.store import discard, materialize
 LAGS, NEIGHBOURS = 15, 40
 #: Side of the tiles that a variogram is summed over (at least the distance it goes to), and of the buckets of the first round.
 TILE, BUCKET = 256, 16
+#: A task holds squares of so many buckets along each axis, with a bucket's width of samples around.
+SPREAD = 4
 #: Systems solved at once.
 BATCH = 512
 MODELS = ("spherical", "exponential", "gaussian")
@@ -139,31 +141,44 @@ def fitted(samples: DataFrame, max_distance: float, lags: int = LAGS, value: str
 
 
 def solve(model: Variogram, gap: np.ndarray, at: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates and kriging variances: gaps (m, 2), their k neighbours' places (m, k, 2) and values (m, k)."""
+    """Estimates and kriging variances: gaps (m, 2, whole pixels), their k neighbours' places (m, k, 2) and values (m, k)."""
     k = z.shape[1]
     if model.nugget + model.sill <= 0:
         return z.mean(axis=1), np.zeros(len(z))
-    apart = np.sqrt(((at[:, :, None] - at[:, None]) ** 2).sum(axis=3))
     a = np.ones((len(z), k + 1, k + 1))
-    a[:, :k, :k] = model.covariance(apart)
+    a[:, :k, :k] = _covariances(model, _squared(at[:, :, None], at[:, None]))
     a[:, np.arange(k), np.arange(k)] += 1e-10 * (model.nugget + model.sill)
     a[:, k, k] = 0
     b = np.ones((len(z), k + 1, 1))
-    b[:, :k, 0] = model.covariance(np.sqrt(((at - gap[:, None]) ** 2).sum(axis=2)))
+    b[:, :k, 0] = _covariances(model, _squared(at, gap[:, None]))
     x = np.linalg.solve(a, b)[:, :, 0]
     return (x[:, :k] * z).sum(axis=1), np.maximum(model.nugget + model.sill - (x * b[:, :, 0]).sum(axis=1), 0)
 
 
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of pixels."""
+    r, c = a[..., 0] - b[..., 0], a[..., 1] - b[..., 1]
+    return r * r + c * c
+
+
+def _covariances(model: Variogram, squared: np.ndarray) -> np.ndarray:
+    """By squared distance in pixels; short ones, of which there are few different, from a table."""
+    most = int(squared.max(initial=0))
+    if most < squared.size and most < 1 << 20:
+        return model.covariance(np.sqrt(np.arange(most + 1)))[squared]
+    return model.covariance(np.sqrt(squared))
+
+
 def _nearest(gaps: np.ndarray, samples: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in samples (sorted by row, column) of each gap's k nearest, ties by row and column; and the squared distance of the last."""
     middle = (gaps.min(axis=0) + gaps.max(axis=0)) / 2
-    away = np.sqrt(((samples - middle) ** 2).sum(axis=1))
+    away = np.sqrt(_squared(samples, middle))
     near = np.arange(len(samples))
     if len(samples) > k:
-        half = np.sqrt(((gaps - middle) ** 2).sum(axis=1)).max()
+        half = np.sqrt(_squared(gaps, middle)).max()
         near = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1] + 2 * half + 1e-9)
-    d = ((gaps[:, None] - samples[near][None]) ** 2).sum(axis=2)
-    key = d * len(near) + np.arange(len(near))
+    d = _squared(gaps[:, None], samples[near][None])
+    key = d.astype(np.int64) * len(near) + np.arange(len(near))
     k = min(k, len(near))
     first = np.argpartition(key, k - 1, axis=1)[:, :k]
     first = np.take_along_axis(first, np.argsort(np.take_along_axis(key, first, 1), axis=1), 1)
@@ -176,13 +191,15 @@ def _predict(model: Variogram, k: int, side: int, last: bool):
     def one(t: pa.Table) -> pa.Table:
         kind = t["kind"].to_numpy()
         place = np.stack([t["row"].to_numpy(), t["col"].to_numpy()], axis=1)
+        corner = place.min(axis=0)
+        place = (place - corner).astype(np.int32 if place.max(initial=0) - place.min(initial=0) < 1 << 14 else np.int64)  # squares of distances stay whole
         gaps, known = place[kind == 1], kind == 0
         samples, z = place[known], t["v"].to_numpy(zero_copy_only=False)[known]
         order = np.lexsort((samples[:, 1], samples[:, 0]))
         samples, z = samples[order], z[order].astype(float)
         value, var, sure, used = np.full(len(gaps), np.nan), np.full(len(gaps), np.nan), np.zeros(len(gaps), bool), np.zeros(len(gaps), int)
         if len(samples):
-            fine = (gaps // BUCKET) @ np.array([1 << 31, 1])
+            fine = (gaps // BUCKET).astype(np.int64) @ np.array([1 << 31, 1])
             order = np.argsort(fine, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(fine[order])) + 1):
                 at, far = _nearest(gaps[rows], samples, k)
@@ -190,10 +207,11 @@ def _predict(model: Variogram, k: int, side: int, last: bool):
                 sure[rows] = ok
                 for s in range(0, int(ok.sum()), BATCH):
                     r, n = rows[ok][s : s + BATCH], at[ok][s : s + BATCH]
-                    value[r], var[r] = solve(model, gaps[r].astype(float), samples[n].astype(float), z[n])
+                    value[r], var[r] = solve(model, gaps[r], samples[n], z[n])
                     used[r] = n.shape[1]
         elif last:
             sure[:] = True
+        gaps = gaps.astype(np.int64) + corner
         return pa.table({"row": gaps[:, 0], "col": gaps[:, 1], "sure": sure, "value": numbers(value), "sigma": numbers(np.sqrt(var)), "neighbours": pa.array(used, pa.int32())})
 
     return one
@@ -218,10 +236,10 @@ def krige(px: DataFrame, model: Variogram, neighbours: int = NEIGHBOURS, value:
     extent = 0 if span[0] is None or ends[0] is None else max(max(span[1], ends[1]) - min(span[0], ends[0]), max(span[3], ends[3]) - min(span[2], ends[2]))
     while True:
         last = side > extent
-        here = lambda c, side=side: F.floor(F.col(c) / side)
+        here = lambda c, off=0, wide=side * SPREAD: F.floor((F.col(c) + off) / wide)
         own = gaps.select("row", "col", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), here("row").alias("br"), here("col").alias("bc"))
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        spread = known.select("row", "col", "v", F.lit(0).alias("kind"), around.alias("x")).select("row", "col", "v", "kind", (here("row") + F.col("x.i")).alias("br"), (here("col") + F.col("x.j")).alias("bc"))
+        around = {"br": F.explode(F.sequence(here("row", -side), here("row", side))), "bc": F.explode(F.sequence(here("col", -side), here("col", side)))}
+        spread = known.select("row", "col", "v", F.lit(0).alias("kind")).withColumn("br", around["br"]).withColumn("bc", around["bc"])
         spread = spread.join(own.select("br", "bc").distinct(), ["br", "bc"], "left_semi").select(own.columns)
         done = own.unionByName(spread).groupBy("br", "bc").applyInArrow(_predict(model, neighbours, side, last), "row long, col long, sure boolean, value double, sigma double, neighbours int")
         done = materialize(done, "estimates")
