@@ -11,7 +11,8 @@ fingerprints however the data look.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -413,26 +414,23 @@ def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None,
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _bucketed(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
-    """df written in buckets by node, so that no text moves to be looked up or grouped by it, and what deletes it."""
+@contextmanager
+def _bucketed(df: DataFrame, what: str) -> Iterator[DataFrame]:
+    """df written in buckets by node, a file a bucket, so that no text moves to be looked up or grouped by it; deleted at the end, also where that is an error."""
     spark, name, path = df.sparkSession, f"{what}_{uuid.uuid4().hex}", new_path(df.sparkSession, what)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
-
-    def drop() -> None:
-        spark.sql(f"DROP TABLE {name}")
+    try:
+        df.repartition(buckets, "node").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_path(spark, path)
 
-    return spark.table(name), drop
-
 
 def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' shingles have at least the similarity asked for; stored(node, text) is bucketed by node."""
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     texts = stored.select("node", "text").join(asked.hint("shuffle_hash"), "node", "left_semi")
-    texts, drop = _bucketed(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for x in batches:
@@ -443,9 +441,9 @@ def _verified(pairs: DataFrame, stored: DataFrame, width: int, least: float) ->
                 out.append(similarity(shingles(ta, width), held) >= least)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    links = materialize(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
-    drop()
-    return links
+    with _bucketed(texts.groupBy("node").agg(F.first("text").alias("text")), "texts") as held:
+        joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -463,7 +461,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     made = rows.mapInArrow(hashed_rows, f"doc_id {dict(docs.dtypes)[id_col]}, node long, fp long, fp2 long, sketch binary, text string")
-    hashed, drop = _bucketed(made, "shingled")
+    with _bucketed(made, "shingled") as hashed:
+        return _grouped(hashed, width, least)
+
+
+def _grouped(hashed: DataFrame, width: int, least: float) -> DataFrame:
+    """(doc_id, component_id) for every row of hashed(doc_id, node, fp, fp2, sketch, text)."""
     nodes = hashed.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sketch")))
     nodes = materialize(nodes, "nodes")
     routes = sampled_routes(nodes.count())
@@ -482,9 +485,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         of = materialize(of.drop("component").join(groups, "node", "left").select("node", "fp", "fp2", "least", F.coalesce("component", "node").alias("component")), "grouped")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     out = hashed.select("doc_id", "node").join(of.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-    out = materialize(out, "similar")
-    drop()
-    return out
+    return materialize(out, "similar")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -494,4 +495,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     cls = similar_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
     gone = cls.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    # the same join at any size: ids that are few enough to be broadcast today are not tomorrow
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
