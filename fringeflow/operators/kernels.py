@@ -76,24 +76,35 @@ def solvable(mask: np.ndarray, pairs, n_epochs: int, unknowns: int) -> np.ndarra
     return (label == 0).all(axis=0) & (mask.sum(axis=1) >= unknowns)
 
 
-#: Pairs that span more epochs than this are solved by full normal equations.
-WIDEST = 16
+#: Pairs that span more epochs than this stand apart from the band, as updates of its inverse; with more of them than MOST_WIDE, or where the others do not connect all epochs, the normal equations are full.
+WIDEST, MOST_WIDE = 16, 24
+
+
+def wide_pairs(pairs) -> list[int]:
+    return [k for k, p in enumerate(pairs) if p.sec - p.ref > WIDEST]
 
 
 def banded_steps(b: np.ndarray, mask: np.ndarray, pairs, n_epochs: int) -> np.ndarray:
-    """Increments by least squares over the pairs of each row that mask has (they connect all epochs).
+    """Increments by least squares over the pairs of each row that mask has (those of up to WIDEST epochs connect all epochs).
 
     As unknowns stand the epochs themselves, the first one 0: then the normal equations have as many
-    diagonals as the widest pair spans, and one factorisation runs over the epochs for all rows at once.
+    diagonals as the widest pair spans, and one factorisation runs over the epochs for all rows at
+    once. Wide pairs are left out of the band; each adds a right side of its own, and a small system
+    of the wide pairs a row has (Woodbury's identity) puts them back.
     """
-    width, rows = max(p.sec - p.ref for p in pairs), len(b)
-    band, right = np.zeros((width + 1, n_epochs + width, rows)), np.zeros((n_epochs + width, rows))
-    for p, w, x in zip(pairs, np.ascontiguousarray(mask.T), np.ascontiguousarray(np.where(mask, b, 0.0).T), strict=True):
+    wide = wide_pairs(pairs)
+    width, rows = max((p.sec - p.ref for k, p in enumerate(pairs) if k not in wide), default=1), len(b)
+    band, right = np.zeros((width + 1, n_epochs + width, rows)), np.zeros((n_epochs + width, 1 + len(wide), rows))
+    for k, (p, w, x) in enumerate(zip(pairs, np.ascontiguousarray(mask.T), np.ascontiguousarray(np.where(mask, b, 0.0).T), strict=True)):
+        right[p.sec, 0] += x
+        right[p.ref, 0] -= x
+        if k in wide:
+            right[p.sec, 1 + wide.index(k)] = 1.0
+            right[p.ref, 1 + wide.index(k)] = -1.0
+            continue
         band[0, p.ref] += w
         band[0, p.sec] += w
         band[p.sec - p.ref, p.ref] -= w
-        right[p.sec] += x
-        right[p.ref] -= x
     band[0, n_epochs:] = 1.0
     for e in range(1, n_epochs):
         share = band[1:, e] / band[0, e]
@@ -101,13 +112,20 @@ def banded_steps(b: np.ndarray, mask: np.ndarray, pairs, n_epochs: int) -> np.nd
             for f in range(d, width + 1):
                 band[f - d, e + d] -= share[d - 1] * band[f, e]
             right[e + d] -= share[d - 1] * right[e]
-    out = np.zeros((n_epochs + width, rows))
+    out = np.zeros((n_epochs + width, 1 + len(wide), rows))
     for e in range(n_epochs - 1, 0, -1):
         x = right[e].copy()
         for d in range(1, width + 1):
             x -= band[d, e] * out[e + d]
         out[e] = x / band[0, e]
-    return np.diff(out[:n_epochs], axis=0).T
+    x = out[:n_epochs, 0]
+    if wide:
+        across = np.stack([out[pairs[k].sec] - out[pairs[k].ref] for k in wide], axis=1)  # (1 + wide, wide, rows)
+        have = mask[:, wide].astype(float)
+        small = np.eye(len(wide)) + have[:, :, None] * across[1:].transpose(2, 1, 0)
+        y = np.linalg.solve(small, (have * across[0].T)[..., None])[..., 0]
+        x = x - np.einsum("ewr,rw->er", out[:n_epochs, 1:], y)
+    return np.diff(x, axis=0).T
 
 
 def ols(b: np.ndarray, design: np.ndarray, pairs, n_epochs: int, pinv: np.ndarray) -> np.ndarray:
@@ -128,11 +146,19 @@ def ols(b: np.ndarray, design: np.ndarray, pairs, n_epochs: int, pinv: np.ndarra
         if p is not None:
             out[rows] = b[np.ix_(rows, np.flatnonzero(m))] @ p.T
     rare = rest[(good & (count < RARE))[of]]
-    if len(rare) and design.shape[1] == n_epochs - 1 and max(p.sec - p.ref for p in pairs) <= WIDEST:
-        for s in range(0, len(rare), 4096):
-            part = rare[s : s + 4096]
+    wide = wide_pairs(pairs)
+    if len(rare) and design.shape[1] == n_epochs - 1 and len(wide) <= MOST_WIDE:
+        held = np.ones(len(rare), bool)
+        if wide:
+            near = np.ones(len(pairs), bool)
+            near[wide] = False
+            kinds, of = patterns(mask[rare] & near)
+            held = solvable(kinds, pairs, n_epochs, 0)[of]
+        for s in range(0, int(held.sum()), 4096):
+            part = rare[held][s : s + 4096]
             out[part] = banded_steps(b[part], mask[part], pairs, n_epochs)
-    elif len(rare):
+        rare = rare[~held]
+    if len(rare):
         out[rare] = weighted(b[rare], np.where(mask[rare], 1.0, 0.0), design)
     return out
 
@@ -316,11 +342,40 @@ def unwrap_islands(wrapped: np.ndarray, quality: np.ndarray | None = None, least
     return out, island.reshape(wrapped.shape)
 
 
+def least_norm(loops: np.ndarray, active: np.ndarray, right: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Least-squares solutions of least norm of loops[active[i]] x = right[i][active[i]], for all rows i at once, each with loops of its own.
+
+    Conjugate gradients on the normal equations from 0 stay in the loops' row space, so they end at the
+    least norm whatever the rank; a step is two products of whole matrices. Rows that have converged rest.
+    """
+    out = np.zeros((len(right), loops.shape[1]))
+    at = np.arange(len(right))
+    m = active.astype(float)
+    r = right * m
+    s = r @ loops
+    p, gamma = s.copy(), (s * s).sum(axis=1)
+    first = gamma.copy()
+    for _ in range(rounds):
+        go = gamma > 1e-26 * np.maximum(first, 1e-300)
+        if not go.all():
+            at, m, r, s, p, gamma, first = at[go], m[go], r[go], s[go], p[go], gamma[go], first[go]
+        if not len(at):
+            break
+        q = (p @ loops.T) * m
+        alpha = gamma / (q * q).sum(axis=1)
+        out[at] += alpha[:, None] * p
+        r -= alpha[:, None] * q
+        s = r @ loops
+        gamma, before = (s * s).sum(axis=1), gamma
+        p = s + (gamma / before)[:, None] * p
+    return out
+
+
 def correct_closure(phase: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whole-cycle errors that the closure of triangles betrays: corrected phases, and rows corrected / found but left.
 
-    Loops with a missing pair are left out. Corrections are the rounded least-norm solution, applied
-    only where they leave less misclosure.
+    Loops with a missing pair are left out. Corrections are the rounded least-norm solution (halves, to a millionth, away from zero), applied
+    only where they leave less misclosure. Frequent patterns of missing pairs share an inverse, rare ones are solved together.
     """
     done, left = np.zeros(len(phase), bool), np.zeros(len(phase), bool)
     if not len(loops):
@@ -332,12 +387,17 @@ def correct_closure(phase: np.ndarray, loops: np.ndarray) -> tuple[np.ndarray, n
     if not len(todo):
         return out, done, left
     kinds, of = patterns(active[todo])
-    for k, m in enumerate(kinds):
-        rows = todo[of == k]
-        c = loops[m]
-        n = misclosed[rows][:, m]
-        cycles = round_away(n @ np.linalg.pinv(c).T)
-        better = np.abs(n - cycles @ c.T).sum(axis=1) < np.abs(n).sum(axis=1)
-        out[rows[better]] -= 2 * np.pi * cycles[better]
-        done[rows[better]], left[rows[~better]] = True, True
+    count = np.bincount(of)
+    cycles = np.zeros((len(todo), phase.shape[1]))
+    for k in np.flatnonzero(count >= RARE):
+        m = kinds[k]
+        cycles[of == k] = misclosed[todo[of == k]][:, m] @ np.linalg.pinv(loops[m]).T
+    rare = np.flatnonzero((count < RARE)[of])
+    cycles[rare] = least_norm(loops, active[todo[rare]], misclosed[todo[rare]])
+    cycles = round_away(np.where(np.abs(np.abs(cycles - np.trunc(cycles)) - 0.5) < 1e-6, np.trunc(cycles) + 0.5 * np.sign(cycles), cycles))
+    was = misclosed[todo]
+    now = np.where(active[todo], was - cycles @ loops.T, 0.0)
+    better = np.abs(now).sum(axis=1) < np.abs(was).sum(axis=1)
+    out[todo[better]] -= 2 * np.pi * cycles[better]
+    done[todo[better]], left[todo[~better]] = True, True
     return out, done, left
