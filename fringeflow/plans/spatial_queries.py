@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.operators import kriging
+from fringeflow.operators import kriging, troposphere
 from fringeflow.plans import fixtures as X
 from fringeflow.plans.queries import query, r, rs
 
@@ -84,3 +84,39 @@ def regression_kriged(spark: SparkSession, sf_dir: str) -> DataFrame:
     terrain = kriging.slope(heights, X.shape(heights))
     px = _sampled(spark, sf_dir).join(terrain, ["row", "col"])
     return kriging.regression_fill(px.withColumn("slope", F.coalesce("slope", F.lit(0.0))), ["height_m", "slope"], _FAR, trees=20)[0]
+
+
+# --- weather grids ---
+
+
+@query(f"""WITH {X.series_sql()}, f AS (SELECT "row", col, sum(cents)::BIGINT AS c FROM s GROUP BY 1, 2), x AS (SELECT max("row") AS mr, max(col) AS mc FROM f),
+n AS (SELECT i, j, e, 280 + (abs(coalesce(c, 0)) + e) % 17 AS t, (5 + abs(coalesce(c, 0)) % 7) / 1000.0 AS q FROM x, LATERAL (SELECT unnest(range(0, mr // 4 + 2)) AS i), LATERAL (SELECT unnest(range(0, mc // 4 + 2)) AS j), (SELECT unnest(range(0, 2)) AS e) LEFT JOIN f ON f."row" = 4 * i AND f.col = 4 * j),
+p AS (SELECT "row", col, "row" // 4 AS i, col // 4 AS j, ("row" % 4) / 4.0 AS u, (col % 4) / 4.0 AS v FROM f)
+SELECT p."row", p.col, a.e::INT AS epoch_idx, k::INT AS level, {rs('(1 - u) * (1 - v) * (a.t - 6 * k) + (1 - u) * v * (b.t - 6 * k) + u * (1 - v) * (c.t - 6 * k) + u * v * (d.t - 6 * k)', 'temperature_k', 5)},
+  {rs('((1 - u) * (1 - v) * a.q + (1 - u) * v * b.q + u * (1 - v) * c.q + u * v * d.q) * exp(-k / 2.0)', 'humidity', 9)}
+FROM p JOIN n a ON a.i = p.i AND a.j = p.j JOIN n b ON b.i = p.i AND b.j = p.j + 1 AND b.e = a.e JOIN n c ON c.i = p.i + 1 AND c.j = p.j AND c.e = a.e JOIN n d ON d.i = p.i + 1 AND d.j = p.j + 1 AND d.e = a.e, (SELECT unnest(range(0, 5)) AS k)""")
+def weather_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coarse grid of profiles, from every fourth pixel of the table, at every pixel: four corners, bilinear level by level."""
+    nodes, px, origin, spacing = _weather(spark, sf_dir)
+    got = troposphere.profiles_at(nodes, px, origin, spacing).select("row", "col", "epoch_idx", F.posexplode("levels").alias("level", "x"))
+    return got.select("row", "col", "epoch_idx", "level", r(F.col("x.temperature_k"), 5).alias("temperature_k"), r(F.col("x.specific_humidity"), 9).alias("humidity"))
+
+
+@query()
+def weather_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delays along the line of sight of every pixel and epoch from the same grid."""
+    nodes, px, origin, spacing = _weather(spark, sf_dir)
+    return troposphere.delays_at(nodes, px, origin, spacing, 39.0)
+
+
+def _weather(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[float, float], tuple[float, float]]:
+    t = X.long_series(spark, sf_dir).groupBy("row", "col").agg(F.sum("cents").alias("c"))
+    rows, cols = X.shape(t)
+    n, m = (rows - 1) // 4 + 2, (cols - 1) // 4 + 2
+    at = spark.range(n * m).select((F.col("id") / m).cast("int").alias("i"), (F.col("id") % m).cast("int").alias("j"))
+    at = at.join(t.select((F.col("row") / 4).alias("i"), (F.col("col") / 4).alias("j"), "c"), ["i", "j"], "left").select("i", "j", F.abs(F.coalesce("c", F.lit(0))).alias("c"))
+    at = at.withColumn("epoch_idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    level = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct((k * 1000.0).alias("height_m"), (1000.0 * F.exp(-k / 8.0)).alias("pressure_hpa"), (280.0 + (F.col("c") + F.col("epoch_idx")) % 17 - 6 * k).cast("double").alias("temperature_k"), ((5 + F.col("c") % 7) / 1000.0 * F.exp(-k / 2.0)).alias("specific_humidity")))
+    nodes = at.select("epoch_idx", (-30.0 - F.col("i") * 0.25).alias("lat"), (-70.0 + F.col("j") * 0.25).alias("lon"), level.alias("levels"))
+    px = t.select("row", "col", (-30.0 - F.col("row") * 0.0625).alias("lat"), (-70.0 + F.col("col") * 0.0625).alias("lon"), (F.abs("c") % 3000).cast("double").alias("height_m"))
+    return nodes, px, (-30.0, -70.0), (-0.25, 0.25)
