@@ -24,6 +24,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: Labelled rows that a rule has to fit at least, however few there are.
 LEAST_ROWS = 5
+#: How far a mined rule's share of its label must be from that of all labelled rows: chi-squared of one degree of freedom, exceeded by chance once in a thousand.
+LEAST_CHI2 = 10.83
 #: Verdict of a URL that no rule matches.
 DEFAULT = "allow"
 LABEL = "label="
@@ -123,10 +125,11 @@ def pruned(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple
     return kept
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS, least_chi2: float = 0.0) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
     """Rules from labelled(__tokens, label), and for each frequent token the one that stands for it in the rules.
 
-    A rule fits min_support of the rows and least_rows rows at least. Rows with a null label or without tokens
+    A rule fits min_support of the rows and least_rows rows at least, and says more than the labels' own shares do: its label is commoner
+    among its rows than among all, by chi-squared least_chi2 at least (0: any rule of enough confidence). Rows with a null label or without tokens
     teach nothing; no rows, no rules. How many rules there can be depends on the support asked for and the
     tokens of a URL, not on the number of URLs.
     """
@@ -155,7 +158,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = items.select("__tokens", "label").mapInArrow(thin, "items array<string>")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL))
-    return pruned(bare + [(tuple(sorted(r["antecedent"])), r["consequent"][0][len(LABEL) :], r["confidence"], r["support"]) for r in found.collect()]), same
+    rules = bare + [(tuple(sorted(r["antecedent"])), r["consequent"][0][len(LABEL) :], r["confidence"], r["support"]) for r in found.collect()]
+    if least_chi2 > 0:
+        rules = [r for r in rules if r[2] > shares[r[1]] / rows and chi_squared(round(r[3] * rows), round(r[3] * rows / r[2]), shares[r[1]], rows) >= least_chi2]
+    return pruned(rules), same
+
+
+def chi_squared(both: int, fits: int, label: int, rows: int) -> float:
+    """Of the table of rows that a rule fits or not and that have the label or not."""
+    margins = fits * (rows - fits) * label * (rows - label)
+    return rows * (both * rows - fits * label) ** 2 / margins if margins else 0.0
 
 
 class Index:
@@ -171,23 +183,28 @@ class Index:
             self.under[min(r[0], key=lambda t: (often[t], t))].append((frozenset(r[0]), r[1], r[2], r[3]))
 
     def best(self, toks: list[str]) -> str | None:
-        """Label of the matching rule of the most confidence, then support, then tokens; ties by label."""
+        """Label of the rule that match() finds."""
+        got = self.match(toks)
+        return got and got[0]
+
+    def match(self, toks: list[str]) -> tuple[str, frozenset[str]] | None:
+        """Label and tokens of the matching rule of the most confidence, then support, then tokens; ties by label."""
         have, top = set(toks), None
         for t in toks:
             for items, label, confidence, support in self.under.get(t, ()):
                 if items <= have:
-                    rank = (confidence, support, len(items), label)
-                    if top is None or rank > top:
-                        top = rank
-        return top and top[3]
+                    rank = (confidence, support, len(items), label, sorted(items))
+                    if top is None or rank > top[0]:
+                        top = rank, items
+        return top and (top[0][3], top[1])
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = None, **kw) -> DataFrame:
-    """(page_id, host, path, rule, verdict) for every row of pages.
+    """(page_id, host, path, rule, verdict, mined) for every row of pages; mined is the tokens of the mined rule that gave the verdict, else null.
 
     Association rules are mined from labelled(url, label) or, if that is not given, from the pages
-    that the stated rules decide, each without the tokens that its rule speaks of: what is mined says
-    what else goes with a verdict, and does not restate the rules. A null url, or one without ://, has an empty host and path, fits no
+    that the stated rules decide, all of them without the tokens that any stated rule speaks of: what is mined says
+    what else goes with a verdict, and neither restates the rules nor turns them round. A null url, or one without ://, has an empty host and path, fits no
     rule and gets DEFAULT; repeated rows keep a row each; other columns are ignored.
     """
     urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
@@ -196,20 +213,27 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
     seen = materialize(with_tokens(seen.withColumn("rule", name).withColumn("stated", verdict)), "urls")
     if labelled is None:
         told = {h + p: told_by(h + p) for _, h, p in rules}
-        taught = F.col("__tokens")
-        for rule, (whole, cut) in told.items():
-            rest = F.array_except("__tokens", F.array(*map(F.lit, sorted(whole))))
-            rest = F.filter(rest, lambda t, cut=cut: ~t.startswith(cut)) if cut else rest
-            taught = F.when(F.col("rule") == rule, rest).otherwise(taught)
+        every = F.array_except("__tokens", F.array(*map(F.lit, sorted(set().union(*(whole for whole, _ in told.values()))))))
+        for rule, (_, cut) in told.items():
+            if cut:  # a step that the rule says the beginning of
+                every = F.filter(every, lambda t, begins=cut + rule.rpartition("/")[2]: ~t.startswith(begins))
+        taught = every
+        for rule, (_, cut) in told.items():
+            if cut:
+                taught = F.when(F.col("rule") == rule, F.filter(every, lambda t, cut=cut: ~t.startswith(cut))).otherwise(taught)
         taught = seen.where(F.col("stated").isNotNull()).select(taught.alias("__tokens"), F.col("stated").alias("label"))
     else:
         taught = with_tokens(labelled.select("url", "label"))
-    mined, same = mine(taught, **kw)
+    mined, same = mine(taught, **({"least_chi2": LEAST_CHI2} | kw))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(mined)
         for b in batches:
-            out = [v or index.best(sorted({same[x] for x in t or () if x in same})) or DEFAULT for v, t in zip(b.column("stated").to_pylist(), b.column("__tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(out, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    return seen.mapInArrow(match, f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string")
+            verdicts, why = [], []
+            for v, t in zip(b.column("stated").to_pylist(), b.column("__tokens").to_pylist(), strict=True):
+                got = None if v else index.match(sorted({same[x] for x in t or () if x in same}))
+                verdicts.append(v or (got[0] if got else DEFAULT))
+                why.append(" ".join(sorted(got[1])) if got else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(why, pa.string())], ["page_id", "host", "path", "rule", "verdict", "mined"])
+
+    return seen.mapInArrow(match, f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string, mined string")

@@ -58,3 +58,31 @@ def test_stated_rules_are_not_mined_again(spark):
     assert got[1] == ("com/de/", "block") and got[2] == ("com/fr/", "allow")
     # what went with the verdicts is learned, the rules' own tokens are not
     assert got[100] == (None, "allow") and got[101] == (None, "block") and got[102] == (None, "allow")
+
+
+def test_masking_does_not_turn_a_stated_rule_round(spark):
+    """`de` goes with block on .com; a few .org pages under /de/ are allowed, which must not teach that `de` is allowed."""
+    rows = [(i, f"http://w{i}.com/de/{i}") for i in range(40)] + [(100 + i, f"http://v{i}.org/de/{i}") for i in range(30)] + [(200 + i, f"http://u{i}.com/fr/{i}") for i in range(60)]
+    rows += [(1000, "http://x.net/de/1"), (1001, "http://x.net/fr/1")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1000]["mined"] is None or "path0=de" not in got[1000]["mined"]
+    assert not any(r["mined"] and ("path0=" in r["mined"] or "host0=" in r["mined"]) for r in got.values())
+
+
+def test_mined_rules_decide_planted_pages(spark):
+    """Shops under a session name are blocked, wikis allowed; pages that no stated rule decides follow, and say by which tokens."""
+    rows = []
+    for i in range(300):
+        bad = i % 3 == 0
+        rows.append((i, f"http://{'shop' if bad else 'wiki'}{i % 9}.com/{'de' if bad else 'fr'}/{'buy' if bad else 'page'}/{i}{'?session=' + str(i) if bad else ''}"))
+    rows += [(1000 + i, f"http://s{i}.net/x/buy/{i}?session={i}") for i in range(20)] + [(2000 + i, f"http://s{i}.net/x/page/{i}") for i in range(20)] + [(3000 + i, f"http://s{i}.net/other{i}") for i in range(20)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[1000 + i]["verdict"] == "block" and got[1000 + i]["mined"] for i in range(20))
+    assert all(got[2000 + i]["verdict"] == "allow" for i in range(20))
+    assert all(got[3000 + i]["verdict"] == urls.DEFAULT and got[3000 + i]["mined"] is None for i in range(20))
+    assert all(got[i]["mined"] is None and got[i]["rule"] for i in range(300))
+
+
+def test_chi_squared():
+    assert urls.chi_squared(5, 5, 9, 39) == pytest.approx(39 * (5 * 30) ** 2 / (5 * 34 * 9 * 30))
+    assert urls.chi_squared(5, 5, 5, 5) == 0
