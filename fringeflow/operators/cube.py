@@ -115,16 +115,21 @@ def to_long(px: DataFrame, index: str, value: str, column: str) -> DataFrame:
     return px.select("row", "col", F.posexplode(column).alias(index, value))
 
 
-def matrix(column: pa.Array, n: int) -> np.ndarray:
-    """Arrow lists of n numbers as a matrix; NULL and anything not finite as NaN."""
+def as_stored(column: pa.Array, n: int) -> np.ndarray:
+    """Arrow lists of n numbers as a matrix, NULL as NaN and all else as it is; without a copy where nothing is NULL."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = pa.array([x if x is not None else [None] * n for x in column.to_pylist()], pa.list_(pa.float64()))
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     if len(x) != len(column) * n:
         raise DimensionMismatch(f"arrays must have {n} layers")
-    x = x.reshape(-1, n)
+    return x.reshape(-1, n)
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Arrow lists of n numbers as a matrix; NULL and anything not finite as NaN."""
+    x = as_stored(column, n)
     return np.where(np.isfinite(x), x, np.nan)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fringeflow.errors import DimensionMismatch, InvalidNetwork, InversionError, MetadataError
 from fringeflow.operators import kernels
-from fringeflow.operators.cube import Series, Stack, check_epochs, check_meta, check_pairs, lists, map_pixels, matrix, numbers, years
+from fringeflow.operators.cube import Series, Stack, as_stored, check_epochs, check_meta, check_pairs, lists, map_pixels, matrix, numbers, years
 from fringeflow.operators.network import design_matrix, is_connected
 
 
@@ -92,7 +92,13 @@ def _slope_weights(epochs: tuple[date, ...]) -> np.ndarray:
 def velocity(series: Series) -> DataFrame:
     """row, col, velocity (metres a year): the slope over all epochs; NULL if any epoch is missing."""
     w, n = _slope_weights(series.epochs), len(series.epochs)
-    return map_pixels(series.px, ["disp"], lambda d: [numbers(matrix(d, n) @ w)], {"velocity": "double"}, ["row", "col"])
+
+    def kernel(disp):
+        with np.errstate(invalid="ignore"):
+            v = as_stored(disp, n) @ w  # a number that is not finite leaves none
+        return [numbers(np.where(np.isfinite(v), v, np.nan))]
+
+    return map_pixels(series.px, ["disp"], kernel, {"velocity": "double"}, ["row", "col"])
 
 
 def velocity_long(series: DataFrame, n_epochs: int) -> DataFrame:

@@ -246,3 +246,17 @@ def test_bad_vrt():
     for text in ("<x", VRT.format(order="LSB", first=3), VRT.format(order="PDP", first=1)):
         with pytest.raises(MetadataError):
             isce.parse_vrt(text)
+
+
+def test_dispersion_of_arrays_as_of_long_rows(spark):
+    from pyspark.sql import functions as F
+
+    from fringeflow.operators.ps import amplitude_dispersion, dispersion_of_arrays
+
+    rng = np.random.default_rng(4)
+    rows = [(r, 0, rng.random(6).tolist()) for r in range(20)] + [(20, 0, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (21, 0, [1.0, float("nan")] * 3), (22, 0, [1.0, float("inf")] * 3), (23, 0, [0.0] * 6), (24, 0, None), (25, 0, [-1.0, 1.0] * 3)]
+    px = spark.createDataFrame(rows, "row int, col int, amplitude array<double>")
+    long = px.select("row", "col", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(5)).alias("e"), "amplitude")).alias("x")).select("row", "col", F.col("x.e").alias("epoch_idx"), "x.amplitude")
+    want = {r["row"]: r["amp_dispersion"] for r in amplitude_dispersion(long, 6).collect()}
+    got = {r["row"]: r["amp_dispersion"] for r in dispersion_of_arrays(px, 6).collect()}
+    assert set(got) == set(range(26)) and all(got[k] is None if want.get(k) is None else got[k] == pytest.approx(want[k]) for k in got)
