@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from datetime import timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from fringeflow.functions import phase as P
 from fringeflow.operators import features as FE
 from fringeflow.operators import filters, inversion, network, troposphere, unwrapping
-from fringeflow.operators.cube import Pair, Series, Stack, to_long
+from fringeflow.operators.cube import Pair, Series, Stack, every, to_long
 from fringeflow.plans import fixtures as X
 from fringeflow.plans.queries import _PX, _XY, _pixels, query, r, rs
 
@@ -283,3 +284,45 @@ def unwrapped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("f") + 0.01 * F.col("pair_idx")
     got = unwrapping.unwrap_stack(layers.select("row", "col", "pair_idx", "quality", P.wrapped_phase(F.cos(f), F.sin(f)).alias("wrapped")), (rows, cols), "quality", 0.3, tile=8)
     return got.select("row", "col", "pair_idx", r(F.col("phase")).alias("phase"))
+
+
+# --- series of a known model: its terms come back ---
+
+_TERMS = {"a": "(c % 100) * 1e-4", "b": "(c % 37 - 18) * 1e-3", "q": "(c % 23 - 11) * 1e-3", "s": "(c % 19 + 1) * 1e-3", "w": "(c % 29 - 14) * 1e-3", "j": "(c % 13) * 1e-3"}
+_MONTHS, _STEP = 40, 20
+
+
+def _modelled(spark: SparkSession, sf_dir: str, gaps: bool, jump: bool) -> Series:
+    """Forty epochs of a quadratic, a yearly wave and a jump, whose sizes the table's cents give for each pixel."""
+    px = X.long_series(spark, sf_dir).groupBy("row", "col").agg(F.abs(F.sum("cents")).alias("c")).select("row", "col", *(F.expr(f"cast({v} as double)").alias(k) for k, v in _TERMS.items()))
+
+    def at(e):
+        t = e * 30 / F.lit(365.25)
+        d = F.col("a") + F.col("b") * t + F.col("q") * t * t + F.col("s") * F.sin(2 * math.pi * t) + F.col("w") * F.cos(2 * math.pi * t)
+        d = d + F.when(e >= _STEP, F.col("j")).otherwise(0.0) if jump else d
+        return F.when((F.col("row") * 7 + F.col("col") * 3 + e) % 11 != 0, d) if gaps else d
+
+    return Series(px.select("row", "col", F.transform(F.sequence(F.lit(0), F.lit(_MONTHS - 1)), at).alias("disp")), every(X.FIRST, 30, _MONTHS), (1 << 30, 1 << 30))
+
+
+_MODELLED = f"""{X.series_sql()}, t AS (SELECT "row", col, abs(sum(cents))::BIGINT AS c FROM s GROUP BY 1, 2), m AS (SELECT "row", col, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _TERMS.items())} FROM t)"""
+
+
+@query(f"""WITH {_MODELLED}, x AS (SELECT m.*, e, a + b * (e * 30 / 365.25) + q * (e * 30 / 365.25) ** 2 + s * sin(2 * pi() * e * 30 / 365.25) + w * cos(2 * pi() * e * 30 / 365.25) AS d FROM m, (SELECT unnest(range(0, {_MONTHS})) AS e) WHERE ("row" * 7 + col * 3 + e) % 11 <> 0),
+y AS (SELECT *, abs(d - lag(d) OVER (PARTITION BY "row", col ORDER BY e)) AS step FROM x)
+SELECT "row", col, {rs('any_value(b)', 'velocity')}, 0.0::DOUBLE AS velocity_std, {rs('2 * any_value(q)', 'acceleration')}, 1.0::DOUBLE AS linearity_r2, 0.0::DOUBLE AS residual_rms, {rs('max_by(d, e) - min_by(d, e)', 'cumulative')},
+  {rs('any_value(sqrt(s * s + w * w))', 'seasonal_amplitude')}, {rs('any_value(atan2(w, s))', 'seasonal_phase')}, {rs('max(step)', 'max_step')} FROM y GROUP BY 1, 2""")
+def features_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceleration, yearly wave and all other features of series with gaps that a quadratic and a wave make up exactly."""
+    got = FE.extract(_modelled(spark, sf_dir, True, False))
+    return got.select("row", "col", *(r(F.col(c)).alias(c) for c in FE.names(FE.FeatureConfig())))
+
+
+@query(f"""WITH {_MODELLED}, n AS (SELECT "row", col, unnest(['offset', 'velocity', 'poly_2', 'cos_1yr', 'sin_1yr', 'step']) AS term, unnest([a, b, q, w, s, j]) AS v FROM m) SELECT "row", col, term, {rs('v', 'coefficient')} FROM n""")
+def temporal_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quadratic, a yearly wave and a step, fitted to series that they make up exactly."""
+    series = _modelled(spark, sf_dir, False, True)
+    got, names = inversion.fit_temporal_model(series, 2, (1.0,), (series.epochs[_STEP],))
+    short = F.create_map(*[x for n in names for x in (F.lit(n), F.lit("step" if n.startswith("step") else n if n in ("offset", "velocity", "cos_1yr", "sin_1yr") else "poly_2"))])
+    terms = got.select("row", "col", F.posexplode("coefficients").alias("k", "v"))
+    return terms.select("row", "col", short[F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)].alias("term"), r(F.col("v")).alias("coefficient"))
