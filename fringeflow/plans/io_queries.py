@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from datetime import timedelta
 
 import numpy as np
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from fringeflow.errors import MetadataError
 from fringeflow.operators import features as FE
-from fringeflow.operators import inversion
-from fringeflow.operators.cube import Meta, Pair, Series, Stack, to_long
+from fringeflow.functions.phase import WAVELENGTH_M
+from fringeflow.operators import inversion, unwrapping
+from fringeflow.operators.cube import Meta, Pair, Series, Stack, to_long, years
 from fringeflow.plans import fixtures as X
+from fringeflow.plans import pipeline
 from fringeflow.plans.queries import _DIGITS, _FEAT, _LINEAR, _NAMES, query, r, rs
 from fringeflow.sources import geotiff, isce, manifest
 from fringeflow.sources.files import write_bytes, writer
@@ -229,3 +232,43 @@ def raw_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     if stack.meta.los_vector != (-0.6, -0.1, 0.8) or stack.pairs != _PAIRS:
         raise MetadataError("the cube's metadata were not read back")
     return stack.px.select("row", "col", "height_m", F.posexplode(F.arrays_zip("phase", "coh")).alias("pair_idx", "x")).select("row", "col", "pair_idx", "x.phase", "x.coh", "height_m")
+
+
+# --- a whole run ---
+
+_RUN = f"""{X.series_sql()}, t AS (SELECT "row", col, abs(sum(cents))::BIGINT AS c FROM s GROUP BY 1, 2), v AS (SELECT "row", col, (c % 100 - 50) * 0.0001::DOUBLE AS v, (20 + ("row" * 7 + col * 13 + c) % 80) / 100.0 AS coh FROM t),
+best AS (SELECT v AS v0 FROM v ORDER BY coh DESC, "row", col LIMIT 1)"""
+
+
+@query(f"""WITH {_RUN} SELECT 'velocity' AS what, -1 AS epoch_idx, "row", col, {rs('v - v0', 'value')} FROM v, best UNION ALL SELECT 'temporal coherence', -1, "row", col, 1.0 FROM v
+UNION ALL SELECT 'series', e::INT, "row", col, {rs(f'(v - v0) * e * {X.DAYS} / 365.25', 'value')} FROM v, best, (SELECT unnest(range(0, {X.EPOCHS})) AS e) UNION ALL SELECT 'closures', -1, "row", col, 0.0 FROM v""")
+def sbas_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stack of GeoTIFF files to products as files, read back: unwrapping, closure, reference at the most coherent pixel, inversion, velocity; the motion is the table's."""
+    c = X.long_series(spark, sf_dir).groupBy("row", "col").agg(F.abs(F.sum("cents")).alias("c"))
+    shape = X.shape(c)
+    px = c.select("row", "col", ((F.col("c") % 100 - 50) * 0.0001).alias("v"), ((20 + (F.col("row") * 7 + F.col("col") * 13 + F.col("c")) % 80) / 100.0).alias("coh"))
+    t, rows = years(X.EPOCH_DATES), []
+    for k, p in enumerate(X.ALL_PAIRS):
+        f = F.col("v") * float(t[p.sec] - t[p.ref]) * (-4 * math.pi / WAVELENGTH_M)
+        rows += [F.struct(F.lit(f"{n}").alias("name"), x.cast("double").alias("x")) for n, x in ((f"ifg_{k}_re", F.cos(f)), (f"ifg_{k}_im", F.sin(f)), (f"coh_{k}", F.col("coh")))]
+    folder = new_path(spark, "run")
+    geotiff.write_layers(px.select("row", "col", F.explode(F.array(*rows)).alias("l")).select("row", "col", "l.*"), "name", "x", shape, _META, folder)
+    manifest.write_stack_json(spark, folder, Stack(px, X.EPOCH_DATES, X.ALL_PAIRS, shape, _META), coherence=[f"coh_{k}.tif" for k in range(len(X.ALL_PAIRS))])
+    pipeline.write(pipeline.run_sbas(spark, folder, pipeline.SbasConfig(aps_window=1)), f"{folder}/out")
+    out = None
+    for what, name in (("velocity", "velocity"), ("temporal coherence", "temporal_coherence"), ("closures", "closure_qc")):
+        back = manifest.read_map(spark, f"{folder}/out/{name}.tif", Meta(), "value")[0].select(F.lit(what).alias("what"), F.lit(-1).alias("epoch_idx"), "row", "col", r(F.col("value")).alias("value"))
+        out = back if out is None else out.unionAll(back)
+    series = to_long(manifest.read_series(spark, f"{folder}/out/series", Meta()).px, "epoch_idx", "value", "disp")
+    return out.unionAll(series.select(F.lit("series"), "epoch_idx", "row", "col", r(F.col("value")))).where("value is not null")
+
+
+@query(f"""WITH {_RUN} SELECT "row", col, {rs('coalesce(v * 100, 0)', 'filled')}, CASE WHEN coh < 0.4 THEN 0.0 ELSE {rs('coh', 'x').removesuffix(' AS x')} END AS filled_coherence, CASE WHEN coh >= 0.4 THEN {rs('v * 200', 'x').removesuffix(' AS x')} END AS phase FROM (SELECT "row", col, CASE WHEN coh >= 0.4 THEN v END AS v, coh FROM v)""")
+def zero_filled_and_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an outside unwrapper is given: no data as phase and coherence 0; and its answer (here twice the phase) with the gaps put back."""
+    c = X.long_series(spark, sf_dir).groupBy("row", "col").agg(F.abs(F.sum("cents")).alias("c"))
+    coh = (20 + (F.col("row") * 7 + F.col("col") * 13 + F.col("c")) % 80) / 100.0
+    layers = c.select("row", "col", coh.alias("coh"), F.when(coh >= 0.4, (F.col("c") % 100 - 50) * 0.01).otherwise(float("nan")).alias("wrapped"))
+    given = unwrapping.zero_filled(layers)
+    back = unwrapping.restored(given.withColumn("phase", F.col("wrapped") * 2))
+    return back.select("row", "col", r(F.col("wrapped")).alias("filled"), r(F.col("coh")).alias("filled_coherence"), r(F.col("phase")).alias("phase"))
