@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.operators import kriging, troposphere
+from fringeflow.operators import kriging, troposphere, validation
 from fringeflow.plans import fixtures as X
 from fringeflow.plans.queries import query, r, rs
 
@@ -120,3 +120,33 @@ def _weather(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tu
     nodes = at.select("epoch_idx", (-30.0 - F.col("i") * 0.25).alias("lat"), (-70.0 + F.col("j") * 0.25).alias("lon"), level.alias("levels"))
     px = t.select("row", "col", (-30.0 - F.col("row") * 0.0625).alias("lat"), (-70.0 + F.col("col") * 0.0625).alias("lon"), (F.abs("c") % 3000).cast("double").alias("height_m"))
     return nodes, px, (-30.0, -70.0), (-0.25, 0.25)
+
+
+# --- prediction sets ---
+
+_MISS = 0.2
+
+
+@query(f"""WITH {X.series_sql()}, t AS (SELECT "row", col, abs(sum(cents))::BIGINT AS c FROM s GROUP BY 1, 2), p AS (SELECT "row", col, c % 3 AS label, (1 + c % 7) / 20.0::DOUBLE AS p0, (1 + c % 5) / 20.0::DOUBLE AS p1 FROM t),
+f AS (SELECT *, 1 - p0 - p1 AS p2 FROM p), k AS (SELECT 1 - (CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) AS s FROM f WHERE ("row" + col) % 2 = 0),
+o AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM k), q AS (SELECT coalesce(max(s) FILTER (i = ceil((n + 1) * {1 - _MISS} - 1e-9)), 'inf'::DOUBLE) AS q FROM o)
+SELECT "row", col, label, (1 - p0 <= q)::INT AS has_0, (1 - p1 <= q)::INT AS has_1, (1 - p2 <= q)::INT AS has_2 FROM f, q""")
+def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction sets of three classes from stated probabilities, calibrated on half of the pixels."""
+    t = X.long_series(spark, sf_dir).groupBy("row", "col").agg(F.abs(F.sum("cents")).alias("c"))
+    p0, p1 = ((1 + F.col("c") % n) / F.lit(20.0) for n in (7, 5))
+    px = t.select("row", "col", (F.col("c") % 3).alias("label"), F.array(p0, p1, 1 - p0 - p1).alias("p"))
+    q = validation.conformal_quantile(px.where((F.col("row") + F.col("col")) % 2 == 0), "p", "label", _MISS)
+    got = validation.prediction_sets(px, "p", q)
+    return got.select("row", "col", "label", *(F.array_contains("labels", k).cast("int").alias(f"has_{k}") for k in range(3)))
+
+
+@query()
+def landslide_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and F1 of a forest on the pixels' features, fold by fold of blocks: which pixels move more than the middle one."""
+    from fringeflow.operators import features as FE
+
+    px = FE.extract(X.series(spark, sf_dir, 1, X.DAILY), FE.FeatureConfig(acceleration=False, seasonal=False)).na.drop()
+    middle = px.agg(F.expr("percentile(abs(velocity), 0.5)")).first()[0]
+    labelled = px.withColumn("label", (F.abs("velocity") > F.lit(middle or 0.0)).cast("double"))
+    return validation.cross_validate(labelled, ["linearity_r2", "residual_rms", "max_step"], block=4, trees=10)
