@@ -11,6 +11,7 @@ import base64
 import binascii
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -238,34 +239,51 @@ def as_page(text: str | None, digest: str, n_bytes: int) -> str:
     return f'<figure><img src="{_BY_DIGEST}{digest}"><figcaption>{n_bytes} bytes</figcaption></figure>{text or ""}'
 
 
+#: What a document's result says of each of its items.
+SEQUENCE = "array<struct<position: int, kind: string, chars: long, digest: string, caption: string>>"
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The texts as pages with media: (doc_id, n_bytes, n_items, items) a row each, of whose items the media are kept, and the written table (digest, media).
+    """The texts as pages with media: (row, doc_id, n_bytes, n_items, items, sequence) a row each, and the written table (digest, media, size).
 
-    One pass writes both; a digest is stored at least once, by each task that meets it.
+    items are the page's media, sequence is all of its items without their texts. Stored are each text and each payload that a text holds inline, of which
+    size is the number of bytes (null: all). One pass writes both tables; a digest is stored at least once, by each task that meets it.
     """
     kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "src", "digest", "caption"))]))
+    short = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("chars", pa.int64()), ("digest", pa.string()), ("caption", pa.string())]))
+    types = [pa.string(), pa.int64(), pa.int32(), kind, short, pa.string(), pa.binary(), pa.int64()]
+    names = ["row", "n_bytes", "n_items", "items", "sequence", "digest", "media", "size"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        part, count = uuid.uuid4().hex, 0
+
+        def new(d: bytes) -> bool:
+            if len(seen) >= _REMEMBERED:
+                seen.clear()
+            known = d in seen
+            seen.add(d)
+            return not known
+
         for b in batches:
-            n, sizes, items, digests, media = [], [], [], [], []
+            out, inline = [], []
             for t, raw in zip(b.column(1).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 payload = padded(raw)
                 d = hashlib.sha256(payload)
-                n.append(len(raw or b""))
-                digests.append(d.hexdigest())
-                sequence = parse(as_page(t, digests[-1], n[-1]))
-                sizes.append(len(sequence))
-                items.append([x for x in sequence if x["digest"]])
-                if len(seen) >= _REMEMBERED:
-                    seen.clear()
-                media.append(None if d.digest() in seen else to_samples(payload))
-                seen.add(d.digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sizes, pa.int32()), pa.array(items, kind), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "n_items", "items", "digest", "media"])
+                n, count = len(raw or b""), count + 1
+                sequence = parse(as_page(t, d.hexdigest(), n))
+                told = [{"position": x["position"], "kind": x["kind"], "chars": len(x["text"]) if x["text"] is not None else None, "digest": x["digest"], "caption": x["caption"]} for x in sequence]
+                out.append((f"{part}-{count}", n, len(sequence), [x for x in sequence if x["digest"]], told, d.hexdigest(), to_samples(payload) if new(d.digest()) else None, None))
+                for x in sequence[1:]:
+                    held = inline_payload(x["src"]) if x["src"] else None
+                    if held is not None and new(bytes.fromhex(x["digest"])):
+                        inline.append((None, None, None, None, None, x["digest"], to_samples(padded(held)), len(held)))
+            ids = pa.concat_arrays([b.column(0), pa.nulls(len(inline), b.column(0).type)])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[c] for x in out + inline], k) for c, k in enumerate(types))], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    stored = materialize(rows.mapInArrow(write, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_items int, items {ITEM}, digest string, media binary"), "media")
-    return stored.select("doc_id", "n_bytes", "n_items", "items"), stored.where(F.col("media").isNotNull()).select("digest", "media")
+    stored = materialize(rows.mapInArrow(write, f"doc_id {dict(docs.dtypes)[id_col]}, row string, n_bytes long, n_items int, items {ITEM}, sequence {SEQUENCE}, digest string, media binary, size long"), "media")
+    return stored.where(F.col("row").isNotNull()).select("row", "doc_id", "n_bytes", "n_items", "items", "sequence"), stored.where(F.col("media").isNotNull()).select("digest", "media", "size")
 
 
 def features(payloads: DataFrame) -> DataFrame:
@@ -274,13 +292,13 @@ def features(payloads: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[] for _ in range(6)]
-            digests = b.column(0).to_pylist()
-            for d, m in zip(digests, b.column(1).to_pylist(), strict=True):
-                payload = from_samples(m)
+            for d, m, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                samples = from_samples(m)
+                payload = samples[:size]
                 sha = hashlib.sha256(payload).hexdigest()
                 if sha != d:
                     raise ValueError(f"stored payload {d} reads back as {sha}")
-                for c, x in zip(cols, (len(payload), sha, zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload)), strict=True):
+                for c, x in zip(cols, (len(payload), sha, zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples)), strict=True):
                     c.append(x)
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, types)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -288,15 +306,26 @@ def features(payloads: DataFrame) -> DataFrame:
     return payloads.mapInArrow(read, _FEATURES)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_items: bool = False) -> DataFrame:
     """A row for each row of docs with what is read back from its stored media, the caption that stands with it, and how many items its page has.
 
     The text is an item sequence: a reference to its stored payload and then what the text holds if read as HTML.
-    Null texts are empty ones (64 zero bytes). References within the text resolve to nothing stored here.
+    Null texts are empty ones (64 zero bytes). with_items adds `items`, in order: position, kind, characters of a text, digest and caption of a
+    reference, and the bytes of the payload it resolves to: a text of docs that it names by digest, or one that it holds inline; null if neither.
     """
     sequences, payloads = store_texts(docs, id_col, text_col)
     # written first: the join then shuffles both sides itself, and may split a digest that very many items share
     one = materialize(features(payloads).dropDuplicates(["digest"]), "features")
-    shown = sequences.withColumn("items", F.filter("items", lambda x: x["position"] == 0))
+    shown = sequences.drop("sequence").withColumn("items", F.filter("items", lambda x: x["position"] == 0))
     out = resolve(shown, one, unique=True)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "n_items")
+    cols = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "n_items"]
+    if not with_items:
+        return out.select(*cols)
+    # the other references of a text are few: only rows that have some are looked up again
+    others = sequences.select("row", F.filter("items", lambda x: x["position"] > 0).alias("items")).where(F.size("items") > 0)
+    found = resolve(others, one.select("digest", "payload_bytes"), unique=True).where(F.col("payload_bytes").isNotNull())
+    found = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload_bytes"))).alias("__found"))
+    out = out.select("row", *cols).join(sequences.select("row", "sequence"), "row").join(found, "row", "left")
+    size = lambda x: F.when(x["position"] == 0, F.col("payload_bytes")).otherwise(F.try_element_at("__found", x["position"]))
+    items = F.transform("sequence", lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), x["chars"].alias("chars"), x["digest"].alias("digest"), x["caption"].alias("caption"), size(x).alias("payload_bytes")))
+    return out.select(*cols, items.alias("items"))

@@ -63,7 +63,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(table(spark, sf_dir, "documents"), with_items=True)
 
 
 @query

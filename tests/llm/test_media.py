@@ -47,3 +47,19 @@ def test_pages_refer_to_stored_texts(spark):
     got = media.resolve(media.interleave(spark.createDataFrame([(1, html)], "page_id long, html string")), payloads).orderBy("position").collect()
     assert [(r["kind"], r["text"] or r["caption"]) for r in got] == [("text", "p3"), ("img", "c3"), ("text", "p1"), ("img", "c1"), ("text", "p3"), ("img", "c3"), ("img", "gone")]
     assert [r["media"] and media.from_samples(bytes(r["media"])).rstrip(b"\0") for r in got] == [None, b"text 3", None, b"text 1", None, b"text 3", None]
+
+
+def test_all_items_of_a_text_with_their_payloads(spark):
+    """References by digest resolve to other documents, inline ones to what they hold, others to nothing; order, captions and repeats stay."""
+    name = hashlib.sha256(media.padded(b"shared")).hexdigest()
+    html = f"<p>one</p><figure><img src='digest:{name}'><figcaption>cap</figcaption></figure>two<img src='data:text/plain;base64,aGVsbG8=' alt='hi'><img src='x.png'><img src='data:,'>"
+    rows = [(1, html), (1, html), (2, "shared"), (3, None), (4, "plain text only")]
+    got = media.text_media(spark.createDataFrame(rows, "doc_id long, text string"), with_items=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        items = [(x["position"], x["kind"], x["chars"], x["caption"], x["payload_bytes"]) for x in r["items"]]
+        assert [x[0] for x in items] == list(range(r["n_items"])) and items[0] == (0, "img", None, f"{r['n_bytes']} bytes", r["payload_bytes"])
+        if r["doc_id"] == 1:
+            assert items[1:] == [(1, "text", 3, None, None), (2, "img", None, "cap", 64), (3, "text", 3, None, None), (4, "img", None, "hi", 5), (5, "img", None, None, None), (6, "img", None, None, 0)]
+        elif r["doc_id"] == 4:
+            assert items[1:] == [(1, "text", 15, None, None)]
