@@ -342,6 +342,99 @@ def unwrap_islands(wrapped: np.ndarray, quality: np.ndarray | None = None, least
     return out, island.reshape(wrapped.shape)
 
 
+_STEPS = ((0, 1), (1, 0), (0, -1), (-1, 0))
+
+
+def _shifted(x: np.ndarray, k: int, fill) -> np.ndarray:
+    """What each pixel's neighbour in direction k has; `fill` beyond the edge."""
+    dr, dc = _STEPS[k]
+    out = np.full_like(x, fill)
+    rows, cols = x.shape
+    out[max(0, -dr) : rows - max(0, dr), max(0, -dc) : cols - max(0, dc)] = x[max(0, dr) : rows + min(0, dr), max(0, dc) : cols + min(0, dc)]
+    return out
+
+
+def _to_sink(cap: list[np.ndarray], sink: np.ndarray, far: int) -> np.ndarray:
+    """Steps from each pixel to one with room to the sink, over edges with room; `far` where there is no way."""
+    h = np.where(sink > 0, 1, far)
+    while True:
+        best = h
+        for k in range(4):
+            best = np.where(cap[k] > 0, np.minimum(best, _shifted(h, k, far) + 1), best)
+        best = np.minimum(best, far)
+        if (best == h).all():
+            return h
+        h = best
+
+
+def source_side(cap: list[np.ndarray], source: np.ndarray, sink: np.ndarray) -> np.ndarray:
+    """Pixels on the source's side of a minimum cut of a grid: room to each of the four neighbours, from the source, and to the sink, in whole numbers.
+
+    Push and relabel, all pixels at once, one direction after the other.
+    """
+    cap, excess, sink = [c.copy() for c in cap], source.copy(), sink.copy()
+    far = source.size + 2
+    h, n = _to_sink(cap, sink, far), 0
+    while ((excess > 0) & (h < far)).any():
+        out = np.where(h < far, np.minimum(excess, sink), 0)
+        excess -= out
+        sink -= out
+        for k in range(4):
+            back = (k + 2) % 4
+            out = np.where((excess > 0) & (h < far) & (h == _shifted(h, k, far) + 1), np.minimum(excess, cap[k]), 0)
+            into = _shifted(out, back, 0)
+            excess += into - out
+            cap[k] -= out
+            cap[back] += into
+        n += 1
+        if n % 16 == 0:
+            h = _to_sink(cap, sink, far)
+            continue
+        low = np.where(sink > 0, 1, far)
+        for k in range(4):
+            low = np.where(cap[k] > 0, np.minimum(low, _shifted(h, k, far) + 1), low)
+        h = np.where((excess > 0) & (h < far), np.maximum(h, np.minimum(low, far)), h)
+    return _to_sink(cap, sink, far) >= far
+
+
+def cheapest_turns(wrapped: np.ndarray, turns: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Whole turns of least cost: each pair of neighbours pays its lesser cost for every cycle by which it differs from the wrapped difference.
+
+    This is the minimum-cost flow of the residues, in its dual form: from the turns given, sets of pixels are
+    raised by one turn, each the best set there is (a minimum cut), until none lowers the cost; for this cost
+    that is the least of all. turns is an integer grid, only where wrapped is finite; cost is a whole number, 1 at least.
+    """
+    ok = np.isfinite(wrapped)
+    w = np.where(ok, wrapped, 0.0)
+    t = np.where(ok, turns, 0).astype(np.int64)
+    price, asked = [], []
+    for k in range(2):
+        both = ok & _shifted(ok, k, False)
+        price.append(np.where(both, np.minimum(cost, _shifted(cost, k, 1)), 0).astype(np.int64))
+        d = _shifted(w, k, 0.0) - w
+        asked.append(-np.ceil((d - np.pi) / (2 * np.pi)).astype(np.int64))
+
+    def total(t: np.ndarray) -> int:
+        return int(sum((price[k] * np.abs(_shifted(t, k, 0) - t - asked[k])).sum() for k in range(2)))
+
+    now = total(t)
+    while now:
+        push, cap = np.zeros(w.shape, np.int64), [np.zeros(w.shape, np.int64) for _ in range(4)]
+        for k in range(2):
+            d = _shifted(t, k, 0) - t - asked[k]
+            level = np.where(d == 0, price[k], 0)
+            cap[k] += level
+            cap[k + 2] += _shifted(level, k + 2, 0)
+            gain = price[k] * np.sign(d)  # of raising this pixel, and the loss of raising the neighbour
+            push += gain - _shifted(gain, k + 2, 0)
+        raised = t + source_side(cap, np.maximum(push, 0), np.maximum(-push, 0))
+        better = total(raised)
+        if better >= now:
+            break
+        t, now = raised, better
+    return np.where(ok, t, 0)
+
+
 def least_norm(loops: np.ndarray, active: np.ndarray, right: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Least-squares solutions of least norm of loops[active[i]] x = right[i][active[i]], for all rows i at once, each with loops of its own.
 

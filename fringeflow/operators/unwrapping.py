@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeflow.errors import DimensionMismatch, InversionError
+from fringeflow.errors import DimensionMismatch, InversionError, MetadataError
 from fringeflow.functions.phase import valid, wrapped_phase
 from fringeflow.operators import kernels
 from fringeflow.operators.cube import numbers
@@ -17,11 +17,13 @@ from fringeflow.store import materialize
 
 #: Side of a tile, and how many tiles' sides (then groups of tiles) are joined at once, along each axis.
 TILE, FAN = 512, 8
+#: Side of a tile whose turns are chosen by cost.
+FLOW_TILE = 128
 _TWO_PI = 2 * math.pi
 _PIXEL = "pair_idx int, row int, col int, w double, q double, turns int, island long"
 
 
-def unwrap_stack(layers: DataFrame, shape: tuple[int, int], quality: str | None = None, least: float | None = None, tile: int = TILE) -> DataFrame:
+def unwrap_stack(layers: DataFrame, shape: tuple[int, int], quality: str | None = None, least: float | None = None, tile: int | None = None, method: str = "fill") -> DataFrame:
     """Long rows (row, col, pair_idx, re, im or wrapped, and a quality column) -> row, col, pair_idx, phase.
 
     A task holds a tile of a layer (and later the seams of FAN x FAN tiles), never a layer. What is
@@ -29,18 +31,23 @@ def unwrap_stack(layers: DataFrame, shape: tuple[int, int], quality: str | None
     column; the grid's centre where there is no quality) has its wrapped phase. Where the wrapped
     phases have no residues the result is that of one fill over the whole layer; elsewhere the seams
     between two tiles' islands vote, by quality, for the whole cycles between them, and the strongest votes join first.
+    With method "cost" each tile (of FLOW_TILE pixels, unless said) then takes the turns of least cost (see
+    kernels.cheapest_turns), which is minimum-cost flow of its residues with quality as costs; the seams are settled as above.
     Pixels that are not valid, or of less than the least quality, have a row with a NULL phase.
     """
     if min(shape) < 1:
         raise DimensionMismatch("the grid is empty")
     if least is not None and quality is None:
         raise InversionError("a least quality needs a quality column")
+    if method not in ("fill", "cost"):
+        raise MetadataError(f"unknown method {method}")
+    tile = tile or (TILE if method == "fill" else FLOW_TILE)
     wrapped = valid(F.col("wrapped")) if "wrapped" in layers.columns else wrapped_phase(F.col("re"), F.col("im"))
     q = valid(F.col(quality)) if quality else F.lit(None).cast("double")
     rows = layers.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("pair_idx").cast("int").alias("pair_idx"), wrapped.alias("w"), q.alias("q"))
     across, down = -(-shape[1] // tile), -(-shape[0] // tile)
     place = F.floor(F.col("row") / tile) * across + F.floor(F.col("col") / tile)
-    filled = rows.withColumn("tile", place.cast("long")).groupBy("pair_idx", "tile").applyInArrow(_fill(shape, tile, across, bool(quality), least), _PIXEL)
+    filled = rows.withColumn("tile", place.cast("long")).groupBy("pair_idx", "tile").applyInArrow(_fill(shape, tile, across, bool(quality), least, method), _PIXEL)
     phase = lambda offset: F.when(F.col("island").isNotNull(), F.col("w") + _TWO_PI * (F.col("turns") + offset)).alias("phase")
     if across * down == 1:
         return filled.select("row", "col", "pair_idx", phase(F.lit(0)))
@@ -49,7 +56,7 @@ def unwrap_stack(layers: DataFrame, shape: tuple[int, int], quality: str | None
     return filled.join(offsets, ["pair_idx", "island"], "left").select("row", "col", "pair_idx", phase(F.coalesce("offset", F.lit(0))))
 
 
-def _fill(shape: tuple[int, int], tile: int, across: int, quality: bool, least: float | None):
+def _fill(shape: tuple[int, int], tile: int, across: int, quality: bool, least: float | None, method: str = "fill"):
     """Of one tile: for each pixel its whole turns over the wrapped phase, and the island it is on."""
 
     def one(t: pa.Table) -> pa.Table:
@@ -66,7 +73,13 @@ def _fill(shape: tuple[int, int], tile: int, across: int, quality: bool, least:
         inside = 0 <= centre[0] < size[0] and 0 <= centre[1] < size[1]
         out, island = kernels.unwrap_islands(grid, q, least, centre if inside else None)
         none = island[r - top, c - left] < 0
-        turns = np.round((out - grid) / _TWO_PI)[r - top, c - left]
+        turns = np.round((out - grid) / _TWO_PI)
+        if method == "cost":
+            price = np.ones(size, np.int64) if q is None else 1 + np.round(1000 * np.clip(np.nan_to_num(q), 0, 1)).astype(np.int64)
+            turns = kernels.cheapest_turns(np.where(island >= 0, grid, np.nan), np.nan_to_num(turns), price)
+            for k, at_best in enumerate(_best_of(island, q, centre if inside else None)):  # the cost is the same for any number of turns of a whole island
+                turns[island == k] -= turns[at_best]
+        turns = turns[r - top, c - left]
         ids = at * tile * tile + island[r - top, c - left].astype(np.int64)
         return pa.table({
             "pair_idx": t["pair_idx"], "row": pa.array(r), "col": pa.array(c), "w": t["w"], "q": t["q"],
@@ -76,6 +89,16 @@ def _fill(shape: tuple[int, int], tile: int, across: int, quality: bool, least:
     return one
 
 
+def _best_of(island: np.ndarray, q: np.ndarray | None, centre: tuple[int, int] | None) -> list[tuple[int, int]]:
+    """Of each island its best pixel by quality (or the centre, where it is on it), then row and column."""
+    rank = np.zeros(island.shape) if q is None else np.where(np.isfinite(q), q, -np.inf)
+    if q is None and centre is not None:
+        rank[centre] = 1
+    order = np.lexsort((np.arange(island.size), -rank.ravel(), island.ravel()))
+    first = np.flatnonzero(np.r_[True, np.diff(island.ravel()[order]) > 0])
+    return [tuple(int(x) for x in np.unravel_index(order[f], island.shape)) for f in first if island.ravel()[order[f]] >= 0]
+
+
 def seams(filled: DataFrame, tile: int, quality: bool) -> DataFrame:
     """pair_idx, a, b, k, w: islands of neighbouring tiles that touch, the cycles that b lies above a, and how strongly the pixels along the seam say so.
 

@@ -1,5 +1,7 @@
 """Unwrapping in tiles against one fill over the whole layer."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -86,3 +88,59 @@ def test_one_tile_and_no_rows(spark):
     assert np.allclose(got, kernels.unwrap(w), atol=1e-12)
     none = spark.createDataFrame([], "row int, col int, pair_idx int, wrapped double")
     assert unwrapping.unwrap_stack(none, (40, 40), tile=8).count() == 0
+
+
+def cost_of(w, t, q):
+    total = 0
+    for a, b in [((r, c), (r + dr, c + dc)) for r in range(w.shape[0]) for c in range(w.shape[1]) for dr, dc in ((0, 1), (1, 0)) if r + dr < w.shape[0] and c + dc < w.shape[1]]:
+        if np.isfinite(w[a]) and np.isfinite(w[b]):
+            k = -np.ceil((w[b] - w[a] - np.pi) / TWO_PI)
+            total += min(q[a], q[b]) * abs(t[b] - t[a] - k)
+    return total
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_turns_of_least_cost_against_all_turns(seed):
+    rng = np.random.default_rng(seed)
+    w = rng.uniform(-np.pi, np.pi, (3, 3))
+    if seed % 2:
+        w[1, 1] = np.nan
+    q = rng.integers(1, 20, w.shape)
+    got = kernels.cheapest_turns(w, np.zeros(w.shape, int), q)
+    cells = [i for i in range(9) if np.isfinite(w.flat[i])]
+    least = min(cost_of(w, t.reshape(3, 3), q) for x in product((-1, 0, 1), repeat=len(cells) - 1) for t in [np.zeros(9)] if not t.__setitem__(cells[1:], x))
+    assert cost_of(w, got, q) == least
+
+
+def test_cost_finds_the_cycles_where_the_fill_does_not(spark):
+    """A steep noisy patch of low quality: a fill that goes through it leaves a torn region, the cheapest turns do not."""
+    shape = (40, 40)
+    r, c = np.indices(shape)
+    rng = np.random.default_rng(12)
+    true = 0.35 * r + 0.2 * c
+    noisy = (abs(r - 20) < 6) & (abs(c - 20) < 6)
+    seen = true + np.where(noisy, rng.normal(0, 1.3, shape), rng.normal(0, 0.05, shape))
+    w = wrap(seen)
+    costs = {}
+    for method in ("fill", "cost"):
+        rows = [(i, j, 0, float(w[i, j])) for i in range(40) for j in range(40)]
+        df = spark.createDataFrame(rows, "row int, col int, pair_idx int, wrapped double")
+        out = np.full(shape, np.nan)
+        for x in unwrapping.unwrap_stack(df, shape, method=method).collect():
+            out[x["row"], x["col"]] = x["phase"]
+        t = np.round((out - w) / TWO_PI)
+        assert np.allclose(out, w + TWO_PI * t, atol=1e-9)
+        costs[method] = cost_of(w, t, np.ones(shape))
+        if method == "cost":
+            apart = np.round((out - seen) / TWO_PI)
+            assert len(set(apart[~noisy].tolist())) == 1
+    assert costs["cost"] < costs["fill"]
+
+
+def test_cost_without_residues_is_the_fill(spark):
+    w = wrap(surface((40, 38), 3))
+    q = np.random.default_rng(9).random(w.shape)
+    rows = [(i, j, 0, float(w[i, j]), float(q[i, j])) for i in range(40) for j in range(38)]
+    df = spark.createDataFrame(rows, "row int, col int, pair_idx int, wrapped double, coh double")
+    a, b = ({(x["row"], x["col"]): x["phase"] for x in unwrapping.unwrap_stack(df, w.shape, "coh", tile=16, method=m).collect()} for m in ("fill", "cost"))
+    assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
