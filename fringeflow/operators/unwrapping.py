@@ -18,7 +18,7 @@ from fringeflow.store import materialize
 #: Side of a tile, and how many tiles' sides (then groups of tiles) are joined at once, along each axis.
 TILE, FAN = 512, 8
 #: Side of a tile whose turns are chosen by cost.
-FLOW_TILE = 128
+FLOW_TILE = 64
 _TWO_PI = 2 * math.pi
 _PIXEL = "pair_idx int, row int, col int, w double, q double, turns int, island long"
 

@@ -136,3 +136,27 @@ def test_stores_without_a_client_are_read_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raster, "store_uri", lambda *_: None)
     assert geotiff.headers(spark, [str(tmp_path / "a.tif")])[0][0] == (70, 45)
     assert np.array_equal(grid_of(geotiff.read(spark, [str(tmp_path / "a.tif")], "v").collect(), (70, 45)), SMOOTH)
+
+
+def test_isce_bands_each_from_its_own_file(spark, tmp_path):
+    """Amplitude and phase in files of their own, one named by its whole path, and big-endian."""
+    from fringeflow.sources import isce
+
+    amp, phase = np.full((6, 5), 7, "<f4"), np.arange(30, dtype=">f4").reshape(6, 5)
+    amp[2, 3] = 0
+    other = tmp_path / "elsewhere"
+    other.mkdir()
+    for name in ("20240101_20240113", "20240113_20240125"):
+        d = tmp_path / "pairs" / name
+        d.mkdir(parents=True)
+        (d / "a.bin").write_bytes(amp.tobytes())
+        (other / f"{name}.bin").write_bytes(b"12345678" + phase.tobytes())
+        band = '<VRTRasterBand dataType="Float32" band="{}" subClass="VRTRawRasterBand"><SourceFilename relativeToVRT="{}">{}</SourceFilename><ByteOrder>{}</ByteOrder><ImageOffset>{}</ImageOffset></VRTRasterBand>'
+        bands = band.format(1, 1, "a.bin", "LSB", 0) + band.format(2, 0, f"{other}/{name}.bin", "MSB", 8)
+        (d / "filt_fine.unw.vrt").write_text(f'<VRTDataset rasterXSize="5" rasterYSize="6">{bands}</VRTDataset>')
+    stack = isce.read_unwrapped(spark, str(tmp_path / "pairs"))
+    rows = stack.px.collect()
+    assert len(rows) == 30 and len(stack.pairs) == 2
+    for r in rows:
+        want = None if (r["row"], r["col"]) == (2, 3) else float(phase[r["row"], r["col"]])
+        assert r["phase"] == [want, want]
