@@ -19,7 +19,7 @@ from fringeflow.operators.cube import Meta, Pair, Series, Stack, to_long, years
 from fringeflow.plans import fixtures as X
 from fringeflow.plans import pipeline
 from fringeflow.plans.queries import _DIGITS, _FEAT, _LINEAR, _NAMES, query, r, rs
-from fringeflow.sources import geotiff, isce, manifest
+from fringeflow.sources import geotiff, hdf5, isce, manifest
 from fringeflow.sources.files import write_bytes, writer
 from fringeflow.store import new_path
 
@@ -272,3 +272,41 @@ def zero_filled_and_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = unwrapping.zero_filled(layers)
     back = unwrapping.restored(given.withColumn("phase", F.col("wrapped") * 2))
     return back.select("row", "col", r(F.col("wrapped")).alias("filled"), r(F.col("coh")).alias("filled_coherence"), r(F.col("phase")).alias("phase"))
+
+
+# --- chunked products ---
+
+
+@query(f"""WITH {_GRID} SELECT "row" - 2 AS "row", col - 1 AS col, n::INT AS pair_idx, a AS ref_day, b AS sec_day, bperp AS perp_baseline_m, CASE WHEN known AND events % 4 > 0 THEN (cents % 1009 / 8.0)::DOUBLE END AS phase, CASE WHEN known THEN (events % 8 / 8.0)::DOUBLE ELSE 0 END AS coh
+FROM y JOIN x USING ("row", col) WHERE "row" >= 2 AND col >= 1""")
+def chunked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unwrapped products in chunked files that tasks write from the table, their grids shifted against each other, read over a window; connected component 0 is no data."""
+    px, shape = _epochs(spark, sf_dir)
+    folder = new_path(spark, "products")
+    put = writer(spark, folder)
+    c, n = ([F.col(f"{x}{e}") for e in range(3)] for x in "cn")
+    rows = []
+    for k, p in enumerate(_PAIRS):
+        name = f"S1-GUNW-A-R-018-tops-{_DAYS[p.sec]:%Y%m%d}_{_DAYS[p.ref]:%Y%m%d}-x.nc"
+        values = [(c[p.sec] - c[p.ref]) % 1009 / 8, (n[p.ref] + n[p.sec]) % 8 / 8, (n[p.ref] + n[p.sec]) % 4]
+        rows.append(F.struct(F.lit(name).alias("name"), F.lit(k).alias("shift"), F.lit(float(p.perp_baseline_m)).alias("baseline"), F.array(*[v.cast("double") for v in values]).alias("bands")))
+
+    def write(t: pa.Table) -> pa.Table:
+        values, shift = np.array(t["bands"].to_pylist(), float), t["shift"][0].as_py()
+        grid = np.zeros((3, shape[0], shape[1] + shift))  # a file that begins further west
+        grid[:, t["row"].to_numpy(), t["col"].to_numpy() + shift] = values.T
+        lon, lat = -70 + (np.arange(shape[1] + shift) - shift) / 64, -30 - np.arange(shape[0]) / 64
+        put(t["name"][0].as_py(), hdf5.encode({
+            hdf5.PHASE: (grid[0].astype("<f4"), (16, 8)), hdf5.COHERENCE: (grid[1].astype("<f4"), (16, 8)), hdf5.COMPONENTS: (grid[2].astype("<i2"), (32, 4)),
+            hdf5.LONGITUDE: (lon, None), hdf5.LATITUDE: (lat, (64,)), hdf5.BASELINE: (np.full((2, 2), t["baseline"][0].as_py(), "<f4"), None),
+        }))
+        return pa.table({"name": t["name"].slice(0, 1)})
+
+    made = px.select("row", "col", F.explode(F.array(*rows)).alias("x")).select("row", "col", "x.*").groupBy("name").applyInArrow(write, "name string").collect()
+    stack, left = hdf5.read_products(spark, [f"{folder}/{r.name}" for r in made], (-70 + 1 / 64, -60.0, 0.0, -30 - 2 / 64))
+    if left:
+        raise MetadataError("a product was left out")
+    pairs = [(k, str(stack.epochs[p.ref]), str(stack.epochs[p.sec]), p.perp_baseline_m) for k, p in enumerate(stack.pairs)]
+    known = spark.createDataFrame(pairs, "pair_idx int, ref_day string, sec_day string, perp_baseline_m double")
+    long = stack.px.select("row", "col", F.posexplode(F.arrays_zip("phase", "coh")).alias("pair_idx", "x")).select("row", "col", "pair_idx", "x.phase", "x.coh")
+    return long.join(F.broadcast(known), "pair_idx").select("row", "col", "pair_idx", "ref_day", "sec_day", "perp_baseline_m", "phase", "coh")  # a row a pair

@@ -96,7 +96,7 @@ class RasterReader(DataSourceReader):
         if b.layer < 0:
             return
         x = self.layers[b.layer]
-        read = tiff_reader(x) if x["kind"] == "tiff" else raw_reader(x)
+        read = reader_of(x)
         n = b.c1 - b.c0
         step = max(1, BATCH // max(1, n), x["step"][0])
         for r0 in range(b.r0, b.r1, step):
@@ -111,6 +111,15 @@ class RasterReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*place, *(numbers(np.where(np.isfinite(v), v, np.nan)) for v in values)], self.names)
 
 
+def reader_of(x: dict):
+    """read(r0, r1, c0, c1) of a described layer: its values' grids."""
+    if x["kind"] == "hdf5":
+        from fringeflow.sources.hdf5 import dataset_reader
+
+        return dataset_reader(x)
+    return tiff_reader(x) if x["kind"] == "tiff" else raw_reader(x)
+
+
 def tiff_reader(x: dict):
     fetch, size = opened(x["uri"])
     image = geotiff.Image(fetch, size, x["uri"])
