@@ -310,3 +310,18 @@ def chunked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(pairs, "pair_idx int, ref_day string, sec_day string, perp_baseline_m double")
     long = stack.px.select("row", "col", F.posexplode(F.arrays_zip("phase", "coh")).alias("pair_idx", "x")).select("row", "col", "pair_idx", "x.phase", "x.coh")
     return long.join(F.broadcast(known), "pair_idx").select("row", "col", "pair_idx", "ref_day", "sec_day", "perp_baseline_m", "phase", "coh")  # a row a pair
+
+
+# three pairs of three epochs: the least-squares increments have a closed form, also where one pair is missing
+@query(f"""WITH {_GRID}, v AS (SELECT "row", col, n, (cents % 1009 / 8.0)::DOUBLE AS phase, (events % 8 / 8.0)::DOUBLE AS coh FROM y WHERE amp > 0),
+best AS (SELECT "row" AS r0, col AS c0 FROM v GROUP BY 1, 2 ORDER BY count(*) DESC, avg(coh)::FLOAT DESC, 1, 2 LIMIT 1),
+p AS (SELECT "row", col, max(phase) FILTER (n = 0) AS a, max(phase) FILTER (n = 1) AS c, max(phase) FILTER (n = 2) AS b FROM v GROUP BY 1, 2),
+q AS (SELECT p."row", p.col, p.a - o.a AS a, p.b - o.b AS b, p.c - o.c AS c FROM p, best JOIN p o ON o."row" = r0 AND o.col = c0),
+w AS (SELECT "row", col, CASE WHEN a IS NULL THEN c - b WHEN b IS NULL OR c IS NULL THEN a ELSE (2 * a + c - b) / 3 END AS x1, CASE WHEN b IS NULL THEN c - a WHEN a IS NULL OR c IS NULL THEN b ELSE (2 * b + c - a) / 3 END AS x2
+  FROM q WHERE (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT <= 1)
+SELECT "row", col, {rs(f'-(x1 + x2) / {X.K_SQL} / (24 / 365.25)', 'velocity')}, {rs(f'-x1 / {X.K_SQL}', 'second_m')}, {rs(f'-(x1 + x2) / {X.K_SQL}', 'third_m')} FROM w""")
+def isce_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an ISCE folder to series and velocity: masked by amplitude, referenced to the most coherent pixel, inverted by least squares."""
+    got = pipeline.run_sbas_isce(spark, f"{_isce_folder(spark, sf_dir)}/pairs", pipeline.SbasConfig(correct_closure=False))
+    px = got.series.px.join(got.velocity, ["row", "col"]).where("velocity is not null")
+    return px.select("row", "col", r(F.col("velocity")).alias("velocity"), r(F.col("disp")[1]).alias("second_m"), r(F.col("disp")[2]).alias("third_m"))
