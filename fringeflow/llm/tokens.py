@@ -405,18 +405,20 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([ids], kind) if kind else pa.array([ids]), pa.array([n], pa.int64()), pa.array([write_frame(held)], pa.binary())], ["part", "frame", "doc_ids", "n_ids", "data"])
 
         gc.disable()  # nothing here makes cycles, and each collection would look through what is remembered
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.append(words(t), np.uint16(END))
-                if held and n + len(x) > BLOCK * LANES:
-                    yield made()
-                    frame, ids, held, n = frame + 1, [], [], 0
-                ids.append(i)
-                held.append(x)
-                n += len(x)
-        if held:
-            yield made()
-        gc.enable()
+        try:
+            for b in batches:
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = np.append(words(t), np.uint16(END))
+                    if held and n + len(x) > BLOCK * LANES:
+                        yield made()
+                        frame, ids, held, n = frame + 1, [], [], 0
+                    ids.append(i)
+                    held.append(x)
+                    n += len(x)
+            if held:
+                yield made()
+        finally:
+            gc.enable()
 
     return materialize(rows.mapInArrow(encode, f"part int, frame int, doc_ids array<{dict(docs.dtypes)[id_col]}>, n_ids long, data binary"), "tokens")
 
