@@ -277,8 +277,8 @@ def zero_filled_and_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunked products ---
 
 
-@query(f"""WITH {_GRID} SELECT "row" - 2 AS "row", col - 1 AS col, n::INT AS pair_idx, a AS ref_day, b AS sec_day, bperp AS perp_baseline_m, CASE WHEN known AND events % 4 > 0 THEN (cents % 1009 / 8.0)::DOUBLE END AS phase, CASE WHEN known THEN (events % 8 / 8.0)::DOUBLE ELSE 0 END AS coh
-FROM y JOIN x USING ("row", col) WHERE "row" >= 2 AND col >= 1""")
+@query(f"""WITH {_GRID} SELECT "row", col - 1 AS col, n::INT AS pair_idx, a AS ref_day, b AS sec_day, bperp AS perp_baseline_m, CASE WHEN known AND events % 4 > 0 THEN (cents % 1009 / 8.0)::DOUBLE END AS phase, CASE WHEN known THEN (events % 8 / 8.0)::DOUBLE ELSE 0 END AS coh
+FROM y JOIN x USING ("row", col) WHERE col >= 1""")
 def chunked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unwrapped products in chunked files that tasks write from the table, their grids shifted against each other, read over a window; connected component 0 is no data."""
     px, shape = _epochs(spark, sf_dir)
@@ -303,7 +303,7 @@ def chunked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table({"name": t["name"].slice(0, 1)})
 
     made = px.select("row", "col", F.explode(F.array(*rows)).alias("x")).select("row", "col", "x.*").groupBy("name").applyInArrow(write, "name string").collect()
-    stack, left = hdf5.read_products(spark, [f"{folder}/{r.name}" for r in made], (-70 + 1 / 64, -60.0, 0.0, -30 - 2 / 64))
+    stack, left = hdf5.read_products(spark, [f"{folder}/{r.name}" for r in made], (-70 + 1 / 64, -1e9, 1e9, -30.0))
     if left:
         raise MetadataError("a product was left out")
     pairs = [(k, str(stack.epochs[p.ref]), str(stack.epochs[p.sec]), p.perp_baseline_m) for k, p in enumerate(stack.pairs)]

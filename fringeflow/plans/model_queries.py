@@ -286,7 +286,8 @@ def unwrapped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row", "col", "pair_idx", r(F.col("phase")).alias("phase"))
 
 
-_SPIKE = "(abs(coalesce(t.c, 0)) % 17 = 0)"
+# never two side by side: pixels that spikes alone connect would have no turns of least cost of their own
+_SPIKE = '(g."row" % 3 = 1 AND g.col % 3 = 1 AND abs(coalesce(t.c, 0)) % 3 = 0)'
 
 
 @query(f"""WITH {X.series_sql()}, t AS (SELECT "row", col, sum(cents)::BIGINT AS c, sum(n)::BIGINT AS n FROM s GROUP BY 1, 2),
@@ -295,12 +296,12 @@ f AS (SELECT g."row", g.col, CASE WHEN {_SPIKE} THEN 0.05 ELSE 0.5 + (coalesce(t
 best AS (SELECT f AS f0 FROM f ORDER BY quality DESC, "row", col LIMIT 1)
 SELECT "row"::INT AS "row", col::INT AS col, round(f - 2 * pi() * round(f0 / (2 * pi())), 6) + 0.0::DOUBLE AS phase FROM f, best WHERE NOT spike""")
 def unwrapped_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of least cost over a layer where a seventeenth of the pixels, by the table, are off by three radians and of poor quality: the others come out whole."""
+    """Turns of least cost over a layer where single pixels, by the table, are off by three radians and of poor quality: the others come out whole."""
     long = X.long_series(spark, sf_dir)
     rows, cols = X.shape(long.select("row", "col"))
     grid = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
     px = grid.join(long.groupBy("row", "col").agg(F.sum("cents").alias("c"), F.sum("n").alias("n")), ["row", "col"], "left").withColumn("c", F.abs(F.coalesce("c", F.lit(0))))
-    spike = F.col("c") % 17 == 0
+    spike = (F.col("row") % 3 == 1) & (F.col("col") % 3 == 1) & (F.col("c") % 3 == 0)
     f = 0.45 * F.col("row") + 0.35 * F.col("col") + F.col("c") % 100 * 0.003 + F.when(spike, 3.0).otherwise(0.0)
     layers = px.select("row", "col", F.lit(0).alias("pair_idx"), spike.alias("spike"), F.when(spike, 0.05).otherwise(0.5 + F.coalesce("n", F.lit(0)) % 97 / 250.0).alias("quality"), P.wrapped_phase(F.cos(f), F.sin(f)).alias("wrapped"))
     got = unwrapping.unwrap_stack(layers, (rows, cols), "quality", method="cost")
