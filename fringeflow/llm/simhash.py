@@ -28,6 +28,8 @@ from fringeflow.llm.store import drop_path, materialize, new_path
 FAN, FRONTIER = 8, 1 << 20
 #: Shingle hashes that are counted at once.
 CHUNK = 1 << 16
+#: Pairs that are compared by whole sets before what they link is made use of.
+COMPARED = 1 << 10
 #: What keep_one takes as near copies: Jaccard similarity of shingles of so many words.
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of bits in which fingerprints at that similarity differ (a cosine of 0.89), and how many differing bits of 64 a candidate may have (exceeded by one pair in a hundred there).
@@ -42,6 +44,8 @@ HUB_SHARES = 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
+#: Share of the different shingles that so many filled slots show, by the mean number that fills as many; none where all are filled.
+_SHOWN = np.r_[1.0, -np.arange(1, SLOTS) / SLOTS / np.log1p(-np.arange(1, SLOTS) / SLOTS), 0.0]
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -97,12 +101,19 @@ def sketched(text: bytes | None, width: int) -> tuple[int, int, bytes]:
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """If rows of two matrices of sketches have as many equal slots as texts of that similarity have but for one pair in two hundred."""
-    either, equal, share = 0, 0, least + (1 - least) / KINDS
+    """If rows of two matrices of sketches have as many equal slots as texts of that similarity have but for one pair in two hundred.
+
+    The slots that either text fills show as many of both texts' shingles, each once: of short texts nearly all,
+    so that little is left to chance but unequal shingles of equal bits.
+    """
+    either, both, equal = 0, 0, 0
     for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
         either = either + ((x | y) > 0).sum(axis=1)
+        both = both + ((x > 0) & (y > 0)).sum(axis=1)
         equal = equal + ((x == y) & (x > 0)).sum(axis=1)
-    return equal >= share * either - SKETCH_SIGMAS * np.sqrt(share * (1 - share) * either)
+    same = (equal * KINDS - both) / (KINDS - 1)  # without those that are equal by chance
+    chance = least * (1 - least) * (1 - _SHOWN[either]) * either + np.maximum(both - least * either, 0) / (KINDS - 1)
+    return same >= least * either - SKETCH_SIGMAS * np.sqrt(chance)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,72 +356,170 @@ def sampled_routes(n: int, miss: float = 0.01, group: int = 128) -> list[int]:
     return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(count)]
 
 
-def _candidates(nodes: DataFrame, routes: list[int], hubs: range | None = None, least: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes(node, fp, fp2, component, sketch) within RADIUS and RADIUS_BOTH bits, and alike by their sketches, that share a route and not the component.
-
-    Without sketches but with `hubs` (numbers of routes) only one pair a node, of those on these routes: the one with the candidate that has most
-    candidates itself. In a large group of near copies that is the text most like all of them, so that it becomes one
-    component by few pairs, and its other pairs are not asked for.
-    """
-    used = range(len(routes)) if hubs is None else hubs
-    routed = nodes.select("node", "fp", "fp2", "component", F.explode(F.array(*[F.lit(r).cast("smallint") for r in used])).alias("route"), *(["sketch"] if hubs is None else []))
+def _dealt(nodes: DataFrame, routes: list[int], join, kind: str) -> DataFrame:
+    """What join makes of nodes(fp, route, ..) with the rows of a route whose bits agree in one task."""
     mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in routes]), F.col("route").cast("int") + 1)
-    masks = np.array(routes, np.uint64)
+    return nodes.repartition(F.xxhash64("route", F.col("fp").bitwiseAND(mask))).mapInArrow(join, kind)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, sketches = [], []
+
+class _Met:
+    """The rows of a task that meet others on a route, by group in Gray order, and their pairs."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], routes: list[int], lists: tuple[str, ...] = ()):
+        self.masks, got, held = np.array(routes, np.uint64), [], {c: [] for c in lists}
         for b in batches:
-            got.append([c.to_numpy() for c in b.columns[:5]])
-            if hubs is None:
-                sketches.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS // 2))
-        if not got:
-            return
-        node, fp, fp2, component, route = (np.concatenate(x) for x in zip(*got, strict=True))
-        key = (fp.view(np.uint64) & masks[route]) * MIX + route.astype(np.uint64)  # groups that met by chance are only compared for nothing
+            got.append([b.column(c).to_numpy() for c in ("node", "fp", "fp2", "component", "route")])
+            for c in lists:
+                held[c] += b.column(c).to_pylist()
+        node, fp, fp2, component, route = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 5
+        key = (fp.view(np.uint64) & self.masks[route]) * MIX + route.astype(np.uint64)  # groups that met by chance are only compared for nothing
         _, group, size = np.unique(key, return_inverse=True, return_counts=True)
         at = np.flatnonzero(size[group] > 1)
-        node, codes, more, component, route, group = node[at], fp[at].view(np.uint64), fp2[at].view(np.uint64), component[at], route[at], group[at]
-        if not len(at):
-            return
-        order = np.lexsort((gray_rank(codes), group))
-        node, codes, more, component, route, group = node[order], codes[order], more[order], component[order], route[order], group[order]
-        sketch = np.concatenate(sketches)[at[order]] if sketches else None
-        index, here = GrayIndex(group, codes), np.arange(len(node))
-
-        def near(of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in index.pairs(RADIUS, of):
-                ok = np.bitwise_count(codes[a] ^ codes[b]) + np.bitwise_count(more[a] ^ more[b]) <= RADIUS_BOTH
-                yield a[ok], b[ok]
-
-        def told(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64) if weight is None else weight)], ["a", "b", "weight"])
-
-        if hubs is None:
-            for a, b in near(component):
-                first, xor = np.ones(len(a), bool), codes[a] ^ codes[b]
-                for r, m in enumerate(masks):  # only the first route that two codes share tells of them
-                    first &= (r >= route[a]) | (xor & m != 0)
-                a, b = a[first], b[first]
-                for k in range(0, len(a), CHUNK):
-                    x, y = a[k : k + CHUNK], b[k : k + CHUNK]
-                    alike = may_be_similar(sketch[x], sketch[y], least)
-                    yield from told(x[alike], y[alike])
-            return
-        many, best = np.zeros(len(node), np.int64), np.full(len(node), -1)
-        for a, b in near(here):
-            many += np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
-        for a, b in near(here):
-            apart = component[a] != component[b]
-            a, b = a[apart], b[apart]
+        at = at[np.lexsort((gray_rank(fp[at].view(np.uint64)), group[at]))]
+        self.node, self.codes, self.more, self.component, self.route = node[at], fp[at].view(np.uint64), fp2[at].view(np.uint64), component[at], route[at]
+        self.index, self.lists = GrayIndex(group[at], self.codes) if len(at) else None, {c: [x[k] for k in at] for c, x in held.items()}
+        if "sketch" in self.lists:
+            self.sketch = np.frombuffer(b"".join(self.lists.pop("sketch")), np.uint8).reshape(-1, SLOTS // 2)
+
+    def near(self, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different `of` within RADIUS and RADIUS_BOTH bits, in portions."""
+        for a, b in self.index.pairs(RADIUS, of) if self.index else ():
+            ok = np.bitwise_count(self.codes[a] ^ self.codes[b]) + np.bitwise_count(self.more[a] ^ self.more[b]) <= RADIUS_BOTH
+            yield a[ok], b[ok]
+
+    def alike(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of different components whose sketches do not rule the similarity out, each on one route only."""
+        for a, b in self.near(self.component):
+            first, xor = np.ones(len(a), bool), self.codes[a] ^ self.codes[b]
+            for r, m in enumerate(self.masks):  # only the first route that two codes share tells of them
+                first &= (r >= self.route[a]) | (xor & m != 0)
+            a, b = a[first], b[first]
+            for k in range(0, len(a), CHUNK):
+                x, y = a[k : k + CHUNK], b[k : k + CHUNK]
+                ok = may_be_similar(self.sketch[x], self.sketch[y], least)
+                yield x[ok], y[ok]
+
+
+def _on_routes(nodes: DataFrame, used, *more: str) -> DataFrame:
+    return nodes.select("node", "fp", "fp2", "component", *more, F.explode(F.array(*[F.lit(r).cast("smallint") for r in used])).alias("route"))
+
+
+def _hubs(nodes: DataFrame, routes: list[int], used: range) -> DataFrame:
+    """One pair (a, b) at most for each of nodes(node, fp, fp2, component), of those within RADIUS and RADIUS_BOTH bits that share one of the `used` routes and not the component: with the one that has most such others itself.
+
+    In a large group of near copies that is the text most like all of them, so that much of it becomes one
+    component by few pairs, and its other pairs are not asked for.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met(batches, routes)
+        n = len(met.node)
+        many, best = np.zeros(n, np.int64), np.full(n, -1)
+        for a, b in met.near(np.arange(n)):
+            many += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        for a, b in met.near(met.component):
             np.maximum.at(best, a, many[b] << 32 | b)
             np.maximum.at(best, b, many[a] << 32 | a)
         has = best >= 0
-        yield from told(here[has], best[has] & 0xFFFFFFFF, best[has] >> 32)
+        if has.any():
+            yield pa.RecordBatch.from_arrays([pa.array(met.node[has]), pa.array(met.node[best[has] & 0xFFFFFFFF]), pa.array(best[has] >> 32)], ["a", "b", "weight"])
+
+    found = _dealt(_on_routes(nodes, used), routes, join, "a long, b long, weight long")
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))  # of a node's hubs on all routes the greatest
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    found = routed.repartition(F.xxhash64("route", F.col("fp").bitwiseAND(mask))).mapInArrow(join, "a long, b long, weight long")
-    if hubs is not None:  # of a node's hubs on all routes the greatest
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b"))
+
+def _with_candidates(nodes: DataFrame, routes: list[int], least: float) -> DataFrame:
+    """(node, route) where one of nodes(node, fp, fp2, component, sketch) has a candidate of another component: within RADIUS and RADIUS_BOTH bits, and alike by the sketches. The pairs are not listed."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met(batches, routes, ("sketch",))
+        has = np.zeros(len(met.node), bool)
+        for a, b in met.alike(least):
+            has[a] = has[b] = True
+        if has.any():
+            yield pa.RecordBatch.from_arrays([pa.array(met.node[has]), pa.array(met.route[has], pa.int16())], ["node", "route"])
+
+    return _dealt(_on_routes(nodes, range(len(routes)), "sketch"), routes, join, "node long, route smallint")
+
+
+class _Sets:
+    """Sets of shingle hashes, numbered within a task."""
+
+    def __init__(self, sets: list[bytes]):
+        self.size = np.array([len(x) // 8 for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        values, self.members = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs of sets have that Jaccard similarity at least."""
+        order = np.argsort(a, kind="stable")
+        both, cut = np.zeros(len(a), np.int64), np.flatnonzero(np.diff(a[order], prepend=-1))
+        for s, e in zip(cut, [*cut[1:], len(a)], strict=True):
+            at, x = order[s:e], a[order[s]]
+            own = slice(self.start[x], self.start[x] + self.size[x])
+            self.mark[self.members[own]] = True
+            others = b[at]
+            ends = np.cumsum(self.size[others])
+            here = np.arange(ends[-1]) + np.repeat(self.start[others] - ends + self.size[others], self.size[others])
+            total = np.r_[0, np.cumsum(self.mark[self.members[here]])]
+            both[at] = total[ends] - total[ends - self.size[others]]
+            self.mark[self.members[own]] = False
+        return both / np.maximum(self.size[a] + self.size[b] - both, 1) >= least
+
+
+def _joins(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, one after the other, join two sets that were apart."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            top[max(x, y)], out[k] = min(x, y), True
+    return out
+
+
+def _linked(nodes: DataFrame, routes: list[int], stored: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b) of similar texts that join the components of nodes as all similar candidates (see _with_candidates) do.
+
+    Within a route's group every candidate is compared by its whole set of shingle hashes, unless links found
+    before have joined its component; a group gives one pair less than it has components at most, however many pairs it has.
+    """
+    asked = materialize(_with_candidates(nodes, routes, least), "asking")
+    texts = stored.select("node", "text").join(asked.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(t, width)], np.uint64).tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met(batches, routes, ("sketch", "hashes"))
+        sets = _Sets(met.lists["hashes"])
+        _, first, of = np.unique(met.component, return_index=True, return_inverse=True)
+        label = first[of]
+        for a, b in met.alike(least):
+            for k in range(0, len(a), COMPARED):
+                x, y = a[k : k + COMPARED], b[k : k + COMPARED]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                ok = sets.similar(x, y, least)
+                x, y = x[ok], y[ok]
+                new = _joins(label, x, y)
+                merge_labels(label, x[new], y[new])
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(met.node[x[new]]), pa.array(met.node[y[new]])], ["a", "b"])
+
+    sets = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(hashed, "node long, hashes binary")
+    rows = nodes.join(sets, "node").join(asked, "node").select("node", "fp", "fp2", "component", "sketch", "hashes", "route")
+    found = _dealt(rows, routes, join, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -476,7 +585,7 @@ def _grouped(hashed: DataFrame, width: int, least: float) -> DataFrame:
         if hubs is None:  # on its routes a node without any candidate has no hub: what is left to ask for is among those that had one
             told = materialize(told.join(nodes.select("node", "sketch").join(asked.distinct(), "node", "left_semi"), "node"), "asked")
             routes = sampled_routes(told.count(), 0.003, 256)  # fewer codes need fewer bits to part them, and so fewer routes
-        pairs = materialize(_candidates(told, routes, hubs, least), "pairs")
+        pairs = materialize(_linked(told, routes, hashed, width, least) if hubs is None else _hubs(told, routes, hubs), "pairs")
         met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
         asked = met if asked is None else asked.unionAll(met)
         more = _verified(pairs, hashed, width, least)
