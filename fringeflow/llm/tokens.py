@@ -27,6 +27,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,15 @@ _ADAPT, _SOON = 64, (16, 32)
 _NEW_BITS = 20
 #: Words after which a worker lets those go that it has not met again.
 _REMEMBERED = 400_000
+#: Bytes of texts that are cut together.
+_AT_ONCE = 8 << 20
 #: The settings of the tokenizers whose cuts _CUT reproduces (byte-level, GPT-2's pattern).
 _PRE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False}
 #: That pattern for texts of Latin letters, ASCII digits and signs; other characters are left out, so that a text with any is told by its length.
 _CUT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?'[!-/:-@\[-`{-~]*|[ \t\n\r]+(?!\S)|[ \t\n\r]+")
+#: What is empty, has a blank at an end, or a character that _CUT leaves out.
+_BLANK_OR_OTHER = r"^$|^[\t\n\r]|[\t\n\r]$|[^A-Za-zÀ-ÖØ-öø-ɏ!-/:-@\[-`{-~0-9\t\n\r]"
 #: How byte-level vocabularies write each byte: visible ones as they are, the others from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLING = "".join(chr(b if b in _VISIBLE else 256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256))
@@ -62,7 +67,8 @@ class Encoder:
 
     Where the tokenizer is of the kind that _CUT reproduces and a text has only characters that it knows,
     the text is cut here and the library's model gets each different word once. Any other tokenizer or
-    text, and a text that spells an added token, goes to the library whole.
+    text, and a text that spells an added token, goes to the library whole. Of many texts, what stands
+    between two spaces is cut once, however often it is there.
     """
 
     def __init__(self, path: str):
@@ -85,7 +91,12 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of what the tokenizer cuts into tokens only."""
-        found = [t.id for t in self.model.tokenize(charmap_decode(word.encode(), "strict", _SPELLING)[0])]
+        own = word.lstrip(" ")
+        if own.isascii() and own.isalnum():  # spelled as they are
+            spelled = word.replace(" ", _SPELLING[32])
+        else:
+            spelled = charmap_decode(word.encode(), "strict", _SPELLING)[0]
+        found = [t.id for t in self.model.tokenize(spelled)]
         return struct.pack(f"<{len(found)}H", *found)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -94,10 +105,56 @@ class Encoder:
         words = _CUT.findall(text) if self.cuts else ()
         if sum(map(len, words)) != len(text) or any(t in text for t in self.added):
             return np.frombuffer(self.ids(text), "<u2")
+        self.forget()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
+
+    def forget(self) -> None:
         if len(self.words) > _REMEMBERED:
             self.words.before = {}
             self.words = _Words(self.word, self.words)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2")
+
+    def pieces(self, texts: pa.Array, before: str) -> list[bytes | None]:
+        """Ids of what stands between two spaces, with what is before it; None where its neighbours or the library must be asked.
+
+        A word of _CUT has a space at its start or among blanks only, so that what has no blank at its ends
+        is cut alone as it is in its text.
+        """
+        asked, get = pc.match_substring_regex(texts, _BLANK_OR_OTHER).to_numpy(zero_copy_only=False).tolist(), self.words.__getitem__
+        return [None if a else b"".join(map(get, _CUT.findall(before + x))) for a, x in zip(asked, texts.to_numpy(zero_copy_only=False).tolist(), strict=True)]
+
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of an Arrow column; none for null."""
+        texts = pc.fill_null(texts, "")
+        end, s = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+        while s < len(texts):
+            e = max(s + 1, int(np.searchsorted(end, (end[s - 1] if s else 0) + _AT_ONCE, "right")))
+            yield from self.together(texts[s:e]) if self.cuts else map(self, texts[s:e].to_pylist())
+            s = e
+
+    def together(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self.forget()
+        pieces = pc.split_pattern(texts, " ")
+        at = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        code, different = coded.indices.to_numpy().copy(), coded.dictionary
+        first, code[at[:-1]] = np.unique(code[at[:-1]], return_inverse=True)  # these have no space before them
+        code[at[:-1]] += len(different)
+        found = self.pieces(different, " ") + self.pieces(different.take(pa.array(first)), "")
+        alone = np.logical_or.reduceat(np.array([x is None for x in found])[code], at[:-1])
+        for t in self.added:
+            alone |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        found = [x or b"" for x in found]
+        ids, size = np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int32)
+        start = np.cumsum(size, dtype=np.int32) - size
+        for k in range(0, len(texts), 256):
+            cut = at[k : k + 257]
+            own = code[cut[0] : cut[-1]]
+            n = size[own]
+            ends = np.cumsum(n, dtype=np.int32)
+            x = ids.take(np.arange(ends[-1], dtype=np.int32) + np.repeat(start[own] - ends + n, n))
+            ends = ends[cut[1:] - cut[0] - 1].tolist()
+            for t, (s, e) in enumerate(zip([0, *ends], ends, strict=False), k):
+                yield self(texts[t].as_py()) if alone[t] else x[s:e]
 
 
 class _Words(dict):
@@ -407,8 +464,8 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         gc.disable()  # nothing here makes cycles, and each collection would look through what is remembered
         try:
             for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.append(words(t), np.uint16(END))
+                for i, x in zip(b.column(0).to_pylist(), words.many(b.column(1)), strict=True):
+                    x = np.append(x, np.uint16(END))
                     if held and n + len(x) > BLOCK * LANES:
                         yield made()
                         frame, ids, held, n = frame + 1, [], [], 0

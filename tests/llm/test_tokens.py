@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -56,3 +57,30 @@ def test_rare_ids_in_short_and_long_blocks():
     blocks = [rng.integers(0, 65535, n).astype(np.uint16) for n in (1, 5, 700, 2048)] + [np.arange(65535 - 2048, 65535).astype(np.uint16)]
     back = tokens.decode_blocks(tokens.encode_blocks(blocks), [len(b) for b in blocks])
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+
+
+ODD = [None, "", " ", "  ", "a  b", " a", "a ", "\n", "a\n b", "a \nb", "a\n\n b", "\n\n", "a \n \nb", "\nfoo bar", " \nfoo", "a\tb \tc", "x y<|endoftext|> z", "日本 語 a b", "½ cup ²", "a\xa0b c", "it's 'n' b!'s d''d x", "x\r\ny z"]
+
+
+def test_texts_together_have_the_library_s_ids(monkeypatch):
+    plain, column = Tokenizer.from_file(PATH), [*ODD, *texts()[:300], *ODD]
+    for at_once in (1, 500, 1 << 20):  # texts of a column are cut in portions
+        monkeypatch.setattr(tokens, "_AT_ONCE", at_once)
+        got = list(tokens.Encoder(PATH).many(pa.array(["before", *column])[1:]))
+        assert len(got) == len(column)
+        for t, x in zip(column, got, strict=True):
+            assert x.tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_what_stands_between_spaces_is_cut_once(monkeypatch):
+    class Counted:
+        calls = 0
+
+        def findall(self, text, cut=tokens._CUT):
+            Counted.calls += 1
+            return cut.findall(text)
+
+    monkeypatch.setattr(tokens, "_CUT", Counted())
+    column = ["one, two. three " * k + "end" for k in range(1, 200)]
+    assert sum(len(x) for x in tokens.Encoder(PATH).many(pa.array(column))) > 60_000
+    assert Counted.calls <= 5  # four pieces, and the one without a space before it
