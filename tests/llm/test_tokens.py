@@ -84,3 +84,37 @@ def test_what_stands_between_spaces_is_cut_once(monkeypatch):
     column = ["one, two. three " * k + "end" for k in range(1, 200)]
     assert sum(len(x) for x in tokens.Encoder(PATH).many(pa.array(column))) > 60_000
     assert Counted.calls <= 5  # four pieces, and the one without a space before it
+
+
+def test_frequent_pairs_have_symbols_and_a_frame_is_smaller_than_the_codes_of_its_ids():
+    words = tokens.encoder(PATH)
+    docs = [np.append(words(t), np.uint16(2)) for t in texts()]
+    ids = np.concatenate(docs)
+    assert len(ids) > tokens._JOINED
+    frame = tokens.write_frame(docs)
+    assert all(np.array_equal(a, b) for a, b in zip(docs, tokens.read_frame(frame), strict=True))
+    assert len(frame) < sum(map(len, tokens.encode_blocks([ids[s : s + tokens.BLOCK] for s in range(0, len(ids), tokens.BLOCK)])))
+    for at in (30, len(frame) // 20, len(frame) // 2):
+        broken = bytearray(frame)
+        broken[at] ^= 16
+        with pytest.raises(ValueError):
+            tokens.read_frame(bytes(broken))
+
+
+@pytest.mark.parametrize("kind", ["same", "few", "all", "random"])
+def test_frames_with_symbols_of_odd_ids(kind):
+    n, rng = tokens._JOINED + 4097, np.random.default_rng(3)
+    ids = {"same": np.full(n, 7), "few": rng.integers(65530, 65535, n), "all": np.arange(n) % 65535, "random": rng.integers(0, 65535, n)}[kind].astype(np.uint16)
+    docs = np.split(ids, [0, 5, 5, 60_000])
+    assert all(np.array_equal(a, b) for a, b in zip(docs, tokens.read_frame(tokens.write_frame(docs)), strict=True))
+
+
+def test_new_words_go_to_the_library_together_and_met_ones_not_again(monkeypatch):
+    fast, plain = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    asked = []
+    monkeypatch.setattr(fast, "asked", lambda words, ask=fast.asked: asked.append(words.count(b"\0") + 1) or ask(words))
+    column = [f"aa {' '.join(f'quor{chr(97 + k % 26)}{chr(97 + k // 26)}x, vel' for k in range(300))} end." for _ in range(3)]
+    for _ in range(2):
+        for t, x in zip(column, fast.many(pa.array(column)), strict=True):
+            assert x.tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(asked) <= 3 and sum(asked) <= 310
